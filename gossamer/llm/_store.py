@@ -35,7 +35,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of any executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    # What the write has shuffled is unreachable now; Spark deletes it when the driver's JVM collects garbage, which
+    # by itself may be half an hour away.
+    df.sparkSession.sparkContext._jvm.System.gc()
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gossamer_path = path
+    return out
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -76,3 +81,8 @@ def remove(df_or_path: str, spark: SparkSession) -> None:
     """Delete a file or folder of the shared folder, through Spark's own file systems."""
     path = spark._jvm.org.apache.hadoop.fs.Path(df_or_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(df: DataFrame, spark: SparkSession) -> None:
+    """Delete the table in the shared folder that `written` gave."""
+    remove(df._gossamer_path, spark)

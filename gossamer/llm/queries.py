@@ -7,8 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import decontaminate, line_dedup, quality, tiff
-from gossamer.llm._store import written
+from gossamer.llm import decontaminate, jaccard, line_dedup, quality, tiff, warc, wavelet
+from gossamer.llm._store import new_path, written
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +32,22 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_digests(docs, line_dedup.keep_bitmaps(docs))
 
 
+def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = wavelet.write(table(spark, sf_dir, "documents"), tokenizer_path(), new_path(spark, "wavelet"))
+    crc = F.crc32("ids").alias("ids_crc32")
+    return wavelet.read(manifest).select("doc_id", "start", "n_tokens", crc)
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "warc")
+    indexed = warc.index(warc.write(table(spark, sf_dir, "pages"), folder), folder)
+    return warc.records(indexed).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
     stored = written(tiff.with_media(docs).select("doc_id", "n_bytes", "media"), "tiff")
@@ -39,6 +61,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
+    "op4_wavelet": op4_wavelet,
+    "op5_warc": op5_warc,
+    "op7_jaccard": op7_jaccard,
     "op8_tiff": op8_tiff,
     "op10_decontaminate": op10_decontaminate,
 }
@@ -79,3 +104,34 @@ SELECT doc_id, item_id, n_shingles::INTEGER AS n_shingles, count(*)::INTEGER AS
 FROM docs JOIN items USING (n, s) JOIN sizes USING (item_id)
 GROUP BY doc_id, item_id, n_shingles HAVING count(*) >= 0.8 * n_shingles - 1e-9
 """
+
+ORACLE["op5_warc"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (
+  SELECT *, CAST(unhex(sha) AS BIT)::VARCHAR AS bits, min(page_id) OVER (PARTITION BY sha, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substr(bits, i * 5 + 1, 1)::INT + 8 * substr(bits, i * 5 + 2, 1)::INT + 4 * substr(bits, i * 5 + 3, 1)::INT
+      + 2 * substr(bits, i * 5 + 4, 1)::INT + substr(bits, i * 5 + 5, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM b
+"""
+
+ORACLE["op7_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(4, len(w)) - 1], ' ')) AS s
+  FROM w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(reach.b) AS component_id,
+       coalesce((SELECT count(*) FROM links WHERE links.a = d.doc_id), 0)::BIGINT AS n_links
+FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
