@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gossamer.llm import _text
 
@@ -123,9 +124,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, folds: int
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.3) -> DataFrame:
-    """`keep` columns of docs with score (0 to 1) and predicted (1 from the threshold on)."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep and f.name not in ("score", "predicted"))
-    names = [f.name for f in docs.schema.fields if f.name in keep and f.name not in ("score", "predicted")]
+    """`keep` columns of docs with score (0 to 1) and predicted (1 from the threshold on), which win over columns of
+    those names."""
+    kept = [f for f in docs.schema.fields if f.name in keep and f.name not in ("score", "predicted")]
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast((model.margin, model.offset))
 
     def run(batches):
@@ -137,7 +140,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.3
                 part, s = batch.slice(a, b - a), m.scores(data, off)
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.select(*names, F.col("text").alias("__text")).mapInArrow(run, f"{schema}, score double, predicted int" if schema else "score double, predicted int")
+    return docs.select(*names, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
 def held_out(column: str = "doc_id", folds: int = 5, fold: int = 0):

@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gossamer.llm import decontaminate, jaccard, line_dedup, quality, tiff, warc, wavelet
+from gossamer.llm import decontaminate, jaccard, licenses, line_dedup, lm, mixing, quality, tiff, warc, wavelet
 from gossamer.llm._store import new_path, written
+from gossamer.llm.license_texts import TEMPLATES
+
+#: Weights of the mixture; what is not named weighs 1.
+WEIGHTS: dict[str, dict[str | None, int]] = {"domain": {"d0": 3, "d1": 2}, "lang": {"en": 3}, "source": {"src0": 2}}
+
+
+def domain():
+    """The tables have no domain: sources are dealt to three by their number."""
+    return F.concat(F.lit("d"), F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) AS int) % 3").cast("string"))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -21,6 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), TEMPLATES)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -44,6 +57,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(indexed).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.select(table(spark, sf_dir, "documents"), domain(), WEIGHTS, share=0.5, most_epochs=2, seed=1).drop("__row")
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
@@ -54,18 +71,33 @@ def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.digests(stored)
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm.score(docs, lm.train(docs))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
     "op3_line_dedup": op3_line_dedup,
     "op4_wavelet": op4_wavelet,
     "op5_warc": op5_warc,
+    "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
     "op8_tiff": op8_tiff,
+    "op9_lm": op9_lm,
     "op10_decontaminate": op10_decontaminate,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict[str, str] = {}
