@@ -7,6 +7,7 @@ whole file).
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -35,8 +36,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of any executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    # What the write has shuffled is unreachable now; Spark deletes it when the driver's JVM collects garbage, which
-    # by itself may be half an hour away.
+    # What the write has shuffled is unreachable now; Spark deletes it when the driver's Python and then its JVM collect
+    # garbage, which by itself may be half an hour away.
+    gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._gossamer_path = path

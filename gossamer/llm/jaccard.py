@@ -115,7 +115,9 @@ def grouped(sets: DataFrame) -> DataFrame:
     salt = F.pmod(F.xxhash64("c1", "c2"), F.ceil(F.col("k2") / GROUP))
     gid = F.when(F.col("k1").isNull(), F.xxhash64("m1")).when(F.col("k2").isNull(), F.xxhash64("m1", "m2")).otherwise(F.xxhash64("m1", "m2", salt))
     out = classes.join(once, "m1", "left").join(twice, ["m1", "m2"], "left").select("c1", "c2", "n", "rep", "copies", gid.alias("gid"))
-    return _store.written(out, "groups")
+    out = _store.written(out, "groups")
+    _store.forget(classes, sets.sparkSession)
+    return out
 
 
 def _unions(batches):
@@ -344,6 +346,8 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     outer = pairs.where("g1 != g2").join(left, "g1").join(right, "g2").select("g1", "g2", "a", "b")
     within = pairs.where("g1 = g2").join(left, "g1").select("g1", "g2", "a", F.lit(None).cast("binary").alias("b"))
     found = _store.written(outer.unionByName(within).mapInArrow(_opened(num, den), "a long, b long, add long"), "links")
+    for t in (pairs, members, table):
+        _store.forget(t, spark)
     reached = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), "component")
     degree = found.where("add IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("add").alias("degree"))
     classes = groups.join(reached, "rep", "left").join(degree, "rep", "left").select("c1", "c2", "n", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("degree", F.lit(0))).alias("links"))
