@@ -23,6 +23,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -198,7 +199,9 @@ def pack(reps: list[int], copies: list[int], sets: list[np.ndarray]) -> bytes:
     """A row of the matrix: members, the union of their tokens, and each member's tokens as positions in it."""
     union, where = np.unique(np.concatenate(sets), return_inverse=True)
     sizes = np.array([len(s) for s in sets], np.int32)
-    return struct.pack("<ii", len(reps), len(union)) + np.array(reps, np.int64).tobytes() + np.array(copies, np.int64).tobytes() + union.tobytes() + sizes.tobytes() + where.astype(np.int32).tobytes()
+    # A single member is the whole union, in order.
+    inside = zstandard.compress(where.astype(np.int32).tobytes(), 1) if len(sets) > 1 else b""
+    return struct.pack("<ii", len(reps), len(union)) + np.array(reps, np.int64).tobytes() + np.array(copies, np.int64).tobytes() + union.tobytes() + sizes.tobytes() + inside
 
 
 class Group:
@@ -209,7 +212,7 @@ class Group:
         at += 16 * m
         self.union = np.frombuffer(blob, U, u, at)
         self.sizes = np.frombuffer(blob, np.int32, m, at + 8 * u).astype(np.int64)
-        self.where = np.frombuffer(blob, np.int32, -1, at + 8 * u + 4 * m)
+        self.where = np.frombuffer(zstandard.decompress(blob[at + 8 * u + 4 * m :]), np.int32) if m > 1 else np.arange(u)
         self.first = np.concatenate([[0], np.cumsum(self.sizes)])
         self.owner = np.repeat(np.arange(m), self.sizes)
 
