@@ -98,6 +98,15 @@ def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray = SPACE) -> tuple[n
     return starts, ends, h, np.searchsorted(starts, off)
 
 
+def slice_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of slices of bytes as they are."""
+    power, inverse = _powers(len(data) + 1)
+    run = np.empty(len(data) + 1, U)
+    run[0] = 0
+    np.cumsum(_T[data] * power[: len(data)], out=run[1:])
+    return mix((run[end] - run[start]) * inverse[start] + (end - start).astype(U))
+
+
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the k-word shingles of each row and each row's first (len+1). A row of fewer words has its whole
     sequence as one shingle, a row without words none."""

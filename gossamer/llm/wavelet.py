@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gossamer.llm import _store
+from gossamer.llm import _store, _text
 
 MAGIC = b"WVMX0001"
 BLOCK = 512
@@ -39,11 +39,21 @@ MANIFEST = "part int, shard int, path string, n_docs long, n_tokens long"
 _tokenizers: dict[str, Encoder] = {}
 
 
+#: First bytes of characters among which there are blanks.
+_MAYBE_BLANK = np.zeros(256, bool)
+_MAYBE_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: ASCII marks that a run of letters ends before; the apostrophe is not one.
+_MARK = np.array([chr(b) in '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~' for b in range(256)])
+_LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+
+
 class Encoder:
-    """Ids of texts by a `tokenizers` file. Byte-level BPE never joins a non-blank character, a single space and
-    another non-blank character, so a text is cut there and each distinct piece encoded once and remembered."""
+    """Ids of texts by a `tokenizers` file. Byte-level BPE begins a word anew at a single space or line end
+    between non-blank characters and where a letter meets a mark, so a text is cut there and each distinct piece is
+    encoded once. Pieces are
+    known by a 64-bit hash of their bytes; `MOST` bounds how many a process remembers."""
 
-    MOST = 400_000
+    MOST = 3_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,40 +61,120 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
+        # Characters of a byte-level token stand for one byte each.
+        self.bytes_of = np.zeros(size, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.bytes_of[i] = len(token)
+        self.clear()
+
+    def clear(self) -> None:
+        none = np.zeros(0, np.int64)
+        # Two sorted tables (hash, where its ids begin, how many): the small one takes new pieces.
+        self.tables = [(none.astype(np.uint64), none, none), (none.astype(np.uint64), none, none)]
+        self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        split = [self._pieces(t) for t in texts]
-        new = list({p for pieces in split for p in pieces}.difference(self.known))
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            for piece, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
-                self.known[piece] = np.array(e.ids, self.dtype).tobytes()
-        known = self.known
-        out = [np.frombuffer(b"".join([known[p] for p in pieces]), self.dtype) for pieces in split]
-        return out
+        data, off = _text.buffers(pa.array(texts, pa.large_string()))
+        flat, at = self.encode(data, off)
+        return [flat[a:b] for a, b in itertools.pairwise(at)]
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of rows of bytes, and each row's first (len+1)."""
+        n = len(data)
+        rows = len(off) - 1
+        if not n:
+            return np.zeros(0, self.dtype), np.zeros(rows + 1, np.int64)
+        cut = np.zeros(n, bool)
+        inner = np.flatnonzero((data == 0x20) | (data == 0x0A))
+        inner = inner[(inner > 0) & (inner < n - 1)]
+        inner = inner[~_MAYBE_BLANK[data[inner + 1]] & ~self._blank_before(data, inner)]
+        cut[inner] = True
+        cut[inner[data[inner] == 0x0A] + 1] = True
+        mark = np.flatnonzero(_MARK[data])
+        mark = mark[mark > 0]
+        cut[mark[_LETTER[data[mark - 1]] | (data[np.maximum(mark - 2, 0)] == 0xC3) & (data[mark - 1] > 0x97) & (data[mark - 1] != 0xB7)]] = True
+        cut[off[:-1][np.diff(off) > 0]] = True
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], n)
+        h = _text.slice_hashes(data, start, end)
+        u, at, back = np.unique(h, return_index=True, return_inverse=True)
+        where, count = self._find(u, data, start[at], end[at])
+        size = count[back]
+        place = np.concatenate([[0], np.cumsum(size)])
+        flat = self.flat[np.repeat(where[back] - place[:-1], size) + np.arange(place[-1])]
+        return flat, place[np.searchsorted(start, off)]
 
     @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if not text:
-            return []
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        # A part that is empty or has blanks at an end is glued to its neighbours, space included.
-        if not any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        out, loose = [parts[0]], not parts[0] or parts[0][-1].isspace()
-        for p in parts[1:]:
-            if loose or not p or p[0].isspace():
-                out[-1] += " " + p
-            else:
-                out.append(" " + p)
-            loose = not p or p[-1].isspace()
-        return out
+    def _blank_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether the character that ends before a byte may be a blank."""
+        one, two, three = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
+        return np.where(one < 0x80, _MAYBE_BLANK[one], (two == 0xC2) | (three >= 0xE1) & (three <= 0xE3))
+
+    def _find(self, u: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        where, count = np.full(len(u), -1), np.zeros(len(u), np.int64)
+        for keys, begins, sizes in self.tables:
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, u), len(keys) - 1)
+                hit = keys[i] == u
+                where[hit], count[hit] = begins[i[hit]], sizes[i[hit]]
+        new = np.flatnonzero(where < 0)
+        if not len(new):
+            return where, count
+        if sum(len(t[0]) for t in self.tables) + len(new) > self.MOST:
+            self.clear()
+            return self._find(u, data, start, end)
+        # Pieces that do not end in a blank are encoded many in a string: behind their own space, or else behind a line
+        # end, which between non-blanks is a token of its own.
+        spaced = data[start[new]] == 0x20
+        joins = ~self._blank_before(data, end[new]) & (spaced & (end[new] > start[new] + 1) | ~_MAYBE_BLANK[data[start[new]]])
+        raw = data.tobytes()
+        order = np.concatenate([new[joins], new[~joins]])
+        lead = np.concatenate([~spaced[joins], np.zeros(int((~joins).sum()), bool)])
+        pieces = [raw[a:b] for a, b in zip(start[order].tolist(), end[order].tolist())]
+        n_join = int(joins.sum())
+        parts = [b"\n" + p if x else p for p, x in zip(pieces, lead.tolist())]
+        width = end[order] - start[order]
+        found, begin, count_new, used = [], [], [], self.used
+        for i in range(0, n_join, 128 * 64):
+            cuts = range(i, min(i + 128 * 64, n_join), 128)
+            strings = [b"".join(parts[k : min(k + 128, n_join)]).decode() for k in cuts]
+            for k, e in zip(cuts, self.tokenizer.encode_batch(strings, add_special_tokens=False)):
+                ids, to = np.array(e.ids, self.dtype), min(k + 128, n_join)
+                past = np.cumsum(self.bytes_of[ids])
+                stop = np.cumsum(width[k:to] + lead[k:to])
+                first, last = np.searchsorted(past, stop - width[k:to], "right"), np.searchsorted(past, stop, "right")
+                found.append(ids)
+                begin.append(used + first)
+                count_new.append(last - first)
+                used += len(ids)
+        for i in range(n_join, len(pieces), 1000):
+            for e in self.tokenizer.encode_batch([p.decode() for p in pieces[i : i + 1000]], add_special_tokens=False):
+                found.append(np.array(e.ids, self.dtype))
+                begin.append(np.array([used]))
+                count_new.append(np.array([len(e.ids)]))
+                used += len(e.ids)
+        ids = np.concatenate(found)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(len(self.flat), len(ids)), self.dtype)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used = used
+        where[order], count[order] = np.concatenate(begin), np.concatenate(count_new)
+        self._remember(u[new], where[new], count[new])
+        return where, count
+
+    def _remember(self, keys: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> None:
+        def merged(a, b):
+            k = np.concatenate([a[0], b[0]])
+            o = np.argsort(k, kind="stable")
+            return tuple(np.concatenate([x, y])[o] for x, y in zip(a, b))
+
+        big, small = self.tables
+        small = merged(small, (keys, begins, sizes))
+        if len(small[0]) * 4 > len(big[0]):
+            big, small = merged(big, small), tuple(x[:0] for x in small)
+        self.tables = [big, small]
 
 
 def encoder(path: str) -> Encoder:
@@ -100,7 +190,7 @@ def build(ids: np.ndarray) -> tuple[list[bytes], list[int]]:
     for bit in range(max(top, 1) - 1, -1, -1):
         ones = (ids >> ids.dtype.type(bit) & ids.dtype.type(1)).astype(bool)
         planes.append(np.packbits(ones).tobytes())
-        low, high = ids[~ones], ids[ones]
+        low, high = np.compress(~ones, ids), np.compress(ones, ids)
         zeros.append(len(low))
         ids = np.concatenate([low, high])
     return planes, zeros
@@ -227,8 +317,8 @@ class WaveletMatrix:
             ones, z = np.unpackbits(raw, count=self.n).astype(bool), self.zeros[plane]
             # `out` has the bits below in this plane's outgoing order; put them back into its incoming order.
             back = np.empty_like(out)
-            back[~ones] = out[:z]
-            back[ones] = out[z:] | self.dtype.type(1 << (len(self.zeros) - 1 - plane))
+            back[np.flatnonzero(~ones)] = out[:z]
+            back[np.flatnonzero(ones)] = out[z:] | self.dtype.type(1 << (len(self.zeros) - 1 - plane))
             out = back
             for k in range(self.sizes.shape[1]):
                 self._open.pop((plane, k), None)
@@ -256,10 +346,10 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = 0, shard: int
 
         last = np.array([end], e.dtype)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                texts = [t or "" for t in some.column("text").to_pylist()]
-                for d, x in zip(some.column("doc_id").to_pylist(), e.ids(texts)):
+            numbers = batch.column("doc_id").to_pylist()
+            for a, b, data, off in _text.text_pieces(batch, "text"):
+                flat, place = e.encode(data, off)
+                for d, x in zip(numbers[a:b], (flat[i:j] for i, j in itertools.pairwise(place))):
                     if held and held + len(x) >= shard:
                         yield flush()
                         ids, doc_ids, held = [], [], 0
