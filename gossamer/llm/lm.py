@@ -103,6 +103,8 @@ class Model:
 
     def counts(self, level: int, ids: np.ndarray) -> np.ndarray:
         """Counts of entries by number."""
+        if not len(ids):
+            return np.zeros(0, np.int64)
         order = np.argsort(ids, kind="stable")
         out, s_ids = np.zeros(len(ids), np.int64), ids[order]
         for s, a, b in self._by_shard(level, s_ids):
@@ -113,21 +115,24 @@ class Model:
         return np.log10(counts + 1) - np.log10(self.total + self.distinct + 1)
 
     def children(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For contexts (numbers of the level below, sorted) and words: the number of the entry (-1: none), its log10
-        probability and the context's log10 weight."""
+        """For contexts (numbers of the level below, sorted) and words (-1: unknown): the number of the entry (-1: none),
+        its log10 probability and the context's log10 weight."""
         number, prob, weight = np.full(len(context), -1), np.zeros(len(context)), np.zeros(len(context))
         for s, a, b in self._by_shard(level - 1, context):
             p = self.part(level, s)
             if not p:
                 continue
             c = context[a:b] - self.bases[level - 1][s]
+            weight[a:b] = p["weights"][c] / -SCALE
+            at = np.flatnonzero((word[a:b] >= 0) & _maybe(p["filter"], c, word[a:b]))
+            c, w = c[at], word[a:b][at]
             lo, hi = p["starts"].access(c).astype(np.int64), p["starts"].access(c + 1).astype(np.int64)
             offset = np.where(lo > 0, p["sequence"].access(np.maximum(lo - 1, 0)), U(0))
-            pos, hit = p["sequence"].successor(offset + word[a:b].astype(U) + U(1))
+            pos, hit = p["sequence"].successor(offset + w.astype(U) + U(1))
             hit &= (pos >= lo) & (pos < hi)
-            number[a:b] = np.where(hit, pos + self.bases[level][s], -1)
-            prob[a:b] = np.where(hit, p["probs"][np.minimum(pos, len(p["probs"]) - 1)] / -SCALE, 0)
-            weight[a:b] = p["weights"][c] / -SCALE
+            at, pos = at[hit] + a, pos[hit]
+            number[at] = pos + self.bases[level][s]
+            prob[at] = p["probs"][pos] / -SCALE
         return number, prob, weight
 
     def child_word(self, numbers: np.ndarray) -> np.ndarray:
@@ -143,44 +148,62 @@ class Model:
 
     def pairs(self, first: np.ndarray, second: np.ndarray, second_unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Number in level 2 (-1: none) and log10 P(second|first) for known firsts and any seconds (-1: unknown)."""
-        key = (first.astype(U) << U(32)) ^ (second & 0xFFFFFFFF).astype(U)
-        if self.distinct >= 1 << 32:
-            key = _text.mix(first.astype(U)) + second.astype(U)
-        _, at, back = np.unique(key, return_index=True, return_inverse=True)
-        order = np.argsort(first[at], kind="stable")
-        at_sorted = at[order]
-        number, prob, weight = self.children(2, first[at_sorted], np.where(second[at_sorted] < 0, (1 << 62), second[at_sorted]))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        p = place[back]
-        return number[p], np.where(number[p] >= 0, prob[p], weight[p] + second_unigram)
-
-    def annotate(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of token hashes: numbers, counts, log10 unigram and log10 model probabilities."""
-        u, back = np.unique(h, return_inverse=True)
-        ids, counts = self.words(u)
-        one = self.unigram(counts)
-        ids, counts, lp1 = ids[back], counts[back], one[back]
+        a, b, back = _unique(first, second, self.distinct)
+        number, prob, weight = (x[back] for x in self.children(2, a, b))
+        return number, np.where(number >= 0, prob, weight + second_unigram)
+
+    def annotate(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of word numbers: counts, log10 unigram and log10 model probabilities."""
+        u, back = np.unique(ids, return_inverse=True)
+        counts = np.zeros(len(u), np.int64)
+        counts[u >= 0] = self.counts(1, u[u >= 0])
+        counts, lp1 = counts[back], self.unigram(counts)[back]
         lp = lp1.copy()
-        follows = np.ones(len(h), bool)
-        follows[first[:-1][first[:-1] < len(h)]] = False
-        pair = np.full(len(h), -1)
+        follows = np.ones(len(ids), bool)
+        follows[first[:-1][first[:-1] < len(ids)]] = False
+        pair = np.full(len(ids), -1)
         t = np.flatnonzero(follows)
-        t = t[ids[t - 1] >= 0] if len(t) else t
+        t = t[ids[t - 1] >= 0]
         if len(t) and self.bases.get(2):
             pair[t], lp[t] = self.pairs(ids[t - 1], ids[t], lp1[t])
         t = np.flatnonzero(follows)
-        t = t[pair[t - 1] >= 0] if len(t) else t
+        t = t[pair[t - 1] >= 0]
         if len(t) and self.bases.get(3):
-            context, word = pair[t - 1], ids[t]
-            order = np.lexsort((word, context))
-            c, w = context[order], word[order]
-            new = np.concatenate([[True], (c[1:] != c[:-1]) | (w[1:] != w[:-1])])
-            n, p, g = self.children(3, c[new], np.where(w[new] < 0, 1 << 62, w[new]))
-            k = np.empty(len(order), np.int64)
-            k[order] = np.cumsum(new) - 1
-            lp[t] = np.where(n[k] >= 0, p[k], g[k] + lp[t])
-        return ids, counts, lp1, lp
+            a, b, back = _unique(pair[t - 1], ids[t], self.distinct)
+            number, prob, weight = (x[back] for x in self.children(3, a, b))
+            lp[t] = np.where(number >= 0, prob, weight + lp[t])
+        return counts, lp1, lp
+
+
+def _unique(a: np.ndarray, b: np.ndarray, most_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and where each of (a, b) is among them. a >= 0, -1 <= b < most_b."""
+    if len(a) and (int(a.max()) + 1) * (most_b + 2) < 1 << 63:
+        key, back = np.unique(a * (most_b + 2) + b + 1, return_inverse=True)
+        return key // (most_b + 2), key % (most_b + 2) - 1, back
+    order = np.lexsort((b, a))
+    x, y = a[order], b[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return x[new], y[new], back
+
+
+def _bits(context: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
+    return (_text.mix(context.astype(U) * U(0x9E3779B97F4A7C15) + word.astype(U)) >> U(64 - (size.bit_length() - 1 + 3))).astype(np.int64)
+
+
+def _maybe(held: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Whether a file's filter may hold (context, word): one bit in 16 a stored pair."""
+    at = _bits(context, word, len(held))
+    return held[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+def _filter(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    size = max(8, 1 << (2 * len(context) - 1).bit_length())
+    flags = np.zeros(size * 8, bool)
+    flags[_bits(context, word, size)] = True
+    return np.packbits(flags, bitorder="little")
 
 
 def held_out(folds: int = 7, fold: int = 2) -> Column:
@@ -188,17 +211,19 @@ def held_out(folds: int = 7, fold: int = 2) -> Column:
 
 
 def _counted(pieces, names: list[str]):
-    """Adds up (keys, counts) pieces, and gives them as batches of at most 2**16 rows whenever 2**21 keys are held."""
+    """Adds up pieces of one or two key columns and counts; gives batches of at most 2**16 rows whenever 2**21 distinct
+    keys are held, and at the end."""
     held: list[tuple] = []
     size = 0
 
     def flush():
-        cols = [np.concatenate(c) for c in zip(*held)]
-        order = np.lexsort(cols[:-1][::-1])
-        cols = [c[order] for c in cols]
-        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:-1]], axis=0)])
+        *keys, counts = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+        keys = [k[order] for k in keys]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
         at = np.flatnonzero(new)
-        return [c[at] for c in cols[:-1]] + [np.add.reduceat(cols[-1], at)]
+        return [*(k[at] for k in keys), np.add.reduceat(counts[order], at)]
 
     def batches(cols):
         for i in range(0, len(cols[0]), 1 << 16):
@@ -208,25 +233,36 @@ def _counted(pieces, names: list[str]):
         if len(p[0]):
             held.append(p)
             size += len(p[0])
-        if size > 1 << 21:
+        if size > 1 << 22:
             one = flush()
             held, size = [tuple(one)], len(one[0])
-            if size > 1 << 20:
+            if size > 1 << 21:
                 yield from batches(one)
                 held, size = [], 0
     if held:
         yield from batches(flush())
 
 
-def _annotated(batches, model: Model):
+def _tokens_of(batches):
+    """(batch rows from, to, word numbers, first of each row, batch) of encoded rows, about a million numbers at a time."""
     for batch in batches:
-        for _, _, data, off in _text.text_pieces(batch, "text"):
-            h, first = tokens(data, off)
-            u, back = np.unique(h, return_inverse=True)
-            ids, counts = model.words(u)
-            follows = np.ones(len(h), bool)
-            follows[first[:-1]] = False
-            yield h, ids[back], counts[back] >= model.least, follows
+        data, off = _text.buffers(batch.column("ids"))
+        for a, b in _text.pieces(off, 1 << 22):
+            width = 8 if batch.column("wide")[a].as_py() else 4
+            ids = np.frombuffer(data[off[a] : off[b]].tobytes(), f"<i{width}").astype(np.int64)
+            yield a, b, ids, (off[a : b + 1] - off[a]) // width, batch
+
+
+def _frequent(ids: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
+    """Positions of tokens that follow another of their row, both frequent."""
+    u, back = np.unique(ids, return_inverse=True)
+    counts = np.zeros(len(u), np.int64)
+    counts[u >= 0] = model.counts(1, u[u >= 0])
+    often = (counts >= model.least)[back]
+    follows = often.copy()
+    follows[1:] &= often[:-1]
+    follows[first[:-1][first[:-1] < len(ids)]] = False
+    return np.flatnonzero(follows)
 
 
 def _by_group(batches, names: list[str]):
@@ -270,14 +306,18 @@ def _trie_level(model: Model, level: int, shard: int, context: np.ndarray, word:
     before[full] = np.concatenate([[0], ends[:-1]])
     values = before[context] + word + 1
     arrays = EliasFano.of(values).arrays("values") | EliasFano.of(starts).arrays("pointers")
-    arrays |= {"probs": quantised(np.log10(probs)), "weights": quantised(np.log10(left)), "counts": _small(count), "owner_start": context.astype(np.uint32)}
+    arrays |= {"probs": quantised(np.log10(probs)), "weights": quantised(np.log10(left)), "counts": _small(count), "owner_start": context.astype(np.uint32), "filter": _filter(context, word)}
     return dump(arrays)
 
 
-def train(docs: DataFrame, least: int = LEAST) -> Model:
-    """Counts the training rows and writes the trie; the model returned says where it is."""
+ENCODED = "doc_id long, held_out boolean, wide boolean, ids binary"
+
+
+def train(docs: DataFrame, least: int = LEAST) -> tuple[Model, DataFrame]:
+    """Counts the training rows and writes the trie. Returns the model, which says where that is, and docs encoded as
+    word numbers (-1: unknown), ready to be scored."""
     spark = docs.sparkSession
-    rows = docs.where(~held_out()).select("text")
+    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def unigrams(batches):
@@ -289,7 +329,7 @@ def train(docs: DataFrame, least: int = LEAST) -> Model:
 
         return _counted(pieces(), ["w", "c"])
 
-    level1 = _store.written(rows.mapInArrow(unigrams, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
+    level1 = _store.written(rows.where("NOT held_out").select("text").mapInArrow(unigrams, "w long, c long").repartition(n, "w").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
     total, distinct = level1.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     bits = max(1, (distinct // FILE).bit_length())
     model = Model(_store.new_path(spark, "trie"), bits, total, distinct, least)
@@ -303,21 +343,54 @@ def train(docs: DataFrame, least: int = LEAST) -> Model:
 
     sharded = level1.select(F.shiftrightunsigned("w", 64 - bits).cast("int").alias("shard"), "w", "c")
     model.bases[1] = _sizes(sharded.repartition(shards, "shard").sortWithinPartitions("shard", "w").mapInArrow(put1, "shard int, n long"), shards)
-    if not distinct:
-        return model
+    _store.forget(level1, spark)
     known = Model(model.folder, bits, total, distinct, least, dict(model.bases))
+    kind = np.int32 if distinct < 1 << 31 else np.int64
 
-    def bigrams(batches):
-        base = np.array(known.bases[1])
+    def encode(batches):
+        for batch in batches:
+            for a, b, data, off in _text.text_pieces(batch, "text"):
+                h, first = tokens(data, off)
+                u, back = np.unique(h, return_inverse=True)
+                ids = known.words(u)[0].astype(kind)[back]
+                raw = [ids[i:j].tobytes() for i, j in itertools.pairwise(first)]
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array([kind is np.int64] * (b - a)), pa.array(raw, pa.binary())], names=["doc_id", "held_out", "wide", "ids"])
+
+    encoded = _store.written(rows.mapInArrow(encode, ENCODED), "encoded")
+    if not distinct:
+        return model, encoded
+    fits = (distinct + 2) ** 2 < 1 << 63
+    keys = ["k"] if fits else ["a", "b"]
+
+    def keyed(a: np.ndarray, b: np.ndarray) -> tuple:
+        x, y, back = _unique(a, b, distinct)
+        counts = np.bincount(back, minlength=len(x)) if len(x) else np.zeros(0, np.int64)
+        return (x * (distinct + 2) + y + 1, counts) if fits else (x, y, counts)
+
+    def counted(f, level: int) -> DataFrame:
+        """(shard, a, b, c) of the pairs that occur often enough."""
+        sums = encoded.where("NOT held_out").select("wide", "ids").mapInArrow(f, ", ".join(f"{k} long" for k in [*keys, "c"])).repartition(n, *keys).groupBy(*keys).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
+        base = np.array(model.bases[level])
+
+        def split(batches):
+            for batch in batches:
+                *k, c = (np.asarray(x) for x in batch.columns)
+                a, b = (k[0] // (distinct + 2), k[0] % (distinct + 2) - 1) if fits else k
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.searchsorted(base, a, "right") - 1, a, b, c)], names=["shard", "a", "b", "c"])
+
+        return _store.written(sums.select(*keys, "c").mapInArrow(split, "shard long, a long, b long, c long"), f"level{level + 1}")
 
+    def level_files(table: DataFrame, put) -> list[int]:
+        return _sizes(table.repartition(shards, "shard").sortWithinPartitions("shard", "a", "b").mapInArrow(put, "shard int, n long"), shards)
+
+    def bigrams(batches):
         def pieces():
-            for _, ids, frequent, follows in _annotated(batches, known):
-                t = np.flatnonzero(follows)
-                t = t[frequent[t] & frequent[t - 1]]
-                a, b = ids[t - 1], ids[t]
-                yield np.searchsorted(base, a, "right") - 1, a, b, np.ones(len(t), np.int64)
+            for _, _, ids, first, _ in _tokens_of(batches):
+                t = _frequent(ids, first, known)
+                yield keyed(ids[t - 1], ids[t])
 
-        return _counted(pieces(), ["shard", "a", "b", "c"])
+        return _counted(pieces(), [*keys, "c"])
 
     def put2(batches):
         for shard, (a, b, c) in _by_group(batches, ["shard", "a", "b", "c"]):
@@ -326,30 +399,22 @@ def train(docs: DataFrame, least: int = LEAST) -> Model:
             _store.put(f"{model.folder}/level2-{shard:05d}.trie", raw)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(a)], pa.int64())], names=["shard", "n"])
 
-    def counted(f, keys):
-        schema = ", ".join(f"{k} long" for k in [*keys, "c"])
-        return rows.mapInArrow(f, schema).repartition(n, *keys[1:]).groupBy(*keys[1:]).agg(F.first("shard").alias("shard"), F.sum("c").alias("c")).where(F.col("c") >= least)
-
-    level2 = _store.written(counted(bigrams, ["shard", "a", "b"]), "bigrams")
-    model.bases[2] = _sizes(level2.select("shard", "a", "b", "c").repartition(shards, "shard").sortWithinPartitions("shard", "a", "b").mapInArrow(put2, "shard int, n long"), shards)
+    level2 = counted(bigrams, 1)
+    model.bases[2] = level_files(level2, put2)
     paired = Model(model.folder, bits, total, distinct, least, dict(model.bases))
 
     def trigrams(batches):
-        base = np.array(paired.bases[2])
-
         def pieces():
-            for _, ids, frequent, follows in _annotated(batches, paired):
+            for _, _, ids, first, _ in _tokens_of(batches):
                 pair = np.full(len(ids), -1)
-                t = np.flatnonzero(follows)
-                t = t[frequent[t] & frequent[t - 1]]
+                t = _frequent(ids, first, paired)
                 if len(t):
                     pair[t], _ = paired.pairs(ids[t - 1], ids[t], np.zeros(len(t)))
-                t = np.flatnonzero(follows & (pair >= 0))
-                t = t[pair[t - 1] >= 0] if len(t) else t
-                a, b = pair[t - 1], ids[t]
-                yield np.searchsorted(base, a, "right") - 1, a, b, np.ones(len(t), np.int64)
+                t = t[(pair[t] >= 0) & (pair[t - 1] >= 0)]
+                t = t[~np.isin(t, first)]
+                yield keyed(pair[t - 1], ids[t])
 
-        return _counted(pieces(), ["shard", "a", "b", "c"])
+        return _counted(pieces(), [*keys, "c"])
 
     def put3(batches):
         for shard, (a, b, c) in _by_group(batches, ["shard", "a", "b", "c"]):
@@ -360,24 +425,21 @@ def train(docs: DataFrame, least: int = LEAST) -> Model:
             _store.put(f"{model.folder}/level3-{shard:05d}.trie", raw)
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(a)], pa.int64())], names=["shard", "n"])
 
-    level3 = _store.written(counted(trigrams, ["shard", "a", "b"]), "trigrams")
-    model.bases[3] = _sizes(level3.select("shard", "a", "b", "c").repartition(shards, "shard").sortWithinPartitions("shard", "a", "b").mapInArrow(put3, "shard int, n long"), shards)
-    for t in (level1, level2, level3):
+    level3 = counted(trigrams, 2)
+    model.bases[3] = level_files(level3, put3)
+    for t in (level2, level3):
         _store.forget(t, spark)
-    return model
+    return model, encoded
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out and the scores of whole texts."""
+def score(encoded: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out and the scores of encoded rows."""
 
     def run(batches):
-        for batch in batches:
-            for a, b, data, off in _text.text_pieces(batch, "text"):
-                h, first = tokens(data, off)
-                _, counts, lp1, lp = model.annotate(h, first)
-                at = first[:-1]
-                part = batch.slice(a, b - a)
-                cols = [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)), pa.array(np.full(b - a, model.total, np.int64)), pa.array(np.add.reduceat(lp1, at)), pa.array(np.add.reduceat(lp, at))]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", *[x.split()[0] for x in SCORE.split(", ")]])
+        for a, b, ids, first, batch in _tokens_of(batches):
+            counts, lp1, lp = model.annotate(ids, first)
+            at, part = first[:-1], batch.slice(a, b - a)
+            cols = [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)), pa.array(np.full(b - a, model.total, np.int64)), pa.array(np.add.reduceat(lp1, at)), pa.array(np.add.reduceat(lp, at))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", *[x.split()[0] for x in SCORE.split(", ")]])
 
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, " + SCORE)
+    return encoded.mapInArrow(run, "doc_id long, held_out boolean, " + SCORE)

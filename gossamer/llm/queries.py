@@ -73,7 +73,8 @@ def op8_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.train(docs))
+    model, encoded = lm.train(docs)
+    return lm.score(encoded, model)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
