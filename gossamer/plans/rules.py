@@ -8,6 +8,7 @@ and keeps what is new.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from gossamer.operators.bgp import GraphBuiltin, Pattern, column, is_builtin, name, solve
 from gossamer.sources.n3 import Document, Formula
 from gossamer.tables import new_path, release
-from gossamer.terms import IMPLIES, LOG, Term, is_var, kind_of, variables
+from gossamer.terms import IMPLIES, LOG, Term, is_var, kind_of, members, seq, variables
 
 QUADS = "g string, s string, p string, o string"
 
@@ -49,7 +50,13 @@ class Rule:
 
 def as_variables(f: Formula, outer: set[str] = frozenset()) -> list[Pattern]:
     """A pattern's statements with its blank nodes as variables."""
-    turn = lambda t: "?" + t[2:].replace(".", "_").replace("-", "_") if isinstance(t, str) and t.startswith("_:") and t not in outer else type(t)(t.kind, tuple(map(turn, t.items))) if not isinstance(t, str) else t
+    def turn(t: Term) -> Term:
+        if not isinstance(t, str):
+            return seq(t.kind, [turn(i) for i in t.items])
+        if t.startswith(("L[", "S[")) and "_:" in t:
+            return seq(t[0], [turn(i) for i in members(t)])
+        return "?" + re.sub(r"\W", "_", t[2:]) if t.startswith("_:") and t not in outer else t
+
     return [tuple(turn(t) for t in st) for st in f.statements]
 
 
