@@ -3,8 +3,8 @@
 Sets of word shingles link when their Jaccard similarity reaches num/den. Equal sets are one class with one
 representative. Classes are parted into groups of similar sets by their min-hashes, at most `GROUP` to a group by
 expectation; a row of the matrix is a group with the union of its tokens and its members' tokens as positions in that
-union. A query group and a group that share no token of the members' prefixes (the rarest tokens, of which a linked
-pair must share one) cannot hold a link. For the others the number of a query's tokens in the group's union bounds its
+union. A query group and a group that share fewer than `SHARED` tokens of the members' prefixes (the rarest tokens, long
+enough for that many to be common to any linked pair) cannot hold a link. For the others the number of a query's tokens in the group's union bounds its
 overlap with every member, and only groups that some query may still reach are opened and compared exactly.
 
 The order of rarity comes from a sketch of 2**SKETCH_BITS counters over all documents; any order gives the same
@@ -33,6 +33,8 @@ from gossamer.llm.components import components
 SKETCH_BITS = 18
 BLOCK_BITS = 12
 GROUP = 256
+#: Tokens that the prefixes of two linked sets share at least (or as many as the sets must share, if that is less).
+SHARED = 4
 U = np.uint64
 SEEDS = (U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25), U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7))
 SIGNED = "doc_id long, n int, c1 long, c2 int, m1 long, m2 long, prefix binary"
@@ -96,7 +98,7 @@ def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                         m[full] = np.minimum.reduceat(_text.mix(sh ^ seed), at[:-1][full]).view(np.int64)
                 for i in range(b - a):
                     s, where = np.unique(sh[at[i] : at[i + 1]], return_index=True)
-                    take = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
+                    take = min(len(s), len(s) - -(-num * len(s) // den) + SHARED)
                     order = np.argsort(rare[at[i] : at[i + 1]][where], kind="stable")[:take]
                     x, y = fingerprint(s)
                     n.append(len(s))
@@ -148,10 +150,18 @@ def _unions(batches):
 
 
 def _meetings(num: int, den: int):
-    """Rows in order of token: pairs of groups with a token in common and sizes that may link."""
+    """Rows in order of token: pairs of groups with tokens in common and sizes that may link, the larger of their least
+    sizes, and how many tokens."""
+
+    def counted(found):
+        g1, g2, low = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((g2, g1))
+        g1, g2, low = g1[order], g2[order], low[order]
+        at = np.flatnonzero(np.concatenate([[True], (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])]))
+        return g1[at], g2[at], low[at], np.diff(np.append(at, len(g1)))
 
     def pairs(gid, low, high, run_start, run_len):
-        found = []
+        found, size = [], 0
         # Runs of equal length are paired together; one long run is paired in slices.
         for m in np.unique(run_len):
             at = run_start[run_len == m]
@@ -163,12 +173,13 @@ def _meetings(num: int, den: int):
                     may = (den * high[a] >= num * low[b]) & (den * high[b] >= num * low[a])
                     if may.any():
                         x, y = gid[a[may]], gid[b[may]]
-                        found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
-                if sum(map(len, found)) > 500_000:
-                    yield np.unique(np.concatenate(found), axis=0)
-                    found = []
+                        found.append((np.minimum(x, y), np.maximum(x, y), np.maximum(low[a[may]], low[b[may]])))
+                        size += len(x)
+                if size > 1_000_000:
+                    yield counted(found)
+                    found, size = [], 0
         if found:
-            yield np.unique(np.concatenate(found), axis=0)
+            yield counted(found)
 
     def run(batches):
         left = None
@@ -189,7 +200,7 @@ def _meetings(num: int, den: int):
                 size = np.diff(np.append(start, len(token)))
                 many = size > 1
                 for p in pairs(cols[1][:cut], cols[2][:cut].astype(np.int64), cols[3][:cut].astype(np.int64), start[many], size[many]):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["g1", "g2"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in p], names=["g1", "g2", "low", "common"])
             left = [c[cut:] for c in cols]
 
     return run
@@ -314,7 +325,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     groups = grouped(sets)
     prefixes = groups.join(sets.select(F.col("doc_id").alias("rep"), "c1", "c2", "n", "prefix"), ["rep", "c1", "c2", "n"])
     tokens = prefixes.select("gid", "n", "prefix").repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(_unions, "token long, gid long, low int, high int")
-    met = tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_meetings(num, den), "g1 long, g2 long").distinct()
+    met = tokens.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_meetings(num, den), "g1 long, g2 long, low long, common long")
+    needs = F.least(F.lit(SHARED), F.ceil(F.max("low") * num / den))
+    met = met.groupBy("g1", "g2").agg(F.sum("common").alias("common"), needs.alias("needs")).where("common >= needs").select("g1", "g2")
     inner = groups.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
     pairs = _store.written(met.where("g1 != g2").unionByName(inner), "pairs")
     needed = pairs.select(F.col("g1").alias("gid")).unionByName(pairs.select(F.col("g2").alias("gid"))).distinct()
