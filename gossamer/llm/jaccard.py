@@ -1,15 +1,14 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Sets of word shingles link when their Jaccard similarity reaches num/den. Equal sets are one class with one
-representative. Classes are parted into groups of similar sets by their min-hashes, at most `GROUP` to a group by
-expectation; a row of the matrix is a group with the union of its tokens and its members' tokens as positions in that
+representative. Classes are parted into groups of similar sets: by that of four min-hashes which most classes share, and
+by salt where those are more than `GROUP`; a row of the matrix is a group with the union of its tokens and its members' tokens as positions in that
 union. A query group and a group that share fewer than `SHARED` tokens of the members' prefixes (the rarest tokens, long
 enough for that many to be common to any linked pair) cannot hold a link. For the others the number of a query's tokens in the group's union bounds its
 overlap with every member, and only groups that some query may still reach are opened and compared exactly.
 
 The order of rarity comes from a sketch of 2**SKETCH_BITS counters over all documents; any order gives the same
-links. Nothing is capped: a group key that too many classes bear is split by a second min-hash and then by salt, and
-two groups of a split key meet like any others.
+links. Nothing is capped: two groups of a split key meet like any others.
 
 Defined cases: documents without words have no set, link with nothing and are their own component; fewer words than a
 shingle make one shingle of all; a row with a null doc_id has no component (null) and takes no part; rows of one doc_id
@@ -37,7 +36,9 @@ GROUP = 256
 SHARED = 4
 U = np.uint64
 SEEDS = (U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25), U(0xD1B54A32D192ED03), U(0x8CB92BA72F3D8DD7))
-SIGNED = "doc_id long, n int, c1 long, c2 int, m1 long, m2 long, prefix binary"
+#: Seeds of the min-hashes that documents are grouped by.
+MINS = (U(0x2545F4914F6CDD1D), U(0x9E6C63D0876A9A47), U(0xC6BC279692B5C323), U(0xE7037ED1A0B428DB))
+SIGNED = "doc_id long, n int, c1 long, c2 int, mins array<long>, prefix binary"
 
 
 def _rows_of(batch: pa.RecordBatch, k: int):
@@ -91,11 +92,11 @@ def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             for a, b, sh, at in _rows_of(batch, k):
                 rare = (rarity.value[(sh >> U(64 - SKETCH_BITS)).astype(np.int64)].astype(U) << U(44)) | (sh >> U(20))
                 n, c1, c2, prefix = [], [], [], []
-                m1, m2 = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+                mins = np.zeros((b - a, len(MINS)), np.int64)
                 full = np.flatnonzero(np.diff(at))
                 if len(full):
-                    for m, seed in ((m1, SEEDS[0]), (m2, SEEDS[1])):
-                        m[full] = np.minimum.reduceat(_text.mix(sh ^ seed), at[:-1][full]).view(np.int64)
+                    for k_, seed in enumerate(MINS):
+                        mins[full, k_] = np.minimum.reduceat(_text.mix(sh ^ seed), at[:-1][full]).view(np.int64)
                 for i in range(b - a):
                     s, where = np.unique(sh[at[i] : at[i + 1]], return_index=True)
                     take = min(len(s), len(s) - -(-num * len(s) // den) + SHARED)
@@ -105,19 +106,23 @@ def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     c1.append(x)
                     c2.append(y)
                     prefix.append(s[order].tobytes())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int32()), pa.array(m1), pa.array(m2), pa.array(prefix, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * len(MINS), pa.int32()), pa.array(mins.reshape(-1))), pa.array(prefix, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
 
     return _store.written(docs.select("doc_id", "text").mapInArrow(run, SIGNED), "signed")
 
 
 def grouped(sets: DataFrame) -> DataFrame:
     """Classes of equal sets: (c1, c2, n, rep, copies, gid)."""
-    classes = _store.written(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("m1").alias("m1"), F.min("m2").alias("m2")), "classes")
-    once = classes.groupBy("m1").agg(F.count("*").alias("k1")).where(F.col("k1") > GROUP)
-    twice = classes.groupBy("m1", "m2").agg(F.count("*").alias("k2")).where(F.col("k2") > GROUP)
-    salt = F.pmod(F.xxhash64("c1", "c2"), F.ceil(F.col("k2") / GROUP))
-    gid = F.when(F.col("k1").isNull(), F.xxhash64("m1")).when(F.col("k2").isNull(), F.xxhash64("m1", "m2")).otherwise(F.xxhash64("m1", "m2", salt))
-    out = classes.join(once, "m1", "left").join(twice, ["m1", "m2"], "left").select("c1", "c2", "n", "rep", "copies", gid.alias("gid"))
+    one = ["c1", "c2", "n"]
+    classes = _store.written(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*one).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins")), "classes")
+    keys = classes.select(*one, F.posexplode("mins").alias("k", "m")).select(*one, F.xxhash64("k", "m").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # Of a class's keys the one that most classes bear.
+    best = keys.join(shared, "key").groupBy(*one).agg(F.max(F.struct("size", "key")).alias("best"))
+    size, key = F.col("best.size"), F.col("best.key")
+    salted = F.xxhash64(key, F.pmod(F.xxhash64("c1", "c2"), F.ceil(size / GROUP)))
+    gid = F.when(size.isNull(), F.xxhash64("c1", "c2", "n")).when(size <= GROUP, key).otherwise(salted)
+    out = classes.join(best, one, "left").select(*one, "rep", "copies", gid.alias("gid"))
     out = _store.written(out, "groups")
     _store.forget(classes, sets.sparkSession)
     return out
