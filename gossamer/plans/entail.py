@@ -65,14 +65,14 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def preferred(c):
     """Order of representatives: no blank node if there is another, then the smaller term."""
-    return F.struct(c.startswith("_:"), c)
+    return F.struct(c.startswith("_:").alias("blank"), c.alias("term"))
 
 
 def smush(quads: DataFrame, same: str = T.SAME_AS) -> DataFrame:
     """quads with all terms that `same` ties together replaced by one of them, outside quoted graphs."""
     pairs = quads.where((F.col("g") == "") & (F.col("p") == same) & (F.col("s") != F.col("o"))).select(F.col("s").alias("a"), F.col("o").alias("b"))
     roots = components(pairs)
-    best = roots.groupBy("root").agg(F.min(preferred(F.col("node"))).alias("best")).select("root", F.col("best.col2").alias("best"))
+    best = roots.groupBy("root").agg(F.min(preferred(F.col("node"))).alias("best")).select("root", F.col("best.term").alias("best"))
     table = written(roots.join(best, "root").select("node", "best").where("node != best"), "smush")
     return rewritten(quads, table)
 

@@ -92,6 +92,8 @@ def conclude(bindings: DataFrame, rule: Rule, graph: str = "") -> DataFrame:
             for st in rule.formulas[t[1:]].statements:
                 structs.append(F.struct(gid.alias("g"), *[made(x).alias(c) for c, x in zip("spo", st)]))
             return F.concat(F.lit("F"), gid)
+        if is_var(t) and name(t) not in bindings.columns:
+            return F.lit(t)  # a variable of the quoted graph itself
         return column(t)
 
     for st in rule.head:
@@ -198,10 +200,14 @@ def think(quads: DataFrame, rules: list[Rule], builtins: Builtins | None = None,
         part = f"{path}/{rounds}"
         found.join(known(), ["g", "s", "p", "o"], "left_anti").write.parquet(part)
         new = spark.read.schema(QUADS).parquet(part)
-        release(spark)
         if new.isEmpty():
             return None
         parts.append(part)
+        if len(parts) > 16:
+            # Fewer files to list and a shorter plan for the rounds to come.
+            known().write.parquet(f"{path}/to{rounds}")
+            parts[:] = [f"{path}/to{rounds}"]
+            release(spark)
         return new
 
     def union(rs: list[Rule], delta: DataFrame | None) -> DataFrame:
@@ -217,3 +223,31 @@ def think(quads: DataFrame, rules: list[Rule], builtins: Builtins | None = None,
         while delta is not None and cyclic:
             delta = keep(union(part, delta))
     return known()
+
+
+def think_delta(known: DataFrame, delta: DataFrame, rules: list[Rule], builtins: Builtins | None = None, most_rounds: int = 1000) -> DataFrame:
+    """delta and all that the rules conclude from it together with `known`, which is closed already; without known."""
+    spark = known.sparkSession
+    path = new_path(spark, "delta")
+    delta.write.parquet(f"{path}/0")
+    parts = [f"{path}/0"]
+    table = lambda ps: spark.read.schema(QUADS).parquet(*ps)
+    now = table(parts)
+    for k in range(1, most_rounds):
+        everything = known.unionByName(table(parts))
+        out = None
+        for r in rules:
+            one = derive(r, everything, now, builtins)
+            out = one if out is None else out.unionByName(one)
+        if out is None:
+            break
+        out.distinct().join(everything, ["g", "s", "p", "o"], "left_anti").write.parquet(f"{path}/{k}")
+        now = table([f"{path}/{k}"])
+        if now.isEmpty():
+            break
+        parts.append(f"{path}/{k}")
+        if len(parts) > 16:
+            table(parts).write.parquet(f"{path}/to{k}")
+            parts = [f"{path}/to{k}"]
+            release(spark)
+    return table(parts)
