@@ -1,8 +1,8 @@
 """N-gram Jaccard join with a token-group matrix.
 
 Sets of word shingles link when their Jaccard similarity reaches num/den. Equal sets are one class with one
-representative. Classes are parted into groups of similar sets: by that of four min-hashes which most classes share, and
-by salt where those are more than `GROUP`; a row of the matrix is a group with the union of its tokens and its members' tokens as positions in that
+representative. Classes are parted into groups of similar sets: by those two of four min-hashes which most classes
+share, and by salt where those are more than `GROUP`; a row of the matrix is a group with the union of its tokens and its members' tokens as positions in that
 union. A query group and a group that share fewer than `SHARED` tokens of the members' prefixes (the rarest tokens, long
 enough for that many to be common to any linked pair) cannot hold a link. For the others the number of a query's tokens in the group's union bounds its
 overlap with every member, and only groups that some query may still reach are opened and compared exactly.
@@ -115,7 +115,9 @@ def grouped(sets: DataFrame) -> DataFrame:
     """Classes of equal sets: (c1, c2, n, rep, copies, gid)."""
     one = ["c1", "c2", "n"]
     classes = _store.written(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*one).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins")), "classes")
-    keys = classes.select(*one, F.posexplode("mins").alias("k", "m")).select(*one, F.xxhash64("k", "m").alias("key"))
+    # Two min-hashes to a key: near copies mostly share some two of four, documents with a passage in common do not.
+    two = [F.xxhash64(F.lit(i * len(MINS) + j), F.col("mins")[i], F.col("mins")[j]) for i, j in itertools.combinations(range(len(MINS)), 2)]
+    keys = classes.select(*one, F.explode(F.array(*two)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     # Of a class's keys the one that most classes bear.
     best = keys.join(shared, "key").groupBy(*one).agg(F.max(F.struct("size", "key")).alias("best"))
