@@ -203,7 +203,7 @@ class _Parser:
             from urllib.parse import urljoin
 
             return T.iri(urljoin(self.base, value[1:-1]) if self.base else value[1:-1])
-        if kind == "number" or value in "+-" and self.peek()[0] == "number":
+        if kind == "number" or value in ("+", "-") and self.peek()[0] == "number":
             sign = ""
             if kind != "number":
                 sign, value = value.replace("+", ""), self.take()[1]

@@ -206,7 +206,10 @@ class Parser:
 
     def absolute(self, ref: str) -> str:
         ref = unescape(ref)
-        return urljoin(self.base, ref) if self.base and not re.match(r"[A-Za-z][\w+.-]*:", ref) else ref
+        if not self.base or re.match(r"[A-Za-z][\w+.-]*:", ref):
+            return ref
+        # An empty fragment is kept: prefixes end in it.
+        return urljoin(self.base, ref.removesuffix("#")).partition("#")[0] + "#" if ref.endswith("#") else urljoin(self.base, ref)
 
     def properties(self, s: Term) -> None:
         while True:
