@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the mean of learned vectors of its hashed words, word pairs and character 3- and 4-grams; a softmax layer
+A document is the mean of learned vectors of its hashed words, word pairs (a word and itself: one for all words) and
+character 3- and 4-grams; a softmax layer
 gives the two classes. Trained by numpy stochastic gradient descent on a bounded sample of labelled rows (`MOST_ROWS`,
 the smallest seeded hashes of doc_id), which the driver may hold. The layer is linear in the mean, so scoring folds
 each vector and the layer into one number: a table of 2**BUCKET_BITS floats, whatever the corpus.
@@ -49,7 +50,9 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         grams.append((g[inside], at))
     count = np.maximum(np.diff(first) - 1, 0)
     at = np.concatenate([[0], np.cumsum(count)])
-    pair = ((_text.mix(h[:-1] * U(3) + h[1:]) >> shift).astype(np.int32) if len(h) > 1 else np.zeros(0, np.int32))[np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])]
+    # A word twice in a row is one feature, whichever word it is.
+    both = np.where(h[:-1] == h[1:], U(1), h[:-1] * U(3) + h[1:])
+    pair = (_text.mix(both) >> shift).astype(np.int32)[np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])]
     parts = [(word, first - first[0]), (pair, at), *grams]
     rows = len(off) - 1
     sizes = np.stack([np.diff(f) for _, f in parts], 1)
@@ -76,7 +79,7 @@ class Model:
         return 1 / (1 + np.exp(-(mean + self.offset)))
 
 
-def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 5, rate: float = 0.5, seed: int = 7) -> Model:
+def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 3, rate: float = 0.3, seed: int = 7) -> Model:
     """Stochastic gradient descent, a document at a time, on the cross entropy of the softmax."""
     rng = np.random.default_rng(seed)
     size = 1 << BUCKET_BITS

@@ -168,3 +168,42 @@ SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(reach.b) AS co
        coalesce((SELECT count(*) FROM links WHERE links.a = d.doc_id), 0)::BIGINT AS n_links
 FROM documents d JOIN reach ON reach.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+
+def _budget_level(name: str, above: list[str], parent: str, weights: str) -> str:
+    """SQL of the budgets one level down: children fill up in order of capacity per weight, the rest goes by weight."""
+    by = f"PARTITION BY {', '.join(above)}" if above else ""
+    same = " AND ".join(f"n.{c} IS NOT DISTINCT FROM p.{c}" for c in above) or "true"
+    here = ", ".join([*above, name])
+    return f"""
+b_{name}_n AS (SELECT {here}, sum(tokens) * 2 AS cap, {weights} AS w FROM leaves GROUP BY {here}),
+b_{name}_a AS (SELECT n.*, p.budget FROM b_{name}_n n JOIN {parent} p ON {same}),
+b_{name}_b AS (SELECT *, coalesce(sum(cap) OVER ({by} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0,
+  coalesce(sum(w) OVER ({by} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0, sum(w) OVER ({by}) AS w1 FROM b_{name}_a),
+b_{name}_c AS (SELECT *, cap * (w1 - w0) <= w * (budget - c0) AS is_full FROM b_{name}_b),
+b_{name} AS (SELECT {here}, CASE WHEN is_full THEN cap ELSE least(cap, floor(greatest(budget - coalesce(sum(cap) FILTER (WHERE is_full) OVER ({by}), 0), 0)
+  * w / sum(w) FILTER (WHERE NOT is_full) OVER ({by}))) END::HUGEINT AS budget FROM b_{name}_c)"""
+
+
+def _weights(level: str) -> str:
+    return f"CASE {level} {' '.join(f"WHEN '{k}' THEN {w}" for k, w in WEIGHTS[level].items())} ELSE 1 END"
+
+
+ORACLE["op6_mixing"] = rf"""
+WITH rows_ AS (
+  SELECT doc_id, 'd' || (TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 3) AS domain, lang, source,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, sum(n_tokens) AS tokens FROM rows_ GROUP BY ALL),
+b_all AS (SELECT least(floor(sum(tokens) * 0.5), sum(tokens) * 2)::HUGEINT AS budget FROM leaves),
+{_budget_level("domain", [], "b_all", _weights("domain"))},
+{_budget_level("lang", ["domain"], "b_domain", _weights("lang"))},
+{_budget_level("source", ["domain", "lang"], "b_lang", _weights("source"))},
+plan AS (SELECT l.*, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs, budget FROM leaves l JOIN b_source b
+  ON l.domain IS NOT DISTINCT FROM b.domain AND l.lang IS NOT DISTINCT FROM b.lang AND l.source IS NOT DISTINCT FROM b.source),
+placed AS (SELECT r.*, epochs, budget - epochs * tokens AS rest,
+  sum(n_tokens) OVER (PARTITION BY r.domain, r.lang, r.source ORDER BY md5('1:' || epochs || ':' || coalesce(doc_id::VARCHAR, '')))
+    - sum(n_tokens) OVER (PARTITION BY r.domain, r.lang, r.source, md5('1:' || epochs || ':' || coalesce(doc_id::VARCHAR, ''))) AS before
+  FROM rows_ r JOIN plan p ON r.domain IS NOT DISTINCT FROM p.domain AND r.lang IS NOT DISTINCT FROM p.lang AND r.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, domain, lang, source, n_tokens, (epochs + CASE WHEN before < rest THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM placed WHERE epochs + CASE WHEN before < rest THEN 1 ELSE 0 END > 0
+"""
