@@ -25,6 +25,8 @@ from gossamer.sources.virtual import QuadGraph
 from gossamer.terms import LOG, Seq, Term, is_var, members, variables
 
 QUADS = R.QUADS
+#: The value that stands for an error in a query.
+ERROR = T.iri(T.SWAP + "sparqlCwm#error")
 
 
 class Session:
@@ -292,7 +294,7 @@ class Graph:
 
         def parsed(t: str) -> str | None:
             try:
-                return s.graph_of_text(T.parts(t)[0]) if hasattr(s, "graph_of_text") else graph_of_text(s, T.parts(t)[0])
+                return graph_of_text(s, T.parts(t)[0])
             except (n3.SyntaxProblem, ValueError):
                 return None
 
@@ -346,7 +348,18 @@ class Graph:
 
         def variables_of(t: str) -> str | None:
             f = s.formulas.get(t[1:])
-            return None if f is None else s.keep("vars_" + t[1:], [(v, f"<{LOG}type>", "?") for v in f.universals] and [])
+            if f is None:
+                return None
+            out = s.keep("vars_" + t[1:], [])
+            s.formulas[out[1:]].universals = list(f.universals)
+            return out
+
+        def part(k: int):
+            return lambda t: T.seq("S", [st[k] for st in s.formulas[t[1:]].statements]) if t[1:] in s.formulas else None
+
+        def triples(t: str) -> str | None:
+            f = s.formulas.get(t[1:])
+            return None if f is None else T.seq("S", [s.keep("triple_" + digest(list(map(str, st))), [st]) for st in f.statements])
 
         def universal(df, subj, obj):
             return named(df, subj, obj, "universals")
@@ -376,9 +389,39 @@ class Graph:
 
             return T.lit(to_xml(df))
 
+        def endpoint(t) -> str | None:
+            from urllib.parse import quote
+
+            address, text = (T.parts(i)[0] if i.startswith('"') else i[1:-1] for i in members(t))
+            try:
+                return T.lit(s.fetch(f"{address}?query={quote(text)}"))
+            except OSError:
+                return None
+
+        def document(t: str) -> str | None:
+            import xml.etree.ElementTree as ET
+
+            try:
+                return T.lit(ET.canonicalize(s.fetch(urljoin(base(), T.parts(t)[0] if t.startswith('"') else t[1:-1]))), T.RDF + "XMLLiteral")
+            except (OSError, ET.ParseError):
+                return None
+
+        def error_is_true(df, subj, obj):
+            """The one-triple test of a formula; what cannot be evaluated counts as true."""
+            (a, p, b) = patterns(subj)[0]
+            holds = bgp.get(p).test(bgp.arg(a), bgp.arg(b))
+            return df.where(F.coalesce(holds, F.lit(True)))
+
+        def error_returner(df, subj, obj):
+            """The value of a formula's one function; an error is a value too."""
+            (a, p, _) = patterns(subj)[0]
+            return bgp.unify(df, F.coalesce(bgp.get(p).fwd(bgp.arg(a)), F.lit(ERROR)), obj)
+
         log = f"<{LOG}{{}}>".format
         cwm = f"<{T.SWAP}sparqlCwm#{{}}>".format
         return {
+            **{f"<{T.SWAP}set#{n}>": mapped(part(k)) for k, n in enumerate(("subjects", "predicates", "objects"))},
+            f"<{T.SWAP}set#triples>": mapped(triples),
             log("includes"): includes,
             log("notIncludes"): not_includes,
             log("notIncludesWithBuiltins"): not_includes,
@@ -400,6 +443,10 @@ class Graph:
             f"<{T.AIR}justifies>": justifies,
             cwm("semantics"): mapped(parsed_query),
             cwm("query"): mapped(sub_query),
+            cwm("queryEndpoint"): mapped(endpoint),
+            cwm("typeErrorIsTrue"): error_is_true,
+            cwm("typeErrorReturner"): error_returner,
+            "<http://www.w3.org/2006/xpath-functions#doc>": mapped(document),
         }
 
 
@@ -434,7 +481,7 @@ def meta_think(graph: Graph, rules: list[R.Rule]) -> DataFrame:
     """The fixpoint, taken up again while the conclusions hold rules that are new."""
     quads = graph.all_quads()
     seen = {r.id for r in rules}
-    implied = any(p == T.IMPLIES for r in rules for _, p, _ in r.head) or any(p == T.IMPLIES for r in rules for f in r.formulas.values() for _, p, _ in f.statements if False)
+    implied = any(p == T.IMPLIES for r in rules for _, p, _ in r.head)
     while True:
         quads = R.think(quads, rules, graph.builtins)
         if not implied:
