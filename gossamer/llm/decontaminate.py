@@ -9,8 +9,8 @@ Words are lower-cased (A-Z) runs of ASCII letters, digits and bytes of other scr
 shingle is looked for as one shingle of its own length.
 
 Defined cases: null, empty or wordless texts and items match nothing; repeated items and documents match each; equal
-containments are all reported; an empty table gives no rows. Items are taken in blocks of `block` rows, each against
-all documents, so the size of the benchmark is not bounded by a broadcast.
+containments are all reported; an empty table gives no rows. Items are taken in blocks, each against all documents, so
+the size of the benchmark is not bounded by a broadcast.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm import _text
+from gossamer.llm import _store, _text
 
 SHINGLE = 5
 #: Upper bounds of the parts by number of shingles; items above the last are a part each.
@@ -82,22 +82,29 @@ class Sketches:
                     yield r, item, len(s), n
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = 0.8, block: int = 20_000) -> DataFrame:
+def _blocks(items: DataFrame, rows: int, size: int):
+    """(ids, texts) of at most `rows` items and about `size` bytes; a longer item stands alone."""
+    ids, texts, held = [], [], 0
+    for r in items.select("item_id", "text").where("text IS NOT NULL").toLocalIterator():
+        if ids and (len(ids) == rows or held + len(r.text) > size):
+            yield ids, texts
+            ids, texts, held = [], [], 0
+        ids.append(r.item_id)
+        texts.append(r.text)
+        held += len(r.text)
+    yield ids, texts
+
+
+def search(docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = 0.8, block: int = 20_000, block_bytes: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) for every document that holds at least `share` of an item's
-    shingles; one row for each pair of rows."""
+    shingles; one row for each pair of rows. What tasks are sent at once is one block of items."""
     spark = docs.sparkSession
     found = None
-    rows = items.select("item_id", "text").where("text IS NOT NULL").toLocalIterator()
-    while True:
-        ids, texts = [], []
-        for r in rows:
-            ids.append(r.item_id)
-            texts.append(r.text)
-            if len(ids) == block:
-                break
-        if not ids and found is not None:
-            return found
-        shared = spark.sparkContext.broadcast(Sketches(ids, texts, k, share))  # one block of items
+    blocks = _blocks(items, block, block_bytes)
+    now = next(blocks)
+    while now is not None:
+        following = next(blocks, None)
+        shared = spark.sparkContext.broadcast(Sketches(*now, k, share))
 
         def run(batches, shared=shared):
             for batch in batches:
@@ -108,9 +115,12 @@ def search(docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = 0
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64()))], names=["doc_id", "item_id", "n_shingles", "n_found", "containment"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, MATCH)
+        if following is not None or found is not None:
+            part = _store.written(part, "matches")
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
-        if len(ids) < block:
-            return found
+        now = following
+    return found
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = 0.8) -> DataFrame:
