@@ -3,7 +3,7 @@
     python -m gossamer a.n3 b.rdf --think --filter=rules.n3 --sparql=query.rq --ntriples
 
 Inputs are files; --rules, --think[=file], --apply=file, --filter=file, --query=file, --sparql=file, --patch=file, --purge,
---purge-rules, --data, --reify, --dereify, --flatten, --unflatten, --closure=e, --size; output as --n3 (default),
+--purge-rules, --data, --reify, --dereify, --flatten, --unflatten, --closure=flags, --size; output as --n3 (default),
 --ntriples, --rdf or --strings.
 """
 
@@ -18,7 +18,6 @@ import gossamer
 
 def run(spark: SparkSession, args: list[str]) -> str:
     from gossamer.operators import transforms
-    from gossamer.plans import entail
     from gossamer.plans import rules as R
     from gossamer.plans.graphs import Graph, Session
     from gossamer.sources import ntriples, rdfxml, results
@@ -54,8 +53,8 @@ def run(spark: SparkSession, args: list[str]) -> str:
             graph = graph.like(transforms.data_only(graph.quads))
         elif option in ("--reify", "--dereify", "--flatten", "--unflatten"):
             graph = graph.like(getattr(transforms, option[2:])(graph.quads))
-        elif option == "--closure" and "e" in value:
-            graph = graph.like(entail.smush(graph.quads))
+        elif option == "--closure":
+            graph = graph.closure(value)
         elif option == "--size":
             out += f"{graph.size()}\n"
         elif option in ("--n3", "--ntriples", "--rdf", "--strings"):

@@ -217,6 +217,6 @@ def normalised(uri: str) -> str:
     from urllib.parse import urljoin, urlsplit, urlunsplit
 
     u = urlsplit(uri)
-    path = urljoin("/", u.path) if u.netloc else u.path
+    path = urljoin("/", u.path) if u.netloc and u.path else u.path
     path = re.sub(r"%[0-9a-f]{2}", lambda m: m[0].upper(), path)
     return urlunsplit((u.scheme.lower(), u.netloc.lower(), path, u.query, u.fragment))

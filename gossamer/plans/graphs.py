@@ -222,6 +222,42 @@ class Graph:
         pattern = R.as_variables(document.formulas[graph])
         return not bgp.solve(self.spark, pattern, lambda i: self.all_quads(), graph_builtins=self.builtins(self.all_quads(), None)).isEmpty()
 
+    def closure(self, flags: str) -> Graph:
+        """Documents that the statements mention, to a fixpoint: s, p, o subjects, predicates, objects; t objects of rdf:type;
+        i owl:imports; r rules (objects of log:implies and of rdfs:seeAlso are not followed). E goes on past documents that
+        cannot be read. Then T states what formulas of type log:Truth say, n makes addresses normal, e unites what is the
+        same."""
+        out, seen = self, {d.base for d in self.documents}
+        where = [F.col(c) for c in "spo" if c in flags]
+        tests = [F.when(F.col("p") == T.TYPE, F.col("o"))] * ("t" in flags) + [F.when(F.col("p") == f"<{T.OWL}imports>", F.col("o"))] * ("i" in flags)
+        while where or tests:
+            found = out.statements.select(F.explode(F.array(*where, *tests)).alias("t")).where(F.col("t").startswith("<")).select(F.substring_index(T.c_uri(F.col("t")), "#", 1).alias("uri")).distinct()
+            fresh = sorted(r.uri for r in found.collect() if r.uri not in seen)
+            if not fresh:
+                break
+            for uri in fresh:
+                seen.add(uri)
+                try:
+                    out = out.union(self.session.load(uri))
+                except (OSError, n3.SyntaxProblem):
+                    if "E" not in flags:
+                        raise
+        if "T" in flags:
+            true = out.statements.where((F.col("p") == T.TYPE) & (F.col("o") == f"<{LOG}Truth>")).select("s").collect()
+            for r in true:
+                if r.s[1:] in self.session.formulas:
+                    out = out.like(out.quads.unionByName(rows_of(self.session, r.s)).distinct())
+        if "n" in flags:
+            from gossamer.operators.transforms import normalised
+
+            norm = F.pandas_udf(lambda s: s.map(lambda t: f"<{normalised(t[1:-1])}>" if t.startswith("<") else t), "string")
+            out = out.like(out.quads.select("g", *[norm(c).alias(c) for c in "spo"]).distinct())
+        if "e" in flags:
+            from gossamer.plans.entail import smush
+
+            out = out.like(smush(out.quads))
+        return out
+
     # Graph built-ins
 
     def builtins(self, quads: DataFrame, rule: R.Rule | None) -> dict[str, bgp.GraphBuiltin]:

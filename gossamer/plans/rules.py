@@ -78,9 +78,9 @@ def empty(spark: SparkSession) -> DataFrame:
 
 
 def conclude(bindings: DataFrame, rule: Rule, graph: str = "") -> DataFrame:
-    """The head of a rule for each binding."""
+    """The head of a rule for each binding; repeated rows are left to the caller's one distinct."""
     free = [v for v in rule.head_variables if name(v) in bindings.columns]
-    rows = bindings.select(*[F.col(f"`{name(v)}`") for v in free]).distinct() if free else bindings.limit(1).select()
+    rows = bindings.select(*[F.col(f"`{name(v)}`") for v in free]) if free else bindings.limit(1).select()
     seed = F.md5(F.concat_ws("\u0001", F.lit(rule.id), *[F.col(f"`{name(v)}`") for v in free]))
     structs: list[Column] = []
 
@@ -102,7 +102,7 @@ def conclude(bindings: DataFrame, rule: Rule, graph: str = "") -> DataFrame:
         structs.append(F.struct(F.lit(graph).alias("g"), *[made(t).alias(c) for c, t in zip("spo", st)]))
     if not structs:
         return empty(bindings.sparkSession)
-    return rows.select(F.inline(F.array(*structs))).where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL").distinct()
+    return rows.select(F.inline(F.array(*structs))).where("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
 
 
 Builtins = Callable[[DataFrame, Rule], dict[str, GraphBuiltin]]
@@ -119,7 +119,7 @@ def derive(rule: Rule, quads: DataFrame, delta: DataFrame | None = None, builtin
     for k in stored:
         part = conclude(solve(spark, rule.body, lambda i, k=k: delta if i == k else quads, graph, graph_builtins=late), rule, graph)
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out
 
 
 def apply_rules(quads: DataFrame, rules: Iterable[Rule], builtins: Builtins | None = None) -> DataFrame:

@@ -447,9 +447,11 @@ class Compiler:
         out = None
         for x in graphs:
             part = self.group(g, needed, x)
+            if part.none:
+                continue
             part = Solutions(part.df.withColumn(name[1:], F.lit(T.iri(x))), part.sorts | {name[1:]: ("term", None)}, part.maybe)
             out = part if out is None else union(out, part)
-        return out
+        return out if out is not None else Solutions(self.unit().df.where(F.lit(False)), {}, none=True)
 
 
 def run(source, text: str) -> DataFrame:

@@ -62,6 +62,8 @@ sparql_query("sparql_distinct", "SELECT DISTINCT ?seg WHERE { ?c c:c_mktsegment
 sparql_query("sparql_select_all", "SELECT * WHERE { ?r r:r_name ?name . FILTER(?name > 'B') }", "SELECT 'db/region#r_regionkey.' || r_regionkey AS r, r_name AS name FROM region WHERE r_name > 'B'")
 sparql_query("sparql_ask", "ASK { ?o o:o_totalprice ?t . FILTER(?t > 400000) }", "SELECT count(*) > 0 AS result FROM orders WHERE o_totalprice > 400000")
 sparql_query("sparql_construct", "CONSTRUCT { ?c <urn:livesIn> ?r . ?r <urn:hasName> ?name } WHERE { ?c c:c_nationkey ?n . ?n n:n_regionkey ?r . ?r r:r_name ?name }", "SELECT '<db/customer#c_custkey.' || c_custkey || '>' AS s, '<urn:livesIn>' AS p, '<db/region#r_regionkey.' || n_regionkey || '>' AS o FROM customer JOIN nation ON c_nationkey = n_nationkey UNION SELECT '<db/region#r_regionkey.' || r_regionkey || '>', '<urn:hasName>', '\"' || r_name || '\"' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey)")
+sparql_query("sparql_graph_tables", "SELECT ?g ?name WHERE { GRAPH ?g { ?x n:n_name ?name } } ", "SELECT '<db/nation>' AS g, n_name AS name FROM nation")
+sparql_query("sparql_from", "SELECT ?name ?c FROM <db/nation> FROM <db/customer> WHERE { ?n n:n_name ?name OPTIONAL { ?c c:c_nationkey ?n } OPTIONAL { ?s s:s_nationkey ?n . ?s s:s_name ?c2 } FILTER(!bound(?s)) }", "SELECT DISTINCT n_name AS name, 'db/customer#c_custkey.' || c_custkey AS c FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey")
 sparql_query("sparql_order_limit", "SELECT ?o ?t WHERE { ?o o:o_totalprice ?t } ORDER BY DESC(?t) ?o LIMIT 20", "SELECT 'db/orders#o_orderkey.' || o_orderkey AS o, o_totalprice AS t FROM orders ORDER BY t DESC, o LIMIT 20")
 sparql_query("sparql_offset", "SELECT ?n WHERE { ?x n:n_name ?n } ORDER BY ?n OFFSET 5 LIMIT 10", "SELECT DISTINCT n_name AS n FROM nation ORDER BY n LIMIT 10 OFFSET 5")
 
@@ -160,10 +162,14 @@ def rule_recursion(spark, sf_dir):
     return pairs_of(R.think(size_chain(spark, sf_dir), rules_in("{?a :reach ?b . ?b :reach ?c} => {?a :reach ?c} . {?a :next ?b} => {?a :reach ?b} .")), x("reach"))
 
 
-@query("rule_scc_mutual", SIZES + ", t AS (SELECT min(a) AS n, 'even' AS k FROM e UNION SELECT e.b, CASE k WHEN 'even' THEN 'odd' ELSE 'even' END FROM t JOIN e ON t.n = e.a) SELECT '<urn:x#size' || n || '>' AS s, '\"' || k || '\"' AS o FROM t")
+@query("rule_scc_mutual", f"SELECT {subject('nation', 'n_nationkey')} AS s, CASE n_nationkey % 2 WHEN 0 THEN '\"even\"' ELSE '\"odd\"' END AS o FROM nation")
 def rule_scc_mutual(spark, sf_dir):
-    chain = size_chain(spark, sf_dir)
-    first = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.min("p_size").alias("n")).select(F.lit("").alias("g"), F.concat(F.lit("<urn:x#size"), F.col("n").cast("string"), F.lit(">")).alias("s"), F.lit(x("is")).alias("p"), F.lit('"even"').alias("o"))
+    """Even and odd nations by two rules that feed each other, along the chain of keys."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey")
+    node = lambda c: F.concat(F.lit("<db/nation#n_nationkey."), c.cast("string"), F.lit(">"))
+    chain = n.join(n.select((F.col("n_nationkey") - 1).alias("k"), F.col("n_nationkey").alias("next")), F.col("n_nationkey") == F.col("k"))
+    chain = chain.select(F.lit("").alias("g"), node(F.col("k")).alias("s"), F.lit(x("next")).alias("p"), node(F.col("next")).alias("o"))
+    first = n.agg(F.min("n_nationkey").alias("k")).select(F.lit("").alias("g"), node(F.col("k")).alias("s"), F.lit(x("is")).alias("p"), F.lit('"even"').alias("o"))
     rules = rules_in('{?a :is "even" . ?a :next ?b} => {?b :is "odd"} . {?a :is "odd" . ?a :next ?b} => {?b :is "even"} .')
     return pairs_of(R.think(chain.unionByName(first), rules), x("is"))
 

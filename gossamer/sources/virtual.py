@@ -60,6 +60,7 @@ class Solutions:
     df: DataFrame
     sorts: dict[str, tuple[str, str | None]]
     maybe: set[str] = field(default_factory=set)
+    none: bool = False  # known to be without rows
 
     def val(self, v: str, prefix: str = "") -> Val:
         return Val(F.col(f"`{prefix}{v}`"), *self.sorts[v])
@@ -83,6 +84,8 @@ def natural_join(a: Solutions, b: Solutions, how: str = "inner", condition=None)
         on.append(eq)
     if condition is not None:
         on.append(condition(lambda v: a.val(v) if v in a else b.val(v, "__r_") if v in b else None))
+    if a.none or b.none and how == "inner":
+        return a if a.none else Solutions(a.df.where(F.lit(False)), dict(a.sorts), set(a.maybe), True)
     if how in ("left_semi", "left_anti"):
         return Solutions(a.df.join(right, on or [F.lit(True)], how), dict(a.sorts), set(a.maybe))
     df = a.df.join(right, on, how) if on else a.df.crossJoin(right) if how == "inner" else a.df.join(right, F.lit(True), how)
@@ -107,6 +110,8 @@ def natural_join(a: Solutions, b: Solutions, how: str = "inner", condition=None)
 
 def union(a: Solutions, b: Solutions) -> Solutions:
     """All rows of both; a variable that one does not have is unbound there."""
+    if a.none or b.none:
+        return b if a.none else a
     names = [*a.sorts, *[v for v in b.sorts if v not in a.sorts]]
     sorts = {}
 
@@ -134,7 +139,7 @@ class VirtualGraph:
 
     def sort_of(self, table: Table, c: str) -> tuple[str, str | None]:
         if c in table.links:
-            return "iri", self.schema[table.links[c]].subject
+            return "iri", SCHEMA[table.links[c]].subject if table.links[c] not in self.schema else self.schema[table.links[c]].subject
         sort, dt = SORTS.get(self.frame(table.name).schema[c].dataType.simpleString(), ("str", None))
         return sort, dt and T.XSD + dt
 
@@ -153,8 +158,17 @@ class VirtualGraph:
         name, _, c = predicate[1:-1].removeprefix("db/").partition("#")
         return (self.schema[name], c) if name in self.schema and c in self.frame(name).columns else None
 
-    def star(self, subject: str, patterns: list, needed: set[str]) -> Solutions | None:
-        """Patterns of one subject with constant predicates; None where they are of no one table."""
+    def graphs(self) -> list[str]:
+        """Each table is a named graph."""
+        return [f"db/{t}" for t in self.schema]
+
+    def restricted(self, sources: list[str], named: list[str]) -> VirtualGraph:
+        """The graph of the tables that FROM and FROM NAMED name."""
+        wanted = {u.removeprefix("db/") for u in [*sources, *named]}
+        return VirtualGraph(self.spark, self.folder, {n: t for n, t in self.schema.items() if n in wanted})
+
+    def star(self, subject: str, patterns: list, needed: set[str], graph: str | None = None) -> Solutions | None:
+        """Patterns of one subject with constant predicates; None where they are of no one table (of the graph)."""
         tables = {}
         for _, p, o in patterns:
             if p == T.TYPE:
@@ -163,7 +177,7 @@ class VirtualGraph:
                 return None
             else:
                 tables[found[0].name] = None
-        if len(tables) != 1 or next(iter(tables)) not in self.schema:
+        if len(tables) != 1 or next(iter(tables)) not in self.schema or graph not in (None, f"db/{next(iter(tables))}"):
             return None
         table = self.schema[next(iter(tables))]
         df, key = (self.subject_column(table) if table.key or subject in needed or not is_var(subject) else (self.frame(table.name), None))
@@ -219,10 +233,10 @@ class VirtualGraph:
         parts: list[Solutions] = []
         for s, ps in stars.items():
             fixed = [p for p in ps if not is_var(p[1])]
-            found = self.star(s, fixed, uses(s) | ({s} if len(fixed) < len(ps) else set())) if fixed else None
+            found = self.star(s, fixed, uses(s) | ({s} if len(fixed) < len(ps) else set()), graph) if fixed else None
             if fixed and found is None:
                 names = sorted({v[1:] for p in fixed for t in p for v in variables(t)})
-                found = Solutions(self.spark.createDataFrame([], ", ".join(f"`{v}` string" for v in names) or "x int").select(*names), {v: ("term", None) for v in names})
+                found = Solutions(self.spark.createDataFrame([], ", ".join(f"`{v}` string" for v in names) or "x int").select(*names), {v: ("term", None) for v in names}, none=True)
             if found:
                 parts.append(found)
             for p in ps:
@@ -244,6 +258,11 @@ class QuadGraph:
     def __init__(self, spark: SparkSession, quads: DataFrame, default: str | None = ""):
         self.spark, self.quads, self.default = spark, quads, default
 
+    def restricted(self, sources: list[str], named: list[str]) -> QuadGraph:
+        """FROM: the union of those graphs is the default graph; FROM NAMED: those are the named ones."""
+        merged = self.quads.where(F.col("g").isin(*sources)).withColumn("g", F.lit("")).distinct() if sources else self.quads.where("g = ''")
+        return QuadGraph(self.spark, merged.unionByName(self.quads.where(F.col("g").isin(*named))) if named else merged)
+
     def bgp(self, patterns: list, needed: set[str], graph: str | None = None) -> Solutions:
         from gossamer.operators.bgp import solve
 

@@ -252,3 +252,21 @@ def test_more_graph_built_ins(session, tmp_path):
     { ({ :a :p :b } "PREFIX : <http://x#> CONSTRUCT { ?o :q ?s } WHERE { ?s :p ?o }") sp:query ?f . ?f log:includes { :b :q ?x } } => { :asked :is ?x } .
     { { :a :p :b } log:n3String ?t . ?t string:contains ":b" } => { :text :is true } .""" % (tmp_path / "d.xml"))
     assert found(g.filter(), "is") == {(x("subjects"), T.seq("S", [x("a"), x("c")])), (x("doc"), T.lit('<a b="1"></a>', T.RDF + "XMLLiteral")), (x("lenient"), T.xsd(5, "integer")), (x("asked"), x("a")), (x("text"), T.xsd("true", "boolean"))}
+
+
+def test_closure_over_documents(session, tmp_path):
+    (tmp_path / "b.n3").write_text(HEAD + ":b :q :c . :c a <gone.n3#T> .")
+    g = graph(session, f"@prefix b: <{tmp_path}/b.n3#> . b:x :p :a . :k owl:sameAs :l . <HTTP://Example.org/%7ea/../b> :n :m . {{ :t :u :v }} a log:Truth .")
+    with pytest.raises(OSError):
+        g.closure("o")
+    out = g.closure("sETne")
+    assert found(out, "q") == {(x("b"), x("c"))} and found(out, "u") == {(x("t"), x("v"))} and found(out, "n") == {("<http://example.org/b>", x("m"))}
+
+
+def test_from_and_named_graphs(session, spark):
+    quads = spark.createDataFrame([("u:1", "<u:a>", "<u:p>", '"1"'), ("u:2", "<u:a>", "<u:p>", '"2"'), ("u:3", "<u:a>", "<u:p>", '"3"'), ("", "<u:a>", "<u:p>", '"0"')], R.QUADS)
+    ask = lambda q: rows(sparql.run(QuadGraph(spark, quads), q))
+    assert ask("SELECT ?v WHERE { <u:a> <u:p> ?v }") == {('"0"',)}
+    assert ask("SELECT ?v FROM <u:1> FROM <u:2> WHERE { <u:a> <u:p> ?v }") == {('"1"',), ('"2"',)}
+    assert ask("SELECT ?g ?v FROM NAMED <u:3> WHERE { GRAPH ?g { <u:a> <u:p> ?v } }") == {("<u:3>", '"3"')}
+    assert ask("SELECT ?v WHERE { GRAPH <u:2> { <u:a> <u:p> ?v } }") == {('"2"',)}
