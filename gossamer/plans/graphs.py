@@ -454,7 +454,7 @@ class Graph:
             return bgp.unify(df, F.coalesce(bgp.get(p).fwd(bgp.arg(a)), F.lit(ERROR)), obj)
 
         log = f"<{LOG}{{}}>".format
-        cwm = f"<{T.SWAP}sparqlCwm#{{}}>".format
+        query = f"<{T.SWAP}sparqlCwm#{{}}>".format
         return {
             **{f"<{T.SWAP}set#{n}>": mapped(part(k)) for k, n in enumerate(("subjects", "predicates", "objects"))},
             f"<{T.SWAP}set#triples>": mapped(triples),
@@ -477,11 +477,11 @@ class Graph:
             log("existentialVariableName"): existential,
             f"<{T.AIR}owlEntails>": entails,
             f"<{T.AIR}justifies>": justifies,
-            cwm("semantics"): mapped(parsed_query),
-            cwm("query"): mapped(sub_query),
-            cwm("queryEndpoint"): mapped(endpoint),
-            cwm("typeErrorIsTrue"): error_is_true,
-            cwm("typeErrorReturner"): error_returner,
+            query("semantics"): mapped(parsed_query),
+            query("query"): mapped(sub_query),
+            query("queryEndpoint"): mapped(endpoint),
+            query("typeErrorIsTrue"): error_is_true,
+            query("typeErrorReturner"): error_returner,
             "<http://www.w3.org/2006/xpath-functions#doc>": mapped(document),
         }
 
