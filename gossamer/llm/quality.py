@@ -2,8 +2,8 @@
 
 A document is the mean of learned vectors of its hashed words, word pairs (a word and itself: one for all words) and
 character 3- and 4-grams; a softmax layer
-gives the two classes. Trained by numpy stochastic gradient descent on a bounded sample of labelled rows (`MOST_ROWS`,
-the smallest seeded hashes of doc_id), which the driver may hold. The layer is linear in the mean, so scoring folds
+gives the two classes. Trained by numpy stochastic gradient descent, in one task, on a bounded sample of labelled rows
+(`MOST_ROWS` and `MOST_BYTES`, the smallest seeded hashes of doc_id). The layer is linear in the mean, so scoring folds
 each vector and the layer into one number: a table of 2**BUCKET_BITS floats, whatever the corpus.
 
 Defined cases: a null or empty text scores by the bias alone; labels that are null or neither 0 nor 1 are ignored, and
@@ -22,8 +22,9 @@ from pyspark.sql import types as T
 from gossamer.llm import _text
 
 BUCKET_BITS = 17
-#: The bound of the labelled sample and of the bytes of one sampled text that training holds; scoring reads whole texts.
-MOST_ROWS = 6000
+#: The bounds of the labelled sample: rows, and bytes of whole texts after which no more rows are taken.
+MOST_ROWS = 3000
+MOST_BYTES = 64 << 20
 DIM = 16
 U = np.uint64
 
@@ -65,12 +66,14 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Model:
-    """Vectors of the buckets, the softmax layer, and both folded into one number a bucket."""
+    """What scoring needs of the vectors and the layer: one number a bucket, and the bias."""
 
-    def __init__(self, vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray):
-        self.vectors, self.layer, self.bias = vectors, layer, bias
-        self.margin = (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32)
-        self.offset = float(bias[1] - bias[0])
+    def __init__(self, margin: np.ndarray, offset: float):
+        self.margin, self.offset = margin, offset
+
+    @classmethod
+    def folded(cls, vectors: np.ndarray, layer: np.ndarray, bias: np.ndarray) -> Model:
+        return cls((vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         f, first = features(data, off)
@@ -89,7 +92,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 3, rate: float = 0
     if not 0 < ones < len(labels):
         share = (ones + 1) / (len(labels) + 2)
         vectors[:] = 0
-        return Model(vectors, layer, np.log([1 - share, share]))
+        return Model.folded(vectors, layer, np.log([1 - share, share]))
     docs = []
     for t in texts:
         d = np.frombuffer(t, np.uint8)
@@ -112,7 +115,7 @@ def fit(texts: list[bytes], labels: np.ndarray, epochs: int = 3, rate: float = 0
             layer -= lr * np.outer(hidden, p)
             bias -= lr * 0.1 * p
             vectors[b] -= (lr * 20 * share)[:, None] * back
-    return Model(vectors, layer, bias)
+    return Model.folded(vectors, layer, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, folds: int = 5, held_out: int = 0) -> Model:
@@ -122,8 +125,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_ROWS, folds: int
     ids = sample.orderBy("order", "doc_id").limit(most).select("doc_id", "quality", "order")
     # At most `most` ids: small enough to send everywhere, whatever the tables hold.
     found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.first("quality").alias("quality"), F.first("order").alias("order"))
-    rows = sorted(found.toLocalIterator(), key=lambda r: (r.order, r.doc_id))
-    return fit([r.text.encode() for r in rows], np.array([r.quality for r in rows], np.int64))
+
+    def learn(batches):
+        texts, marks, held = [], [], 0
+        for batch in batches:
+            for t, q in zip(batch.column("text"), batch.column("quality").to_pylist()):
+                if held < MOST_BYTES:
+                    texts.append(t.as_py().encode())
+                    marks.append(q)
+                    held += len(texts[-1])
+        m = fit(texts, np.array(marks, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([m.margin.tobytes()], pa.binary()), pa.array([m.offset])], names=["margin", "offset"])
+
+    # At most `most` rows for the one task.
+    ordered = found.repartition(1).sortWithinPartitions("order", "doc_id").select("text", "quality")
+    row = ordered.mapInArrow(learn, "margin binary, offset double").first()
+    return Model(np.frombuffer(row.margin, np.float32), row.offset) if row else fit([], np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.3) -> DataFrame:
@@ -135,9 +152,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.3
     shared = docs.sparkSession.sparkContext.broadcast((model.margin, model.offset))
 
     def run(batches):
-        margin, offset = shared.value
-        m = Model.__new__(Model)
-        m.margin, m.offset = margin, offset
+        m = Model(*shared.value)
         for batch in batches:
             for a, b, data, off in _text.text_pieces(batch, "__text"):
                 part, s = batch.slice(a, b - a), m.scores(data, off)
