@@ -280,3 +280,14 @@ def test_from_and_named_graphs(session, spark):
     assert ask("SELECT ?v FROM <u:1> FROM <u:2> WHERE { <u:a> <u:p> ?v }") == {('"1"',), ('"2"',)}
     assert ask("SELECT ?g ?v FROM NAMED <u:3> WHERE { GRAPH ?g { <u:a> <u:p> ?v } }") == {("<u:3>", '"3"')}
     assert ask("SELECT ?v WHERE { GRAPH <u:2> { <u:a> <u:p> ?v } }") == {('"2"',)}
+
+
+def test_n3ql_and_own_built_ins(session):
+    from gossamer.functions.registry import Builtin, add
+
+    g = graph(session, ":a :p 1 . :b :p 2 .")
+    d = n3.parse(HEAD + "@prefix ql: <http://www.w3.org/2004/ql#> . [] ql:where { ?x :p ?v . ?v math:greaterThan 1 } ; ql:select { ?x :big ?v } .", "u:ql", "ql_")
+    assert rows(g.query(d).statements) == {(x("b"), x("big"), T.xsd(2, "integer"))}
+    add("http://x#", twice=Builtin(fwd=lambda s: T.c_xsd((s.number * 2).cast("int"), "integer")))
+    rules = R.rules_of(n3.parse(HEAD + "{ ?x :p ?v . ?v :twice ?w } => { ?x :q ?w } .", "u:own"))
+    assert {r.o for r in R.filter_rules(g.quads, rules).collect()} == {T.xsd(2, "integer"), T.xsd(4, "integer")}
