@@ -24,7 +24,7 @@ _T = np.random.default_rng(20240601).integers(1, 2**63, 256, dtype=np.int64).ast
 _P = 0x9E3779B97F4A7C15 | 5
 _P_INV = pow(_P, -1, 2**64)
 _pow = np.ones(1, U), np.ones(1, U)
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:

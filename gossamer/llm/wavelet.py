@@ -53,7 +53,7 @@ class Encoder:
     encoded once. Pieces are
     known by a 64-bit hash of their bytes; `MOST` bounds how many a process remembers."""
 
-    MOST = 3_000_000
+    MOST = 2_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
