@@ -32,14 +32,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/gossamer/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def free(spark: SparkSession) -> None:
+    """Delete what finished queries have shuffled: it is unreachable, and Spark deletes it when the driver's Python and
+    then its JVM collect garbage, which by itself may be half an hour away."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, survives the loss of any executor."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    # What the write has shuffled is unreachable now; Spark deletes it when the driver's Python and then its JVM collect
-    # garbage, which by itself may be half an hour away.
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    free(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._gossamer_path = path
     return out

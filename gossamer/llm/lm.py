@@ -1,7 +1,7 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
 Level 1 has every distinct training token, by hash, with its count. Levels 2 and 3 have the word pairs and triples that
-occur at least `least` times and whose parts do. A level keeps, for each context, a range of children: the range's
+occur at least `least` times: all of them, unless a caller asks for less. A level keeps, for each context, a range of children: the range's
 start in one Elias-Fano sequence, the children's word numbers in another, made monotone by adding the last value before
 the range; a lookup adds that offset to the word's number and searches the successor. Probabilities and back-off
 weights are 16-bit logarithms.
@@ -9,8 +9,10 @@ weights are 16-bit logarithms.
 The model is interpolated: P(w) = (c+1)/(N+V+1); P(w|h) = (c(hw)-D)/c(h) + g(h) P(w|h') for stored hw and g(h) P(w|h')
 for others, where g(h) is what the stored children of h leave over. So what is not stored costs no probability.
 
-A level is cut into files by ranges of the tokens' hashes and lies in the shared folder; tasks map the files into
-memory. Counts are added up in the tasks before they are shuffled, so a frequent token is one row a task.
+Level 1 is cut into files by ranges of the tokens' hashes, levels 2 and 3 by ranges of contexts that occur about equally
+often; files lie in the shared folder and tasks map them into memory. Counts are added up in the tasks before they are
+shuffled, so a frequent token is one row a task. Levels 2 and 3 are made in passes over ranges of contexts, so that only
+a part of the pairs or triples lies in shuffle files at a time.
 
 Defined cases: a null or empty text is the end token alone; without training documents N and V are 0 and every token
 has probability 1; rows with a null doc_id are training rows; repeated rows count and are scored each.
@@ -32,11 +34,13 @@ from gossamer.llm.elias_fano import EliasFano, dump, load
 U = np.uint64
 #: The hash that stands for the end of a document.
 END = U(0x5851F42D4C957F2D)
-LEAST = 8
+LEAST = 1
 DISCOUNT = 0.75
 SCALE = 4096
 #: Distinct tokens to a file of level 1.
 FILE = 1 << 21
+#: Passes in which level 2 and level 3 are made.
+PASSES = 4
 SCORE = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -69,6 +73,8 @@ class Model:
     distinct: int = 0
     least: int = LEAST
     bases: dict[int, list[int]] = field(default_factory=dict)
+    #: Of levels 2 and 3: the number of the first context of each file, and of all contexts.
+    cuts: dict[int, list[int]] = field(default_factory=dict)
 
     def part(self, level: int, shard: int) -> dict | None:
         """The mapped arrays of a file, None where there is none."""
@@ -84,9 +90,10 @@ class Model:
                 _levels[key] = a | {"sequence": EliasFano.load(a, "values")} | ({"starts": EliasFano.load(a, "pointers")} if level > 1 else {})
         return _levels[key]
 
-    def _by_shard(self, level: int, ids: np.ndarray):
-        """(shard, from, to) of sorted numbers of a level's entries."""
-        cut = np.searchsorted(ids, self.bases[level])
+    @staticmethod
+    def _by_shard(bounds: list[int], ids: np.ndarray):
+        """(shard, from, to) of sorted numbers, by the first number of each shard."""
+        cut = np.searchsorted(ids, bounds)
         return ((s, a, b) for s, (a, b) in enumerate(itertools.pairwise(cut)) if a < b)
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +114,7 @@ class Model:
             return np.zeros(0, np.int64)
         order = np.argsort(ids, kind="stable")
         out, s_ids = np.zeros(len(ids), np.int64), ids[order]
-        for s, a, b in self._by_shard(level, s_ids):
+        for s, a, b in self._by_shard(self.bases[level], s_ids):
             out[order[a:b]] = self.part(level, s)["counts"][s_ids[a:b] - self.bases[level][s]]
         return out
 
@@ -118,11 +125,11 @@ class Model:
         """For contexts (numbers of the level below, sorted) and words (-1: unknown): the number of the entry (-1: none),
         its log10 probability and the context's log10 weight."""
         number, prob, weight = np.full(len(context), -1), np.zeros(len(context)), np.zeros(len(context))
-        for s, a, b in self._by_shard(level - 1, context):
+        for s, a, b in self._by_shard(self.cuts[level], context):
             p = self.part(level, s)
             if not p:
                 continue
-            c = context[a:b] - self.bases[level - 1][s]
+            c = context[a:b] - self.cuts[level][s]
             weight[a:b] = p["weights"][c] / -SCALE
             at = np.flatnonzero((word[a:b] >= 0) & _maybe(p["filter"], c, word[a:b]))
             c, w = c[at], word[a:b][at]
@@ -138,10 +145,11 @@ class Model:
     def child_word(self, numbers: np.ndarray) -> np.ndarray:
         """The last word of entries of level 2, by sorted number."""
         out = np.zeros(len(numbers), np.int64)
-        for s, a, b in self._by_shard(2, numbers):
+        for s, a, b in self._by_shard(self.bases[2], numbers):
             p = self.part(2, s)
             i = numbers[a:b] - self.bases[2][s]
-            lo = p["starts"].access(p["owner_start"][i].astype(np.int64)).astype(np.int64)
+            starts = p["starts"].access(np.arange(p["starts"].n)).astype(np.int64)
+            lo = starts[np.searchsorted(starts, i, "right") - 1]
             offset = np.where(lo > 0, p["sequence"].access(np.maximum(lo - 1, 0)), U(0))
             out[a:b] = (p["sequence"].access(i) - offset - U(1)).astype(np.int64)
         return out
@@ -194,13 +202,13 @@ def _bits(context: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
 
 
 def _maybe(held: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Whether a file's filter may hold (context, word): one bit in 16 a stored pair."""
+    """Whether a file's filter may hold (context, word): one bit in 8 at most is set."""
     at = _bits(context, word, len(held))
     return held[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
 
 
 def _filter(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    size = max(8, 1 << (2 * len(context) - 1).bit_length())
+    size = max(8, 1 << (len(context) - 1).bit_length())
     flags = np.zeros(size * 8, bool)
     flags[_bits(context, word, size)] = True
     return np.packbits(flags, bitorder="little")
@@ -253,41 +261,30 @@ def _tokens_of(batches):
             yield a, b, ids, (off[a : b + 1] - off[a]) // width, batch
 
 
-def _frequent(ids: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
-    """Positions of tokens that follow another of their row, both frequent."""
-    u, back = np.unique(ids, return_inverse=True)
-    counts = np.zeros(len(u), np.int64)
-    counts[u >= 0] = model.counts(1, u[u >= 0])
-    often = (counts >= model.least)[back]
-    follows = often.copy()
-    follows[1:] &= often[:-1]
-    follows[first[:-1][first[:-1] < len(ids)]] = False
-    return np.flatnonzero(follows)
-
-
 def _by_group(batches, names: list[str]):
     """Whole groups of equal first column from batches in its order."""
-    left = None
-    for batch in itertools.chain(batches, [None]):
-        if batch is not None:
-            cols = [np.asarray(batch.column(n)) for n in names]
-            left = cols if left is None else [np.concatenate(x) for x in zip(left, cols)]
-        if left is None or not len(left[0]):
-            continue
-        while len(left[0]) and (batch is None or left[0][0] != left[0][-1]):
-            cut = int(np.searchsorted(left[0], left[0][0], "right"))
-            yield int(left[0][0]), [c[:cut] for c in left[1:]]
-            left = [c[cut:] for c in left]
+    held, at = [], 0
+    for batch in batches:
+        key, *cols = (np.asarray(batch.column(n)) for n in names)
+        for i, j in itertools.pairwise([0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]):
+            if i < j and held and key[i] != at:
+                yield at, [np.concatenate(c) for c in zip(*held)]
+                held = []
+            if i < j:
+                at = int(key[i])
+                held.append([c[i:j] for c in cols])
+    if held:
+        yield at, [np.concatenate(c) for c in zip(*held)]
 
 
-def _sizes(df: DataFrame, shards: int) -> list[int]:
-    """Entries before each file, from one row a file."""
-    n = {r.shard: r.n for r in df.collect()}
-    return [0, *itertools.accumulate(n.get(s, 0) for s in range(shards))]
+def _cuts(counts: np.ndarray, most: int) -> np.ndarray:
+    """Where to cut contexts that occur so often into files of about `most` occurrences, or one context that has more."""
+    piece = (np.cumsum(counts) - counts) // most
+    return np.flatnonzero(piece[1:] != piece[:-1]) + 1
 
 
 def _small(c: np.ndarray) -> np.ndarray:
-    return c.astype(np.uint32 if not len(c) or c.max() < 1 << 32 else np.int64)
+    return c.astype(next((t for t in (np.uint16, np.uint32) if not len(c) or c.max() <= np.iinfo(t).max), np.int64))
 
 
 def _trie_level(model: Model, level: int, shard: int, context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray, context_counts: np.ndarray) -> bytes:
@@ -306,7 +303,9 @@ def _trie_level(model: Model, level: int, shard: int, context: np.ndarray, word:
     before[full] = np.concatenate([[0], ends[:-1]])
     values = before[context] + word + 1
     arrays = EliasFano.of(values).arrays("values") | EliasFano.of(starts).arrays("pointers")
-    arrays |= {"probs": quantised(np.log10(probs)), "weights": quantised(np.log10(left)), "counts": _small(count), "owner_start": context.astype(np.uint32), "filter": _filter(context, word)}
+    arrays |= {"probs": quantised(np.log10(probs)), "weights": quantised(np.log10(left)), "filter": _filter(context, word)}
+    if level == 2:
+        arrays |= {"counts": _small(count)}
     return dump(arrays)
 
 
@@ -335,16 +334,34 @@ def train(docs: DataFrame, least: int = LEAST) -> tuple[Model, DataFrame]:
     model = Model(_store.new_path(spark, "trie"), bits, total, distinct, least)
     shards = 1 << bits
 
+    #: Occurrences of the contexts of a file.
+    most = min(1 << 21, max(1 << 18, total >> 7))
+
+    def made(shard: int, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([_cuts(counts, most)], pa.list_(pa.int64()))], names=["shard", "n", "cuts"])
+
+    def noted(level: int, rows: list, shards: int) -> None:
+        """Entries before each file of a level, and where its entries are cut as contexts."""
+        n = {r.shard: r.n for r in rows}
+        model.bases[level] = base = [0, *itertools.accumulate(n.get(s, 0) for s in range(shards))]
+        inner = [base[r.shard] + c for r in rows for c in (*r.cuts, r.n)]
+        model.cuts[level + 1] = sorted({0, base[-1], *inner})
+
     def put1(batches):
         for shard, (w, c) in _by_group(batches, ["shard", "w", "c"]):
             values = w.view(U) & U((1 << (64 - bits)) - 1)
             _store.put(f"{model.folder}/level1-{shard:05d}.trie", dump(EliasFano.of(values).arrays("values") | {"counts": _small(c)}))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(w)], pa.int64())], names=["shard", "n"])
+            yield made(shard, c)
 
+    made_schema = "shard int, n long, cuts array<long>"
     sharded = level1.select(F.shiftrightunsigned("w", 64 - bits).cast("int").alias("shard"), "w", "c")
-    model.bases[1] = _sizes(sharded.repartition(shards, "shard").sortWithinPartitions("shard", "w").mapInArrow(put1, "shard int, n long"), shards)
+    noted(1, sharded.repartition(shards, "shard").sortWithinPartitions("shard", "w").mapInArrow(put1, made_schema).collect(), shards)
     _store.forget(level1, spark)
-    known = Model(model.folder, bits, total, distinct, least, dict(model.bases))
+
+    def so_far() -> Model:
+        return Model(model.folder, bits, total, distinct, least, dict(model.bases), dict(model.cuts))
+
+    known = so_far()
     kind = np.int32 if distinct < 1 << 31 else np.int64
 
     def encode(batches):
@@ -360,75 +377,72 @@ def train(docs: DataFrame, least: int = LEAST) -> tuple[Model, DataFrame]:
     encoded = _store.written(rows.mapInArrow(encode, ENCODED), "encoded")
     if not distinct:
         return model, encoded
-    fits = (distinct + 2) ** 2 < 1 << 63
-    keys = ["k"] if fits else ["a", "b"]
-
-    def keyed(a: np.ndarray, b: np.ndarray) -> tuple:
-        x, y, back = _unique(a, b, distinct)
-        counts = np.bincount(back, minlength=len(x)) if len(x) else np.zeros(0, np.int64)
-        return (x * (distinct + 2) + y + 1, counts) if fits else (x, y, counts)
-
-    def counted(f, level: int) -> DataFrame:
-        """(shard, a, b, c) of the pairs that occur often enough."""
-        sums = encoded.where("NOT held_out").select("wide", "ids").mapInArrow(f, ", ".join(f"{k} long" for k in [*keys, "c"])).repartition(n, *keys).groupBy(*keys).agg(F.sum("c").alias("c")).where(F.col("c") >= least)
-        base = np.array(model.bases[level])
 
-        def split(batches):
-            for batch in batches:
-                *k, c = (np.asarray(x) for x in batch.columns)
-                a, b = (k[0] // (distinct + 2), k[0] % (distinct + 2) - 1) if fits else k
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.searchsorted(base, a, "right") - 1, a, b, c)], names=["shard", "a", "b", "c"])
-
-        return _store.written(sums.select(*keys, "c").mapInArrow(split, "shard long, a long, b long, c long"), f"level{level + 1}")
-
-    def level_files(table: DataFrame, put) -> list[int]:
-        return _sizes(table.repartition(shards, "shard").sortWithinPartitions("shard", "a", "b").mapInArrow(put, "shard int, n long"), shards)
-
-    def bigrams(batches):
-        def pieces():
-            for _, _, ids, first, _ in _tokens_of(batches):
-                t = _frequent(ids, first, known)
-                yield keyed(ids[t - 1], ids[t])
-
-        return _counted(pieces(), [*keys, "c"])
+    def level_files(level: int, model: Model, pairs) -> None:
+        """Writes a level's files. pairs(ids, first, from, to): context and word of what a piece holds with contexts in
+        that range."""
+        cuts, base = np.array(model.cuts[level]), model.bases[level - 1][-1]
+        fits = (base + 1) * (distinct + 2) < 1 << 63
+        keys = ["k"] if fits else ["a", "b"]
+
+        def counted(lo: int, hi: int):
+            def pieces(batches):
+                for _, _, ids, first, _ in _tokens_of(batches):
+                    a, b, back = _unique(*pairs(ids, first, lo, hi), distinct)
+                    yield *((a * (distinct + 2) + b,) if fits else (a, b)), np.bincount(back, minlength=len(a))
+
+            def run(batches):
+                for out in _counted(pieces(batches), [*keys, "c"]):
+                    a = np.asarray(out.column(0)) // (distinct + 2 if fits else 1)
+                    yield pa.RecordBatch.from_arrays([pa.array((np.searchsorted(cuts, a, "right") - 1).astype(np.int32)), *out.columns], names=["shard", *keys, "c"])
+
+            return run
+
+        def put(batches):
+            for shard, (*k, c) in _by_group(batches, ["shard", *keys, "c"]):
+                a, b = (k[0] // (distinct + 2), k[0] % (distinct + 2)) if fits else k
+                own = model.counts(level - 1, np.arange(cuts[shard], cuts[shard + 1]))
+                lower = model.unigram(model.counts(1, b))
+                if level == 3:
+                    _, lower = model.pairs(model.child_word(a), b, lower)
+                _store.put(f"{model.folder}/level{level}-{shard:05d}.trie", _trie_level(model, level, shard, a - cuts[shard], b, c, lower, own))
+                yield made(shard, c)
+
+        rows, files = [], len(cuts) - 1
+        train = encoded.where("NOT held_out").select("wide", "ids")
+        for x, y in itertools.pairwise(sorted({files * i // PASSES for i in range(PASSES + 1)})):
+            found = train.mapInArrow(counted(int(cuts[x]), int(cuts[y])), f"shard int, {', '.join(f'{k} long' for k in keys)}, c long")
+            sums = F.sum("c").alias("c")
+            if level == 2:
+                # A frequent word is followed by much the same words in all tasks: those are added up by pair first.
+                found = found.repartition(n, *keys).groupBy("shard", *keys).agg(sums).repartition(max(1, y - x), "shard")
+            else:
+                found = found.repartition(max(1, y - x), "shard").groupBy("shard", *keys).agg(sums)
+            rows += found.where(F.col("c") >= least).sortWithinPartitions("shard", *keys).mapInArrow(put, made_schema).collect()
+            _store.free(spark)
+        noted(level, rows, files)
 
-    def put2(batches):
-        for shard, (a, b, c) in _by_group(batches, ["shard", "a", "b", "c"]):
-            own = known.part(1, shard)["counts"].astype(np.int64)
-            raw = _trie_level(known, 2, shard, a - known.bases[1][shard], b, c, known.unigram(known.counts(1, b)), own)
-            _store.put(f"{model.folder}/level2-{shard:05d}.trie", raw)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(a)], pa.int64())], names=["shard", "n"])
+    def bigrams(ids, first, lo, hi):
+        follows = np.ones(len(ids), bool)
+        follows[first[:-1]] = False
+        t = 1 + np.flatnonzero(follows[1:] & (ids[:-1] >= lo) & (ids[:-1] < hi))
+        return ids[t - 1], ids[t]
 
-    level2 = counted(bigrams, 1)
-    model.bases[2] = level_files(level2, put2)
-    paired = Model(model.folder, bits, total, distinct, least, dict(model.bases))
+    level_files(2, known, bigrams)
+    paired = so_far()
 
-    def trigrams(batches):
-        def pieces():
-            for _, _, ids, first, _ in _tokens_of(batches):
-                pair = np.full(len(ids), -1)
-                t = _frequent(ids, first, paired)
-                if len(t):
-                    pair[t], _ = paired.pairs(ids[t - 1], ids[t], np.zeros(len(t)))
-                t = t[(pair[t] >= 0) & (pair[t - 1] >= 0)]
-                t = t[~np.isin(t, first)]
-                yield keyed(pair[t - 1], ids[t])
-
-        return _counted(pieces(), [*keys, "c"])
-
-    def put3(batches):
-        for shard, (a, b, c) in _by_group(batches, ["shard", "a", "b", "c"]):
-            own = paired.part(2, shard)["counts"].astype(np.int64)
-            middle = paired.child_word(a)
-            _, lower = paired.pairs(middle, b, paired.unigram(paired.counts(1, b)))
-            raw = _trie_level(paired, 3, shard, a - paired.bases[2][shard], b, c, lower, own)
-            _store.put(f"{model.folder}/level3-{shard:05d}.trie", raw)
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(a)], pa.int64())], names=["shard", "n"])
-
-    level3 = counted(trigrams, 2)
-    model.bases[3] = level_files(level3, put3)
-    for t in (level2, level3):
-        _store.forget(t, spark)
+    def trigrams(ids, first, lo, hi):
+        follows = np.ones(len(ids), bool)
+        follows[first[:-1]] = False
+        # The pairs from lo to hi lie in these files, which have these words as contexts.
+        files = np.searchsorted(paired.bases[2], lo, "right") - 1, np.searchsorted(paired.bases[2], hi)
+        low, high = (paired.cuts[2][f] for f in files)
+        t = 1 + np.flatnonzero(follows[1:-1] & follows[2:] & (ids[:-2] >= low) & (ids[:-2] < high))
+        pair, _ = paired.pairs(ids[t - 1], ids[t], np.zeros(len(t)))
+        held = (pair >= lo) & (pair < hi)
+        return pair[held], ids[t[held] + 1]
+
+    level_files(3, paired, trigrams)
     return model, encoded
 
 

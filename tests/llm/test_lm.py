@@ -81,3 +81,23 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     model, encoded = lm.train(df)
     assert lm.score(encoded, model).collect() == []
+
+
+def test_all_pairs_and_triples_are_stored(spark, monkeypatch):
+    # Rare phrases, a frequent word with many followers, and more files than one for each level.
+    monkeypatch.setattr(lm, "_cuts", lambda counts, most: np.flatnonzero(np.diff((np.cumsum(counts) - counts) // 50)) + 1)
+    rng = random.Random(7)
+    rows = [(i, " ".join(x for k in range(rng.randint(0, 20)) for x in ("the", f"r{rng.randrange(400)}"))) for i in range(200)]
+    rows += [(1000, "once upon a time"), (1001, "once upon a time"), (None, "once upon"), (1003, None), (1004, "a")]
+    want = plain_scores(rows, 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    model, encoded = lm.train(df)
+    got = lm.score(encoded, model).collect()
+    train = [words(t) for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
+    for order in (2, 3):
+        assert model.bases[order][-1] == len({g for t in train for g in zip(*(t[i:] for i in range(order)))})
+        assert len(model.cuts[order]) > 3
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert tuple(g[:5]) == w[:5]
+        assert g[6] == pytest.approx(w[6], abs=1e-3 * w[2])
