@@ -75,6 +75,9 @@ class Encoder:
         self.tables = [(none.astype(np.uint64), none, none), (none.astype(np.uint64), none, none)]
         self.flat, self.used = np.zeros(1 << 16, self.dtype), 0
 
+    def _known(self) -> int:
+        return sum(len(t[0]) for t in self.tables)
+
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         data, off = _text.buffers(pa.array(texts, pa.large_string()))
         flat, at = self.encode(data, off)
@@ -104,6 +107,8 @@ class Encoder:
         size = count[back]
         place = np.concatenate([[0], np.cumsum(size)])
         flat = self.flat[np.repeat(where[back] - place[:-1], size) + np.arange(place[-1])]
+        if self._known() > self.MOST:
+            self.clear()
         return flat, place[np.searchsorted(start, off)]
 
     @staticmethod
@@ -122,7 +127,8 @@ class Encoder:
         new = np.flatnonzero(where < 0)
         if not len(new):
             return where, count
-        if sum(len(t[0]) for t in self.tables) + len(new) > self.MOST:
+        # Rows that alone hold more than MOST pieces exceed it, and encode() empties the tables after them.
+        if self._known() and self._known() + len(new) > self.MOST:
             self.clear()
             return self._find(u, data, start, end)
         # Pieces that do not end in a blank are encoded many in a string: behind their own space, or else behind a line

@@ -27,6 +27,15 @@ def test_ids_are_the_tokenizers_own():
     assert [x.tolist() for i in range(0, len(ts), 300) for x in e.ids(ts[i : i + 300])] == want
 
 
+def test_a_text_with_more_pieces_than_are_remembered():
+    e = wavelet.Encoder(PATH)
+    e.MOST = 50
+    ts = ["some known words", " ".join(f"word{i}" for i in range(400)), "some known words and more", " ".join(f"word{i}" for i in range(399, 0, -1))]
+    for t in ts:
+        assert e.ids([t])[0].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert sum(len(x[0]) for x in e.tables) <= e.MOST
+
+
 @pytest.mark.parametrize("ids", [np.random.default_rng(0).integers(0, 50257, 30_000).astype(np.uint16), np.zeros(1000, np.uint16), np.array([7], np.uint16), np.random.default_rng(1).integers(0, 200_000, 5000).astype(np.uint32)])
 def test_access_rank_select(ids):
     m = wavelet.WaveletMatrix(wavelet.dump(ids, [3], np.array([len(ids)])))
