@@ -226,14 +226,15 @@ def think(quads: DataFrame, rules: list[Rule], builtins: Builtins | None = None,
 
 
 def think_delta(known: DataFrame, delta: DataFrame, rules: list[Rule], builtins: Builtins | None = None, most_rounds: int = 1000) -> DataFrame:
-    """delta and all that the rules conclude from it together with `known`, which is closed already; without known."""
+    """delta and all that the rules conclude from it together with `known`, which is closed already; without known. Raises
+    when the rounds run out, as think does."""
     spark = known.sparkSession
     path = new_path(spark, "delta")
     delta.write.parquet(f"{path}/0")
     parts = [f"{path}/0"]
     table = lambda ps: spark.read.schema(QUADS).parquet(*ps)
     now = table(parts)
-    for k in range(1, most_rounds):
+    for k in range(1, most_rounds + 1):
         everything = known.unionByName(table(parts))
         out = None
         for r in rules:
@@ -250,4 +251,6 @@ def think_delta(known: DataFrame, delta: DataFrame, rules: list[Rule], builtins:
             table(parts).write.parquet(f"{path}/to{k}")
             parts = [f"{path}/to{k}"]
             release(spark)
+    else:
+        raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
     return table(parts)

@@ -17,8 +17,8 @@ from gossamer.plans import rules as R
 class Closure:
     """The fixpoint of rules over a stream of quads, in a folder."""
 
-    def __init__(self, spark: SparkSession, folder: str, rules: list[R.Rule]):
-        self.spark, self.folder, self.rules = spark, folder, rules
+    def __init__(self, spark: SparkSession, folder: str, rules: list[R.Rule], most_rounds: int = 1000):
+        self.spark, self.folder, self.rules, self.most_rounds = spark, folder, rules, most_rounds
 
     def parts(self, before: int | None = None) -> list[str]:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
@@ -37,7 +37,7 @@ class Closure:
         """Adds a batch and all that follows from it."""
         known = self.quads(number)
         delta = batch.select("g", "s", "p", "o").distinct().join(known, ["g", "s", "p", "o"], "left_anti")
-        new = R.think_delta(known, delta, self.rules)
+        new = R.think_delta(known, delta, self.rules, most_rounds=self.most_rounds)
         new.write.mode("overwrite").parquet(f"{self.folder}/batch={number:08d}")
 
     def follow(self, stream: DataFrame, checkpoint: str, trigger: Callable | None = None) -> StreamingQuery:

@@ -243,6 +243,20 @@ def test_incremental_closure(spark, tmp_path):
     assert c.quads().where(F.col("p") == x("r")).count() == 8 * 9 // 2 and len(c.parts()) == 2
 
 
+def test_incremental_closure_that_runs_out_of_rounds(spark, tmp_path):
+    from gossamer.streaming.incremental import Closure
+
+    rules = R.rules_of(n3.parse(HEAD + "{ ?a :r ?b . ?b :e ?c } => { ?a :r ?c } .", "u:inc"))
+    chain = spark.createDataFrame([("", x("n0"), x("r"), x("n1")), *(("", x(f"n{i}"), x("e"), x(f"n{i + 1}")) for i in range(1, 6))], R.QUADS)
+    with pytest.raises(RuntimeError):
+        Closure(spark, str(tmp_path / "few"), rules, most_rounds=3).take(chain, 0)
+    c = Closure(spark, str(tmp_path / "closure"), rules, most_rounds=6)
+    c.take(chain, 0)
+    assert c.quads().where(F.col("p") == x("r")).count() == 6
+    with pytest.raises(RuntimeError):
+        R.think_delta(R.empty(spark), chain, rules, most_rounds=3)
+
+
 def test_command_line(spark, tmp_path):
     (tmp_path / "a.n3").write_text(HEAD + ":a :p :b . { ?x :p ?y } => { ?y :q ?x } .")
     (tmp_path / "q.rq").write_text("PREFIX : <http://x#> SELECT ?x WHERE { ?x :q ?y }")
