@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 
 from pyspark.sql import DataFrame
@@ -70,13 +71,13 @@ def patch(quads: DataFrame, document: n3.Document) -> DataFrame:
     return quads
 
 
-def bnode_signatures(quads: DataFrame, rounds: int = 8, keep: list[str] = ()) -> DataFrame:
+def bnode_signatures(quads: DataFrame, rounds: int | None = None, keep: list[str] = ()) -> DataFrame:
     """(node, signature): hashes of blank nodes refined by their neighbours until as many are told apart as can be."""
     own = quads.where("g = ''")
     nodes = own.select(F.col("s").alias("node")).unionByName(own.select(F.col("o").alias("node"))).where(F.col("node").startswith("_:")).distinct()
     sig = written(nodes.withColumn("signature", F.lit("b")), "signatures")
     kinds = sig.select("signature").distinct().count()
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         name = lambda c: F.when(F.col(c).startswith("_:"), F.col(f"sig_{c}")).otherwise(F.col(c))
         told = own
         for c in "so":
