@@ -120,17 +120,20 @@ def fingerprint(quads: DataFrame) -> str:
 
 def delta(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """What makes b of a: rows (change, s, p, o), change 'deletion' or 'insertion'. Blank nodes of the two are matched
-    through inverse functional properties: those so declared in either graph, and `keys`."""
-    ifp = [f"<{T.OWL}InverseFunctionalProperty>", f"<{T.OWL}FunctionalProperty>"]
-    declared = a.unionByName(b).where((F.col("p") == T.TYPE) & (F.col("o") == ifp[0])).select("s").distinct()
+    as subjects of inverse functional properties, those so declared in either graph and `keys`, and as objects of
+    functional properties."""
+    declared = lambda kind: a.unionByName(b).where((F.col("p") == T.TYPE) & (F.col("o") == f"<{T.OWL}{kind}>")).select("s")
     own_a, own_b = (q.where("g = ''").select("s", "p", "o").distinct() for q in (a, b))
     extra = a.sparkSession.createDataFrame([(k,) for k in keys], "s string") if keys else None
-    props = declared.unionByName(extra) if extra is not None else declared
-    props = written(props.select(F.col("s").alias("p")).distinct(), "properties")
+    inverse = declared("InverseFunctionalProperty")
+    inverse = inverse.unionByName(extra) if extra is not None else inverse
+    # Of properties: the end of a statement that the other end identifies.
+    props = inverse.withColumn("end", F.lit("s")).unionByName(declared("FunctionalProperty").withColumn("end", F.lit("o")))
+    props = written(props.select(F.col("s").alias("p"), "end").distinct(), "properties")
+    ends = lambda q: q.join(props, "p").select("p", "end", F.when(F.col("end") == "s", F.col("o")).otherwise(F.col("s")).alias("by"), F.when(F.col("end") == "s", F.col("s")).otherwise(F.col("o")).alias("node")).where(F.col("node").startswith("_:"))
     table = None
     while True:
-        left, right = (q.join(props, "p", "left_semi").where(F.col("s").startswith("_:")) for q in (own_a, own_b))
-        met = left.select("p", "o", F.col("s").alias("node")).join(right.select("p", "o", F.col("s").alias("best")), ["p", "o"])
+        met = ends(own_a).join(ends(own_b).withColumnRenamed("node", "best"), ["p", "end", "by"])
         # A node that meets several is matched with the first; one matched already is not matched anew.
         met = written(met.groupBy("node").agg(F.min("best").alias("best")).where("node != best"), "matched")
         if met.isEmpty():
