@@ -27,6 +27,7 @@ from gossamer.terms import LOG, Seq, Term, is_var, members, variables
 QUADS = R.QUADS
 #: The value that stands for an error in a query.
 ERROR = T.iri(T.SWAP + "sparqlCwm#error")
+DOC_RULES = T.iri(T.SWAP + "pim/doc#rules")
 
 
 class Session:
@@ -224,12 +225,13 @@ class Graph:
 
     def closure(self, flags: str) -> Graph:
         """Documents that the statements mention, to a fixpoint: s, p, o subjects, predicates, objects; t objects of rdf:type;
-        i owl:imports; r rules (objects of log:implies and of rdfs:seeAlso are not followed). E goes on past documents that
+        i owl:imports; r doc:rules (objects of log:implies and of rdfs:seeAlso are not followed). E goes on past documents that
         cannot be read. Then T states what formulas of type log:Truth say, n makes addresses normal, e unites what is the
         same."""
         out, seen = self, {d.base for d in self.documents}
         where = [F.col(c) for c in "spo" if c in flags]
         tests = [F.when(F.col("p") == T.TYPE, F.col("o"))] * ("t" in flags) + [F.when(F.col("p") == f"<{T.OWL}imports>", F.col("o"))] * ("i" in flags)
+        tests += [F.when(F.col("p") == DOC_RULES, F.col("o"))] * ("r" in flags)
         while where or tests:
             found = out.statements.select(F.explode(F.array(*where, *tests)).alias("t")).where(F.col("t").startswith("<")).select(F.substring_index(T.c_uri(F.col("t")), "#", 1).alias("uri")).distinct()
             fresh = sorted(r.uri for r in found.collect() if r.uri not in seen)
