@@ -72,6 +72,10 @@ def get(uri: str, offset: int = 0, length: int | None = None) -> bytes:
         return f.read(length)
 
 
+def mounted(uri: str) -> bool:
+    return isinstance(filesystem(uri)[0], pafs.LocalFileSystem)
+
+
 def mapped(uri: str):
     """A buffer over the file: memory-mapped where the shared folder is mounted, read once elsewhere."""
     import pyarrow as pa

@@ -1,32 +1,39 @@
 """LM scoring with an Elias-Fano n-gram trie.
 
-Level 1 has every distinct training token, by hash, with its count. Levels 2 and 3 have the word pairs and triples that
-occur at least `least` times: all of them, unless a caller asks for less. A level keeps, for each context, a range of children: the range's
-start in one Elias-Fano sequence, the children's word numbers in another, made monotone by adding the last value before
-the range; a lookup adds that offset to the word's number and searches the successor. Probabilities and back-off
-weights are 16-bit logarithms.
-
-The model is interpolated: P(w) = (c+1)/(N+V+1); P(w|h) = (c(hw)-D)/c(h) + g(h) P(w|h') for stored hw and g(h) P(w|h')
-for others, where g(h) is what the stored children of h leave over. So what is not stored costs no probability.
-
-Level 1 is cut into files by ranges of the tokens' hashes, levels 2 and 3 by ranges of contexts that occur about equally
-often; files lie in the shared folder and tasks map them into memory. Counts are added up in the tasks before they are
-shuffled, so a frequent token is one row a task. Levels 2 and 3 are made in passes over ranges of contexts, so that only
-a part of the pairs or triples lies in shuffle files at a time.
+Level 1 has every distinct training token, by hash, with its count. Levels 2 and 3 have every word pair and triple of the
+training rows. They lie in files, each a trie of its own for one range of triples in the order of word numbers: for each
+word the range of its followers, for each pair the range of its third words. Ranges are Elias-Fano sequences of
+pointers; the words in them are one Elias-Fano sequence, made monotone by adding the last value before the range, so that
+a lookup adds that offset to the word's number and searches the successor. Discounted shares of the context and
+interpolation weights are 16-bit logarithms. Tasks map the files into memory.
+
+The model is interpolated: P(w) = (c+1)/(N+V+1); P(w|h) = max(c(hw)-D, 0)/c(h) + g(h) P(w|h') with g(h) = D n(h)/c(h), where
+n(h) counts the distinct words that follow h. Of an unknown context, P(w|h) is P(w|h').
+
+Texts are cut into pieces of a batch, kept as numbers of the piece's own words and the hashes of those. Tasks add up
+what they count and shuffle it as packed blocks, one for each range, so no row a token passes through the engine. The ranges
+are cut at quantiles of a sample of the triples, of about `most` occurrences each; the sample has a bearing on where the
+cuts are and on nothing else. A frequent word or pair may span several files: what such files know of it is added up in
+the model, which holds the two ends of each file. So no context is too frequent for one task; equal triples are added
+up in the tasks before they are shuffled.
 
 Defined cases: a null or empty text is the end token alone; without training documents N and V are 0 and every token
-has probability 1; rows with a null doc_id are training rows; repeated rows count and are scored each.
+has probability 1; rows with a null doc_id are training rows; repeated rows count and are scored each; a very long text
+is a piece of its own; doc_id may be of any type and other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gossamer.llm import _store, _text
 from gossamer.llm.elias_fano import EliasFano, dump, load
@@ -34,18 +41,20 @@ from gossamer.llm.elias_fano import EliasFano, dump, load
 U = np.uint64
 #: The hash that stands for the end of a document.
 END = U(0x5851F42D4C957F2D)
-LEAST = 1
 DISCOUNT = 0.75
 SCALE = 4096
-#: Distinct tokens to a file of level 1.
-FILE = 1 << 21
-#: Passes in which level 2 and level 3 are made.
-PASSES = 4
-SCORE = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Triples that a task adds up before it sends them.
+HELD = 1 << 21
+#: Triples sampled for each file to place the cuts.
+SAMPLE = 64
+#: Bytes of files read whole that a worker keeps, where the shared folder is not mounted.
+CACHE = 256 << 20
+_EXP = 10.0 ** (-np.arange(65536) / SCALE)
+SCORE = [*(T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")), *(T.StructField(n, T.DoubleType()) for n in ("base_score", "score"))]
 
 
-def quantised(log10: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(-log10 * SCALE), 0, 65535).astype(np.uint16)
+def quantised(p: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(-np.log10(p) * SCALE), 0, 65535).astype(np.uint16)
 
 
 def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +69,65 @@ def tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, at
 
 
-_levels: dict[tuple[str, int, int], dict | None] = {}
+def planes(values: np.ndarray) -> bytes:
+    """Numbers of 64 bits, byte by byte: what they have in common compresses away."""
+    v = np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8)
+    width = max(1, int(np.bitwise_or.reduce(values.view(U))).bit_length() + 7 >> 3) if len(values) else 1
+    return bytes([width]) + zstandard.compress(np.ascontiguousarray(v[:, :width].T).tobytes(), 1)
+
+
+def unplaned(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    v = np.frombuffer(zstandard.decompress(raw[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((v.shape[1], 8), np.uint8)
+    out[:, :width] = v.T
+    return out.view(np.int64).reshape(-1)
+
+
+def _new(*cols: np.ndarray) -> np.ndarray:
+    """Where sorted rows differ from the row before."""
+    out = np.ones(len(cols[0]), bool)
+    out[1:] = functools.reduce(np.logical_or, [c[1:] != c[:-1] for c in cols])
+    return out
+
+
+def summed(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of cols, in order, with the sums of their counts (1 or more each)."""
+    if len(cols) > 1:
+        order = np.lexsort(cols[::-1])
+        cols = [c[order] for c in cols]
+        at = np.flatnonzero(_new(*cols))
+        return [c[at] for c in cols], np.add.reduceat(counts[order], at) if len(at) else counts
+    key = np.sort(cols[0])
+    at = np.flatnonzero(_new(key))
+    key, total = key[at], np.diff(np.append(at, len(key)))
+    more = np.flatnonzero(counts > 1)
+    np.add.at(total, np.searchsorted(key, cols[0][more]), counts[more] - 1)
+    return [key], total
+
+
+def _deltas(key: np.ndarray) -> np.ndarray:
+    return np.diff(key, prepend=key.dtype.type(0))
+
+
+_levels: dict[tuple[str, str], dict] = {}
+
+
+def _mapped(folder: str, name: str) -> dict:
+    """The arrays of a file, mapped; the least recently used of those read whole go first."""
+    key = folder, name
+    got = _levels.pop(key, None)
+    if got is None:
+        uri = f"{folder}/{name}.trie"
+        buffer = _store.mapped(uri)
+        arrays = load(buffer)
+        got = arrays | {x: EliasFano.load(arrays, x) for x in ("words", "pairs", "triples", "starts2", "starts3") if f"{x}.meta" in arrays}
+        got["size"] = 0 if _store.mounted(uri) else len(memoryview(buffer))
+        held = sum(v["size"] for v in _levels.values()) + got["size"]
+        while _levels and (held > CACHE or len(_levels) > 4096):
+            held -= _levels.pop(next(iter(_levels)))["size"]
+    _levels[key] = got
+    return got
 
 
 @dataclass
@@ -71,389 +138,433 @@ class Model:
     bits: int
     total: int = 0
     distinct: int = 0
-    least: int = LEAST
-    bases: dict[int, list[int]] = field(default_factory=dict)
-    #: Of levels 2 and 3: the number of the first context of each file, and of all contexts.
-    cuts: dict[int, list[int]] = field(default_factory=dict)
-
-    def part(self, level: int, shard: int) -> dict | None:
-        """The mapped arrays of a file, None where there is none."""
-        key = (self.folder, level, shard)
-        if key not in _levels:
-            if len(_levels) > 4096:
-                _levels.clear()
-            b = self.bases[level]
-            if b[shard + 1] == b[shard]:
-                _levels[key] = None
-            else:
-                a = load(_store.mapped(f"{self.folder}/level{level}-{shard:05d}.trie"))
-                _levels[key] = a | {"sequence": EliasFano.load(a, "values")} | ({"starts": EliasFano.load(a, "pointers")} if level > 1 else {})
-        return _levels[key]
-
-    @staticmethod
-    def _by_shard(bounds: list[int], ids: np.ndarray):
-        """(shard, from, to) of sorted numbers, by the first number of each shard."""
-        cut = np.searchsorted(ids, bounds)
-        return ((s, a, b) for s, (a, b) in enumerate(itertools.pairwise(cut)) if a < b)
+    #: Numbers of words before each file of level 1.
+    bases: list[int] = field(default_factory=list)
+    #: First triple of each file of levels 2 and 3 but the first file, as three arrays.
+    cuts: tuple = ()
+    #: Files that hold triples, and what the two ends of each are in all files together (nan: as in the file).
+    files: np.ndarray | None = None
+    ends: np.ndarray | None = None
+    n_pairs: int = 0
+    n_triples: int = 0
+
+    @property
+    def pad(self) -> int:
+        """The number after the end of a text; the next one is any unknown word's."""
+        return self.distinct
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number (-1: unknown) and count of sorted hashes."""
-        ids, counts = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        """Number (unknown: pad + 1) and count of sorted hashes."""
+        ids, counts = np.full(len(hashes), self.pad + 1), np.zeros(len(hashes), np.int64)
         shift = U(64 - self.bits)
         cut = np.searchsorted(hashes >> shift, np.arange((1 << self.bits) + 1).astype(U))
         for s, (a, b) in enumerate(itertools.pairwise(cut)):
-            if a < b and (p := self.part(1, s)):
-                pos, hit = p["sequence"].successor(hashes[a:b] & U((1 << int(shift)) - 1))
-                ids[a:b] = np.where(hit, pos + self.bases[1][s], -1)
+            if a < b and self.bases[s] < self.bases[s + 1]:
+                p = _mapped(self.folder, f"level1-{s:05d}")
+                pos, hit = p["words"].successor(hashes[a:b] & U((1 << int(shift)) - 1))
+                ids[a:b] = np.where(hit, pos + self.bases[s], self.pad + 1)
                 counts[a:b] = np.where(hit, p["counts"][np.minimum(pos, len(p["counts"]) - 1)], 0)
         return ids, counts
 
-    def counts(self, level: int, ids: np.ndarray) -> np.ndarray:
-        """Counts of entries by number."""
-        if not len(ids):
-            return np.zeros(0, np.int64)
-        order = np.argsort(ids, kind="stable")
-        out, s_ids = np.zeros(len(ids), np.int64), ids[order]
-        for s, a, b in self._by_shard(self.bases[level], s_ids):
-            out[order[a:b]] = self.part(level, s)["counts"][s_ids[a:b] - self.bases[level][s]]
-        return out
+    def counts(self, low: int, high: int) -> np.ndarray:
+        """Counts of the words of a range of numbers."""
+        out = []
+        for s, (a, b) in enumerate(itertools.pairwise(self.bases)):
+            if max(a, low) < min(b, high):
+                out.append(_mapped(self.folder, f"level1-{s:05d}")["counts"][max(low - a, 0) : high - a].astype(np.int64))
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return np.log10(counts + 1) - np.log10(self.total + self.distinct + 1)
 
-    def children(self, level: int, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For contexts (numbers of the level below, sorted) and words (-1: unknown): the number of the entry (-1: none),
-        its log10 probability and the context's log10 weight."""
-        number, prob, weight = np.full(len(context), -1), np.zeros(len(context)), np.zeros(len(context))
-        for s, a, b in self._by_shard(self.cuts[level], context):
-            p = self.part(level, s)
-            if not p:
+    def file_of(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
+        """The file of each triple."""
+        c1, c2, c3 = self.cuts
+        lo, hi = np.searchsorted(c1, w1, "left"), np.searchsorted(c1, w1, "right")
+        # Of words that are cut: how many of their cuts are not beyond the triple, by bisection.
+        at = np.flatnonzero(lo < hi)
+        a, b, x, y = lo[at], hi[at], w2[at], w3[at]
+        while (go := a < b).any():
+            mid = np.minimum(a + b >> 1, len(c1) - 1)
+            passed = (c2[mid] < x) | (c2[mid] == x) & (c3[mid] <= y)
+            a, b = np.where(go & passed, mid + 1, a), np.where(go & ~passed, mid, b)
+        hi[at] = a
+        return hi
+
+    def packed(self, file: np.ndarray, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> list[np.ndarray]:
+        """Columns in whose order the triples of a file are: one where they fit into 63 bits in every file."""
+        start = np.concatenate([[0], self.cuts[0]])
+        width = self.distinct + 2
+        pair = (w1 - start[file]) * width + w2
+        return [pair * width + w3] if self.narrow else [pair, w3]
+
+    @property
+    def narrow(self) -> bool:
+        c1 = np.concatenate([[0], self.cuts[0], [self.distinct]])
+        return (int(np.diff(c1).max()) + 1) * (self.distinct + 2) ** 2 < 1 << 63
+
+    def look_up(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For triples with a known first word: the pair's share and its word's weight, the triple's share and its
+        pair's weight. What is not there has share 0; an unknown pair has weight 1."""
+        n = len(w1)
+        s2, g1, s3, g2 = np.zeros(n), np.ones(n), np.zeros(n), np.ones(n)
+        file = self.file_of(w1, w2, w3)
+        by_file = np.argsort(file.astype(np.uint16) if len(self.files) < 1 << 16 else file, kind="stable")
+        cut = np.searchsorted(file[by_file], np.arange(len(self.files) + 1))
+        for f, (a, b) in enumerate(itertools.pairwise(cut)):
+            if a == b or not self.files[f]:
                 continue
-            c = context[a:b] - self.cuts[level][s]
-            weight[a:b] = p["weights"][c] / -SCALE
-            at = np.flatnonzero((word[a:b] >= 0) & _maybe(p["filter"], c, word[a:b]))
-            c, w = c[at], word[a:b][at]
-            lo, hi = p["starts"].access(c).astype(np.int64), p["starts"].access(c + 1).astype(np.int64)
-            offset = np.where(lo > 0, p["sequence"].access(np.maximum(lo - 1, 0)), U(0))
-            pos, hit = p["sequence"].successor(offset + w.astype(U) + U(1))
-            hit &= (pos >= lo) & (pos < hi)
-            at, pos = at[hit] + a, pos[hit]
-            number[at] = pos + self.bases[level][s]
-            prob[at] = p["probs"][pos] / -SCALE
-        return number, prob, weight
-
-    def child_word(self, numbers: np.ndarray) -> np.ndarray:
-        """The last word of entries of level 2, by sorted number."""
-        out = np.zeros(len(numbers), np.int64)
-        for s, a, b in self._by_shard(self.bases[2], numbers):
-            p = self.part(2, s)
-            i = numbers[a:b] - self.bases[2][s]
-            starts = p["starts"].access(np.arange(p["starts"].n)).astype(np.int64)
-            lo = starts[np.searchsorted(starts, i, "right") - 1]
-            offset = np.where(lo > 0, p["sequence"].access(np.maximum(lo - 1, 0)), U(0))
-            out[a:b] = (p["sequence"].access(i) - offset - U(1)).astype(np.int64)
-        return out
-
-    def pairs(self, first: np.ndarray, second: np.ndarray, second_unigram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Number in level 2 (-1: none) and log10 P(second|first) for known firsts and any seconds (-1: unknown)."""
-        a, b, back = _unique(first, second, self.distinct)
-        number, prob, weight = (x[back] for x in self.children(2, a, b))
-        return number, np.where(number >= 0, prob, weight + second_unigram)
-
-    def annotate(self, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of word numbers: counts, log10 unigram and log10 model probabilities."""
-        u, back = np.unique(ids, return_inverse=True)
-        counts = np.zeros(len(u), np.int64)
-        counts[u >= 0] = self.counts(1, u[u >= 0])
-        counts, lp1 = counts[back], self.unigram(counts)[back]
-        lp = lp1.copy()
-        follows = np.ones(len(ids), bool)
-        follows[first[:-1][first[:-1] < len(ids)]] = False
-        pair = np.full(len(ids), -1)
-        t = np.flatnonzero(follows)
-        t = t[ids[t - 1] >= 0]
-        if len(t) and self.bases.get(2):
-            pair[t], lp[t] = self.pairs(ids[t - 1], ids[t], lp1[t])
-        t = np.flatnonzero(follows)
-        t = t[pair[t - 1] >= 0]
-        if len(t) and self.bases.get(3):
-            a, b, back = _unique(pair[t - 1], ids[t], self.distinct)
-            number, prob, weight = (x[back] for x in self.children(3, a, b))
-            lp[t] = np.where(number >= 0, prob, weight + lp[t])
-        return counts, lp1, lp
-
-
-def _unique(a: np.ndarray, b: np.ndarray, most_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, and where each of (a, b) is among them. a >= 0, -1 <= b < most_b."""
-    if len(a) and (int(a.max()) + 1) * (most_b + 2) < 1 << 63:
-        key, back = np.unique(a * (most_b + 2) + b + 1, return_inverse=True)
-        return key // (most_b + 2), key % (most_b + 2) - 1, back
-    order = np.lexsort((b, a))
-    x, y = a[order], b[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    back = np.empty(len(order), np.int64)
-    back[order] = np.cumsum(new) - 1
-    return x[new], y[new], back
-
-
-def _bits(context: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
-    return (_text.mix(context.astype(U) * U(0x9E3779B97F4A7C15) + word.astype(U)) >> U(64 - (size.bit_length() - 1 + 3))).astype(np.int64)
-
-
-def _maybe(held: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Whether a file's filter may hold (context, word): one bit in 8 at most is set."""
-    at = _bits(context, word, len(held))
-    return held[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
-
-
-def _filter(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    size = max(8, 1 << (len(context) - 1).bit_length())
-    flags = np.zeros(size * 8, bool)
-    flags[_bits(context, word, size)] = True
-    return np.packbits(flags, bitorder="little")
+            at = by_file[a:b]
+            key = self.packed(file[at], w1[at], w2[at], w3[at])
+            at = at[np.argsort(key[0]) if len(key) == 1 else np.lexsort(key[::-1])]
+            p, ends = _mapped(self.folder, f"level3-{f:05d}"), self.ends[f]
+            x, y, z = w1[at], w2[at], w3[at]
+            new1 = _new(x)
+            new2 = new1 | _new(y)
+            # Distinct first words, then distinct pairs, then triples.
+            c = x[new1] - p["origin"][0]
+            there = (c >= 0) & (c < len(p["weights1"]))
+            c = np.where(there, c, 0)
+            low, high, offset = _range(p["starts2"], p["pairs"], c)
+            weight = _EXP[p["weights1"][c]]
+            for end, place in ((0, 0), (1, len(p["weights1"]) - 1)):
+                if not np.isnan(ends[end, 0]):
+                    weight[c == place] = ends[end, 0]
+            weight[~there] = 1
+            mine = (np.cumsum(new1) - 1)[new2]
+            pos, hit = p["pairs"].successor(offset[mine] + y[new2].astype(U) + U(1))
+            hit &= (pos >= low[mine]) & (pos < high[mine]) & there[mine]
+            pos = np.where(hit, pos, 0)
+            share, back = np.where(hit, _EXP[p["shares2"][pos]], 0.0), np.where(hit, _EXP[p["weights2"][pos]], 1.0)
+            scale = np.ones(len(pos))
+            for end, place in ((0, 0), (1, len(p["weights2"]) - 1)):
+                if not np.isnan(ends[end, 1]):
+                    here = hit & (pos == place)
+                    share[here], back[here], scale[here] = ends[end, 1:]
+            pair = np.cumsum(new2) - 1
+            s2[at], g1[at], g2[at] = share[pair], weight[(np.cumsum(new1) - 1)], back[pair]
+            # Third words of the pairs that are there.
+            held = np.flatnonzero(hit)
+            number = np.full(len(pos), -1)
+            number[held] = np.arange(len(held))
+            low, high, offset = _range(p["starts3"], p["triples"], pos[held])
+            t = np.flatnonzero(hit[pair])
+            mine = number[pair[t]]
+            pos3, hit3 = p["triples"].successor(offset[mine] + z[t].astype(U) + U(1))
+            hit3 &= (pos3 >= low[mine]) & (pos3 < high[mine])
+            s3[at[t[hit3]]] = _EXP[p["shares3"][pos3[hit3]]] * scale[pair[t[hit3]]]
+        return s2, g1, s3, g2
+
+    def annotate(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 unigram and log10 model probabilities of tokens; ids and counts are theirs."""
+        lp1 = self.unigram(counts)
+        if self.files is None or not len(ids):
+            return lp1, lp1
+        at, after = _follow(ids, first, self.pad)
+        known = ids[at] < self.pad
+        at, after = at[known], after[known]
+        s2, g1, s3, g2 = self.look_up(ids[at], ids[at + 1], after)
+        p = 10.0**lp1
+        p[at + 1] = s2 + g1 * p[at + 1]
+        # The third word belongs to the same text where it is not the pad.
+        t = after != self.pad
+        p[at[t] + 2] = s3[t] + g2[t] * p[at[t] + 2]
+        return lp1, np.log10(p)
+
+
+def _follow(ids: np.ndarray, first: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose next token is of the same row, and the token after that (pad: none)."""
+    last = np.zeros(len(ids), bool)
+    last[first[1:] - 1] = True
+    at = np.flatnonzero(~last)
+    after = np.append(ids, pad)[at + 2]
+    after[last[at + 1]] = pad
+    return at, after
+
+
+def _range(starts: EliasFano, words: EliasFano, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From, to and the last value before the ranges of contexts."""
+    low, high = starts.access(context).astype(np.int64), starts.access(context + 1).astype(np.int64)
+    offset = np.zeros(len(low), U)
+    inner = np.flatnonzero(low > 0)
+    offset[inner] = words.access(low[inner] - 1)
+    return low, high, offset
+
+
+def _monotone(starts: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Word numbers + 1 of ranges in order, on top of the last value of the range before."""
+    n = np.diff(starts)
+    last = word[starts[1:][n > 0] - 1] + 1
+    return np.repeat(np.concatenate([[0], np.cumsum(last)[:-1]]), n[n > 0]) + word + 1
 
 
 def held_out(folds: int = 7, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def _counted(pieces, names: list[str]):
-    """Adds up pieces of one or two key columns and counts; gives batches of at most 2**16 rows whenever 2**21 distinct
-    keys are held, and at the end."""
-    held: list[tuple] = []
-    size = 0
-
-    def flush():
-        *keys, counts = (np.concatenate(c) for c in zip(*held))
-        order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-        keys = [k[order] for k in keys]
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-        at = np.flatnonzero(new)
-        return [*(k[at] for k in keys), np.add.reduceat(counts[order], at)]
-
-    def batches(cols):
-        for i in range(0, len(cols[0]), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)].astype(np.int64)) for c in cols], names=names)
-
-    for p in pieces:
-        if len(p[0]):
-            held.append(p)
-            size += len(p[0])
-        if size > 1 << 22:
-            one = flush()
-            held, size = [tuple(one)], len(one[0])
-            if size > 1 << 21:
-                yield from batches(one)
-                held, size = [], 0
-    if held:
-        yield from batches(flush())
+def _small(c: np.ndarray) -> np.ndarray:
+    return c.astype(next((t for t in (np.uint16, np.uint32) if not len(c) or c.max() <= np.iinfo(t).max), np.int64))
 
 
-def _tokens_of(batches):
-    """(batch rows from, to, word numbers, first of each row, batch) of encoded rows, about a million numbers at a time."""
-    for batch in batches:
-        data, off = _text.buffers(batch.column("ids"))
-        for a, b in _text.pieces(off, 1 << 22):
-            width = 8 if batch.column("wide")[a].as_py() else 4
-            ids = np.frombuffer(data[off[a] : off[b]].tobytes(), f"<i{width}").astype(np.int64)
-            yield a, b, ids, (off[a : b + 1] - off[a]) // width, batch
+def _blocks(part: np.ndarray, cols: list[np.ndarray], counts: np.ndarray | None, parts: int):
+    """Batches of (part, keys, more, counts): rows of cols dealt to parts, each part's added up and packed."""
+    order = np.argsort(part.astype(np.uint16) if parts < 1 << 16 else part, kind="stable")
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    out, size = [], 0
 
+    def batch():
+        kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=["part", "keys", "more", "counts"])
 
-def _by_group(batches, names: list[str]):
-    """Whole groups of equal first column from batches in its order."""
-    held, at = [], 0
-    for batch in batches:
-        key, *cols = (np.asarray(batch.column(n)) for n in names)
-        for i, j in itertools.pairwise([0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]):
-            if i < j and held and key[i] != at:
-                yield at, [np.concatenate(c) for c in zip(*held)]
-                held = []
-            if i < j:
-                at = int(key[i])
-                held.append([c[i:j] for c in cols])
-    if held:
-        yield at, [np.concatenate(c) for c in zip(*held)]
+    for k, (a, b) in enumerate(itertools.pairwise(cut)):
+        if a < b:
+            at = order[a:b]
+            key, total = summed([c[at] for c in cols], np.ones(b - a, np.int64) if counts is None else counts[at])
+            out.append((k, planes(_deltas(key[0])), planes(key[1]) if len(key) > 1 else None, planes(total)))
+            size += sum(len(x) for x in out[-1][1:] if x)
+        if size > 4 << 20:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
 
 
-def _cuts(counts: np.ndarray, most: int) -> np.ndarray:
-    """Where to cut contexts that occur so often into files of about `most` occurrences, or one context that has more."""
-    piece = (np.cumsum(counts) - counts) // most
-    return np.flatnonzero(piece[1:] != piece[:-1]) + 1
+BLOCK = "part int, keys binary, more binary, counts binary"
 
 
-def _small(c: np.ndarray) -> np.ndarray:
-    return c.astype(next((t for t in (np.uint16, np.uint32) if not len(c) or c.max() <= np.iinfo(t).max), np.int64))
+def _parts(batches):
+    """(part, distinct rows, counts) of rows in order of part."""
+    rows = (r for b in batches for r in zip(*(b.column(c) for c in ("part", "keys", "more", "counts"))))
+    for part, group in itertools.groupby(rows, key=lambda r: r[0].as_py()):
+        keys, more, counts = [], [], []
+        for _, k, m, c in group:
+            keys.append(np.cumsum(unplaned(k.as_py())))
+            counts.append(unplaned(c.as_py()))
+            if m.is_valid:
+                more.append(unplaned(m.as_py()))
+        cols = [np.concatenate(keys)] + ([np.concatenate(more)] if more else [])
+        yield part, *summed(cols, np.concatenate(counts))
 
 
-def _trie_level(model: Model, level: int, shard: int, context: np.ndarray, word: np.ndarray, count: np.ndarray, lower: np.ndarray, context_counts: np.ndarray) -> bytes:
-    """One file: context (numbers within the file of the level below), word, count sorted; lower: log10 of the lower
-    order's probability of each entry; context_counts: of all contexts of the file."""
-    n = len(context_counts)
-    starts = np.searchsorted(context, np.arange(n + 1))
-    share = np.maximum(count - DISCOUNT, 0) / context_counts[context]
-    left = np.clip(1 - np.bincount(context, share, n), 1e-9, 1)
-    probs = share + left[context] * 10.0**lower
-    # Word numbers + 1, on top of the last value of the range before.
-    last = starts[1:][np.diff(starts) > 0] - 1
-    ends = np.cumsum(word[last] + 1)
-    before = np.zeros(n, np.int64)
-    full = np.diff(starts) > 0
-    before[full] = np.concatenate([[0], ends[:-1]])
-    values = before[context] + word + 1
-    arrays = EliasFano.of(values).arrays("values") | EliasFano.of(starts).arrays("pointers")
-    arrays |= {"probs": quantised(np.log10(probs)), "weights": quantised(np.log10(left)), "filter": _filter(context, word)}
-    if level == 2:
-        arrays |= {"counts": _small(count)}
-    return dump(arrays)
-
-
-ENCODED = "doc_id long, held_out boolean, wide boolean, ids binary"
-
-
-def train(docs: DataFrame, least: int = LEAST) -> tuple[Model, DataFrame]:
-    """Counts the training rows and writes the trie. Returns the model, which says where that is, and docs encoded as
-    word numbers (-1: unknown), ready to be scored."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _piece(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of a piece's words, tokens as positions among them, first of each row, whether each row is held out."""
+    return np.cumsum(unplaned(row["hashes"])).view(U), unplaned(row["ids"]), unplaned(row["first"]), np.array(row["held_out"], bool)
 
-    def unigrams(batches):
-        def pieces():
-            for batch in batches:
-                for _, _, data, off in _text.text_pieces(batch, "text"):
-                    u, c = np.unique(tokens(data, off)[0], return_counts=True)
-                    yield u.view(np.int64), c
 
-        return _counted(pieces(), ["w", "c"])
+def _rows(batches, *names: str):
+    for batch in batches:
+        for r in range(batch.num_rows):
+            yield {n: batch.column(n)[r].as_py() for n in names}
 
-    level1 = _store.written(rows.where("NOT held_out").select("text").mapInArrow(unigrams, "w long, c long").repartition(n, "w").groupBy("w").agg(F.sum("c").alias("c")), "unigrams")
-    total, distinct = level1.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    bits = max(1, (distinct // FILE).bit_length())
-    model = Model(_store.new_path(spark, "trie"), bits, total, distinct, least)
-    shards = 1 << bits
 
-    #: Occurrences of the contexts of a file.
-    most = min(1 << 21, max(1 << 18, total >> 7))
+PIECE = ("hashes", "ids", "first", "held_out")
 
-    def made(shard: int, counts: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([_cuts(counts, most)], pa.list_(pa.int64()))], names=["shard", "n", "cuts"])
 
-    def noted(level: int, rows: list, shards: int) -> None:
-        """Entries before each file of a level, and where its entries are cut as contexts."""
-        n = {r.shard: r.n for r in rows}
-        model.bases[level] = base = [0, *itertools.accumulate(n.get(s, 0) for s in range(shards))]
-        inner = [base[r.shard] + c for r in rows for c in (*r.cuts, r.n)]
-        model.cuts[level + 1] = sorted({0, base[-1], *inner})
+def encoded(docs: DataFrame) -> DataFrame:
+    """docs in pieces, written: doc_ids, held_out, first, hashes, ids."""
+    kind = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("held_out", T.ArrayType(T.BooleanType())), *(T.StructField(n, T.BinaryType()) for n in ("first", "hashes", "ids"))])
 
-    def put1(batches):
-        for shard, (w, c) in _by_group(batches, ["shard", "w", "c"]):
-            values = w.view(U) & U((1 << (64 - bits)) - 1)
-            _store.put(f"{model.folder}/level1-{shard:05d}.trie", dump(EliasFano.of(values).arrays("values") | {"counts": _small(c)}))
-            yield made(shard, c)
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = [tokens(data, off) for _, _, data, off in _text.text_pieces(batch, "text")]
+            h = np.concatenate([g[0] for g in got])
+            first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(g[1]) for g in got]))])
+            u, back = np.unique(h, return_inverse=True)
+            lists = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c)) for c in ("doc_id", "held_out")]
+            raw = [pa.array([planes(x)], pa.binary()) for x in (first, _deltas(u.view(np.int64)), back)]
+            yield pa.RecordBatch.from_arrays([*lists, *raw], names=schema.names)
 
-    made_schema = "shard int, n long, cuts array<long>"
-    sharded = level1.select(F.shiftrightunsigned("w", 64 - bits).cast("int").alias("shard"), "w", "c")
-    noted(1, sharded.repartition(shards, "shard").sortWithinPartitions("shard", "w").mapInArrow(put1, made_schema).collect(), shards)
-    _store.forget(level1, spark)
+    return _store.written(docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, schema), "encoded")
 
-    def so_far() -> Model:
-        return Model(model.folder, bits, total, distinct, least, dict(model.bases), dict(model.cuts))
 
-    known = so_far()
-    kind = np.int32 if distinct < 1 << 31 else np.int64
+def train(docs: DataFrame, most: int | None = None) -> tuple[Model, DataFrame]:
+    """Counts the training rows and writes the trie, with about `most` occurrences to a file. Returns the model, which
+    says where that is, and docs in pieces, ready to be scored."""
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = encoded(docs)
+    bits = max(1, (n - 1).bit_length())
+    model = Model(_store.new_path(spark, "trie"), bits)
 
-    def encode(batches):
-        for batch in batches:
-            for a, b, data, off in _text.text_pieces(batch, "text"):
-                h, first = tokens(data, off)
-                u, back = np.unique(h, return_inverse=True)
-                ids = known.words(u)[0].astype(kind)[back]
-                raw = [ids[i:j].tobytes() for i, j in itertools.pairwise(first)]
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array([kind is np.int64] * (b - a)), pa.array(raw, pa.binary())], names=["doc_id", "held_out", "wide", "ids"])
-
-    encoded = _store.written(rows.mapInArrow(encode, ENCODED), "encoded")
-    if not distinct:
-        return model, encoded
-
-    def level_files(level: int, model: Model, pairs) -> None:
-        """Writes a level's files. pairs(ids, first, from, to): context and word of what a piece holds with contexts in
-        that range."""
-        cuts, base = np.array(model.cuts[level]), model.bases[level - 1][-1]
-        fits = (base + 1) * (distinct + 2) < 1 << 63
-        keys = ["k"] if fits else ["a", "b"]
-
-        def counted(lo: int, hi: int):
-            def pieces(batches):
-                for _, _, ids, first, _ in _tokens_of(batches):
-                    a, b, back = _unique(*pairs(ids, first, lo, hi), distinct)
-                    yield *((a * (distinct + 2) + b,) if fits else (a, b)), np.bincount(back, minlength=len(a))
-
-            def run(batches):
-                for out in _counted(pieces(batches), [*keys, "c"]):
-                    a = np.asarray(out.column(0)) // (distinct + 2 if fits else 1)
-                    yield pa.RecordBatch.from_arrays([pa.array((np.searchsorted(cuts, a, "right") - 1).astype(np.int32)), *out.columns], names=["shard", *keys, "c"])
-
-            return run
-
-        def put(batches):
-            for shard, (*k, c) in _by_group(batches, ["shard", *keys, "c"]):
-                a, b = (k[0] // (distinct + 2), k[0] % (distinct + 2)) if fits else k
-                own = model.counts(level - 1, np.arange(cuts[shard], cuts[shard + 1]))
-                lower = model.unigram(model.counts(1, b))
-                if level == 3:
-                    _, lower = model.pairs(model.child_word(a), b, lower)
-                _store.put(f"{model.folder}/level{level}-{shard:05d}.trie", _trie_level(model, level, shard, a - cuts[shard], b, c, lower, own))
-                yield made(shard, c)
-
-        rows, files = [], len(cuts) - 1
-        train = encoded.where("NOT held_out").select("wide", "ids")
-        for x, y in itertools.pairwise(sorted({files * i // PASSES for i in range(PASSES + 1)})):
-            found = train.mapInArrow(counted(int(cuts[x]), int(cuts[y])), f"shard int, {', '.join(f'{k} long' for k in keys)}, c long")
-            sums = F.sum("c").alias("c")
-            if level == 2:
-                # A frequent word is followed by much the same words in all tasks: those are added up by pair first.
-                found = found.repartition(n, *keys).groupBy("shard", *keys).agg(sums).repartition(max(1, y - x), "shard")
-            else:
-                found = found.repartition(max(1, y - x), "shard").groupBy("shard", *keys).agg(sums)
-            rows += found.where(F.col("c") >= least).sortWithinPartitions("shard", *keys).mapInArrow(put, made_schema).collect()
-            _store.free(spark)
-        noted(level, rows, files)
-
-    def bigrams(ids, first, lo, hi):
-        follows = np.ones(len(ids), bool)
-        follows[first[:-1]] = False
-        t = 1 + np.flatnonzero(follows[1:] & (ids[:-1] >= lo) & (ids[:-1] < hi))
-        return ids[t - 1], ids[t]
-
-    level_files(2, known, bigrams)
-    paired = so_far()
-
-    def trigrams(ids, first, lo, hi):
-        follows = np.ones(len(ids), bool)
-        follows[first[:-1]] = False
-        # The pairs from lo to hi lie in these files, which have these words as contexts.
-        files = np.searchsorted(paired.bases[2], lo, "right") - 1, np.searchsorted(paired.bases[2], hi)
-        low, high = (paired.cuts[2][f] for f in files)
-        t = 1 + np.flatnonzero(follows[1:-1] & follows[2:] & (ids[:-2] >= low) & (ids[:-2] < high))
-        pair, _ = paired.pairs(ids[t - 1], ids[t], np.zeros(len(t)))
-        held = (pair >= lo) & (pair < hi)
-        return pair[held], ids[t[held] + 1]
-
-    level_files(3, paired, trigrams)
-    return model, encoded
-
-
-def score(encoded: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out and the scores of encoded rows."""
+    def unigrams(batches):
+        held, size = [], 0
+
+        def flush():
+            cols, counts = summed([np.concatenate([x[0] for x in held])], np.concatenate([x[1] for x in held]))
+            return cols[0], counts
+
+        def out(key, counts):
+            return _blocks((key.view(U) >> U(64 - bits)).astype(np.int64), [key], counts, 1 << bits)
+
+        for row in _rows(batches, *PIECE):
+            h, ids, first, away = _piece(row)
+            c = np.bincount(ids[np.repeat(~away, np.diff(first))], minlength=len(h))
+            held.append((h[c > 0].view(np.int64), c[c > 0]))
+            size += len(held[-1][0])
+            if size > 2 * HELD:
+                held = [flush()]
+                size = len(held[0][0])
+                if size > HELD:
+                    yield from out(*held[0])
+                    held, size = [], 0
+        if size:
+            yield from out(*flush())
 
-    def run(batches):
-        for a, b, ids, first, batch in _tokens_of(batches):
-            counts, lp1, lp = model.annotate(ids, first)
-            at, part = first[:-1], batch.slice(a, b - a)
-            cols = [part.column("doc_id"), part.column("held_out"), pa.array(np.diff(first)), pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)), pa.array(np.full(b - a, model.total, np.int64)), pa.array(np.add.reduceat(lp1, at)), pa.array(np.add.reduceat(lp, at))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", *[x.split()[0] for x in SCORE.split(", ")]])
+    def put1(batches):
+        for part, (key,), c in _parts(batches):
+            words = EliasFano.of(key.view(U) & U((1 << (64 - bits)) - 1))
+            _store.put(f"{model.folder}/level1-{part:05d}.trie", dump(words.arrays("words") | {"counts": _small(c)}))
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(c)], pa.int64()), pa.array([int(c.sum())], pa.int64())], names=["part", "n", "total"])
+
+    found = pieces.select(*PIECE).mapInArrow(unigrams, BLOCK)
+    rows = dealt(found, 1 << bits).mapInArrow(put1, "part int, n long, total long").collect()  # one a file
+    sizes = {r.part: r.n for r in rows}
+    model.bases = [0, *itertools.accumulate(sizes.get(s, 0) for s in range(1 << bits))]
+    model.total, model.distinct = sum(r.total for r in rows), model.bases[-1]
+    _store.free(spark)
+    if not model.distinct:
+        return model, pieces
+    known = Model(**model.__dict__)
+
+    def triples(row):
+        h, ids, first, away = _piece(row)
+        used = np.zeros(len(h), bool)
+        keep = np.repeat(~away, np.diff(first))
+        ids = ids[keep]
+        used[ids] = True
+        number = np.zeros(len(h), np.int64)
+        number[used] = known.words(h[used])[0]
+        at, after = _follow(ids := number[ids], np.concatenate([[0], np.cumsum(np.diff(first)[~away])]), known.pad)
+        return ids[at], ids[at + 1], after
+
+    most = most or min(1 << 22, max(1 << 18, model.total >> 6))
+    step = max(1, most // SAMPLE)
+
+    def sample(batches):
+        for row in _rows(batches, *PIECE):
+            got = triples(row)
+            take = slice(int(_text.mix(np.array([len(got[0])], U))[0] % U(step)), None, step)
+            yield pa.RecordBatch.from_arrays([pa.array(g[take]) for g in got], names=["a", "b", "c"])
+
+    got = pieces.select(*PIECE).mapInArrow(sample, "a long, b long, c long").toArrow()  # SAMPLE rows a file
+    known.cuts = model.cuts = _cuts(*(got.column(x).to_numpy() for x in "abc"), max(1, most // step))
+    files = len(model.cuts[0]) + 1
+
+    def emitted(batches):
+        held, size = [], 0
+
+        def out():
+            file, *cols = (np.concatenate(c) for c in zip(*held))
+            return _blocks(file, cols, None, files)
+
+        for row in _rows(batches, *PIECE):
+            w = triples(row)
+            file = known.file_of(*w)
+            held.append((file, *known.packed(file, *w)))
+            size += len(file)
+            if size > HELD:
+                yield from out()
+                held, size = [], 0
+        if size:
+            yield from out()
+
+    start = np.concatenate([[0], model.cuts[0]])
+
+    def put3(batches):
+        width = known.distinct + 2
+        for part, cols, c3 in _parts(batches):
+            pair, w3 = np.divmod(cols[0], width) if len(cols) == 1 else cols
+            at = np.flatnonzero(_new(pair))
+            starts3 = np.append(at, len(pair))
+            w1, w2 = np.divmod(pair[at], width)
+            c2, n3 = np.add.reduceat(c3, at), np.diff(starts3)
+            origin, w1 = int(w1[0] + start[part]), w1 - w1[0]
+            starts2 = np.searchsorted(w1, np.arange(w1[-1] + 2))
+            n2, c1 = np.diff(starts2), known.counts(origin, origin + int(w1[-1]) + 1)
+            arrays = {"origin": np.array([origin])}
+            for name, starts, word in (("2", starts2, w2), ("3", starts3, w3)):
+                arrays |= EliasFano.of(starts).arrays(f"starts{name}") | EliasFano.of(_monotone(starts, word)).arrays("pairs" if name == "2" else "triples")
+            arrays["weights1"] = quantised(np.maximum(DISCOUNT * n2, 1e-9) / np.maximum(c1, 1))
+            arrays["shares2"], arrays["weights2"] = quantised((c2 - DISCOUNT) / c1[w1]), quantised(DISCOUNT * n3 / c2)
+            arrays["shares3"] = quantised((c3 - DISCOUNT) / np.repeat(c2, n3))
+            _store.put(f"{known.folder}/level3-{part:05d}.trie", dump(arrays))
+            ends = [[origin + int(w1[i]), int(w2[i]), int(c1[w1[i]]), int(n2[w1[i]]), int(c2[i]), int(n3[i])] for i in (0, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(w2)], pa.int64()), pa.array([len(w3)], pa.int64()), pa.array([ends[0]], pa.list_(pa.int64())), pa.array([ends[1]], pa.list_(pa.int64()))], names=["part", "n2", "n3", "head", "tail"])
+
+    found = pieces.select(*PIECE).mapInArrow(emitted, BLOCK)
+    rows = dealt(found, files).mapInArrow(put3, "part int, n2 long, n3 long, head array<long>, tail array<long>").collect()  # one a file
+    _store.free(spark)
+    model.files, model.ends = _joined(rows, files)
+    shared = sum(a.tail[:2] == b.head[:2] for a, b in itertools.pairwise(sorted(rows, key=lambda r: r.part)))
+    model.n_pairs, model.n_triples = sum(r.n2 for r in rows) - shared, sum(r.n3 for r in rows)
+    return model, pieces
+
+
+def dealt(blocks: DataFrame, parts: int) -> DataFrame:
+    """Blocks with a task for each part, in order of part where a task has several."""
+    return blocks.repartition(parts, "part").sortWithinPartitions("part")
+
+
+def _cuts(a: np.ndarray, b: np.ndarray, c: np.ndarray, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every `each`-th of the triples, in order and once, lowered to the first of its word or pair unless that is cut
+    twice: so a file has triples of every word and pair that its range touches."""
+    order = np.lexsort((c, b, a))[each::each]
+    a, b, c = a[order], b[order], c[order]
+    if len(a):
+        a, b, c = (x[_new(a, b, c)] for x in (a, b, c))
+        again1 = np.concatenate([[False], a[1:] == a[:-1]])
+        again2 = again1 & np.concatenate([[False], b[1:] == b[:-1]])
+        b, c = np.where(again1, b, 0), np.where(again2, c, 0)
+    return a, b, c
+
+
+def _joined(rows: list, files: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which files there are, and for the two ends of each (word's weight, pair's share, pair's weight, factor of its
+    triples' shares) where the word or the pair goes on in another file."""
+    there, ends = np.zeros(files, bool), np.full((files, 2, 4), np.nan)
+    rows = sorted(rows, key=lambda r: r.part)
+    words: dict[int, list[int]] = {}
+    pairs: dict[tuple[int, int], list[int]] = {}
+    for r in rows:
+        there[r.part] = True
+        for w1, w2, c1, n2, c2, n3 in (r.head, r.tail) if r.head[:2] != r.tail[:2] else (r.head,):
+            p = pairs.setdefault((w1, w2), [0, 0, 0])
+            p[:] = p[0] + c2, p[1] + n3, p[2] + 1
+        for w1, n2 in {(x[0], x[3]) for x in (r.head, r.tail)}:
+            w = words.setdefault(w1, [0, 0])
+            w[:] = w[0] + n2, w[1] + 1
+    for x, y in itertools.pairwise(rows):
+        if x.tail[:2] == y.head[:2]:
+            words[x.tail[0]][0] -= 1  # one pair, in both files
+    for r in rows:
+        for k, (w1, w2, c1, _, c2, _) in enumerate((r.head, r.tail)):
+            n2, spread = words[w1]
+            if spread > 1:
+                ends[r.part, k, 0] = DISCOUNT * n2 / c1
+            total, n3, spread = pairs[w1, w2]
+            if spread > 1:
+                ends[r.part, k, 1:] = (total - DISCOUNT) / c1, DISCOUNT * n3 / total, c2 / total
+    return there, ends
+
+
+def score(pieces: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out and the scores of the rows of pieces."""
+    kind = pieces.schema["doc_ids"].dataType.elementType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *SCORE])
 
-    return encoded.mapInArrow(run, "doc_id long, held_out boolean, " + SCORE)
+    def run(batches):
+        for batch in batches:
+            for r, row in enumerate(_rows([batch], *PIECE)):
+                h, ids, first, _ = _piece(row)
+                number, count = model.words(h) if model.distinct else (np.zeros(len(h), np.int64), np.zeros(len(h), np.int64))
+                ids, counts = number[ids], count[ids]
+                lp1, lp = model.annotate(ids, counts, first)
+                at = first[:-1]
+                cols = [batch.column(c)[r].values for c in ("doc_ids", "held_out")]
+                sums = [np.add.reduceat((counts > 0).astype(np.int64), at), np.full(len(at), model.total, np.int64), np.add.reduceat(lp1, at), np.add.reduceat(lp, at)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(np.diff(first)), *(pa.array(x) for x in sums)], names=schema.names)
+
+    return pieces.mapInArrow(run, schema)

@@ -26,16 +26,14 @@ def words(text):
     return re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) + [b"\0end"]
 
 
-def plain_scores(rows, least):
+def plain_scores(rows):
     """The same model with dictionaries."""
     held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 7 == 2
     train = [words(t) for d, t in rows if not held(d)]
     one = Counter(w for t in train for w in t)
     total, distinct = sum(one.values()), len(one)
-    two = Counter(p for t in train for p in zip(t, t[1:]) if one[p[0]] >= least and one[p[1]] >= least)
-    two = {k: c for k, c in two.items() if c >= least}
-    three = Counter(p for t in train for p in zip(t, t[1:], t[2:]) if p[:2] in two and p[1:] in two)
-    three = {k: c for k, c in three.items() if c >= least}
+    two = Counter(p for t in train for p in zip(t, t[1:]))
+    three = Counter(p for t in train for p in zip(t, t[1:], t[2:]))
     left = {}
     for counts, context in ((two, one), (three, two)):
         for k, c in counts.items():
@@ -60,44 +58,60 @@ def plain_scores(rows, least):
     return out
 
 
-def test_scores_equal_a_plain_model(spark):
-    rng = random.Random(5)
-    vocabulary = [f"w{i}" for i in range(40)] + ["Éa", "THE"]
-    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(42)], k=rng.randint(0, 60)))) for i in range(300)]
-    rows += [(1000, None), (1001, ""), (None, "w1 w2 w3"), (5, "w1 w1 w1"), (1002, "neverseen w0 \t w1\nw2 " * 400)]
-    want = plain_scores(rows, 4)
+def check(spark, rows, most):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, score string").repartition(3)
-    model, encoded = lm.train(df, least=4)
-    got = sorted(map(tuple, lm.score(encoded, model).collect()), key=repr)
-    want = sorted(want, key=lambda r: repr(tuple(r)))
-    key = lambda r: (r[0] is None, r[0] or 0, r[2])
-    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+    model, pieces = lm.train(df, most)
+    got = [tuple(r) for r in lm.score(pieces, model).collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
+    for g, w in zip(sorted(got, key=key), sorted(plain_scores(rows), key=key), strict=True):
         assert g[:5] == w[:5]
         assert g[5] == pytest.approx(w[5], abs=1e-6 * w[2])
         assert g[6] == pytest.approx(w[6], abs=1e-3 * w[2])
+    train = [words(t) for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
+    assert model.n_pairs == len({p for t in train for p in zip(t, t[1:])})
+    # A pair at the end of a text is kept with the pad as its third word.
+    assert model.n_triples == len({p for t in train for p in zip(t, t[1:], [*t[2:], b"pad"])})
+    return model
 
 
-def test_empty_table(spark):
-    df = spark.createDataFrame([], "doc_id long, text string")
-    model, encoded = lm.train(df)
-    assert lm.score(encoded, model).collect() == []
+@pytest.mark.parametrize("most", [None, 100, 7, 1])
+def test_scores_equal_a_plain_model(spark, most):
+    # With few triples to a file, frequent words, pairs and triples span several of them.
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(40)] + ["Éa", "THE"]
+    rows = [(i, " ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(42)], k=rng.randint(0, 60)))) for i in range(150 if most else 300)]
+    rows += [(1000, None), (1001, ""), (None, "w1 w2 w3"), (5, "w1 w1 w1"), (1002, "neverseen w0 \t w1\nw2 " * 400)]
+    model = check(spark, rows, most)
+    if most:
+        assert len(set(zip(*model.cuts))) == len(model.cuts[0]) > 20
+        assert len(set(model.cuts[0])) < len(model.cuts[0])
 
 
-def test_all_pairs_and_triples_are_stored(spark, monkeypatch):
-    # Rare phrases, a frequent word with many followers, and more files than one for each level.
-    monkeypatch.setattr(lm, "_cuts", lambda counts, most: np.flatnonzero(np.diff((np.cumsum(counts) - counts) // 50)) + 1)
+@pytest.mark.parametrize("most", [None, 50])
+def test_all_pairs_and_triples_are_stored(spark, most):
+    # Rare phrases and a frequent word with many followers.
     rng = random.Random(7)
     rows = [(i, " ".join(x for k in range(rng.randint(0, 20)) for x in ("the", f"r{rng.randrange(400)}"))) for i in range(200)]
     rows += [(1000, "once upon a time"), (1001, "once upon a time"), (None, "once upon"), (1003, None), (1004, "a")]
-    want = plain_scores(rows, 1)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    model, encoded = lm.train(df)
-    got = lm.score(encoded, model).collect()
-    train = [words(t) for d, t in rows if d is None or zlib.crc32(str(d).encode()) % 7 != 2]
-    for order in (2, 3):
-        assert model.bases[order][-1] == len({g for t in train for g in zip(*(t[i:] for i in range(order)))})
-        assert len(model.cuts[order]) > 3
-    key = lambda r: (r[0] is None, r[0] or 0, r[2])
-    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-        assert tuple(g[:5]) == w[:5]
-        assert g[6] == pytest.approx(w[6], abs=1e-3 * w[2])
+    check(spark, rows, most)
+
+
+def test_keys_of_two_columns(spark, monkeypatch):
+    monkeypatch.setattr(lm.Model, "narrow", property(lambda self: False))
+    rng = random.Random(11)
+    check(spark, [(i, " ".join(rng.choices("abcdefg", k=rng.randint(0, 30)))) for i in range(60)], 40)
+
+
+@pytest.mark.parametrize("rows", [[], [(2, "only held out")], [(0, None), (1, "")]])
+def test_little_to_learn_from(spark, rows):
+    rows = [(next(d for d in range(d, 99) if (zlib.crc32(str(d).encode()) % 7 == 2) == (d0 == 2)), t) for d0, t in rows for d in (d0,)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model, pieces = lm.train(df)
+    got = [tuple(r) for r in lm.score(pieces, model).collect()]
+    assert sorted(g[:5] for g in got) == sorted(w[:5] for w in plain_scores(rows))
+    assert all(g[6] <= 0 for g in got) and (model.total or all(g[6] == 0 for g in got))
+
+
+def test_ids_may_be_texts(spark):
+    model, pieces = lm.train(spark.createDataFrame([("a", "x y"), (None, "x")], "doc_id string, text string"))
+    assert {r.doc_id for r in lm.score(pieces, model).collect()} == {"a", None}
