@@ -2,7 +2,7 @@
 
 Sets of word shingles link when their Jaccard similarity reaches num/den. Equal sets are one class with one
 representative. Classes are parted into groups of similar sets: by those two of four min-hashes which most classes
-share, and by salt where those are more than `GROUP`; a row of the matrix is a group with the union of its tokens and its members' tokens as positions in that
+share, and by salt where those are more than `GROUP` or have more than `GROUP_TOKENS` tokens; a row of the matrix is a group with the union of its tokens and its members' tokens as positions in that
 union. A query group and a group that share fewer than `SHARED` tokens of the members' prefixes (the rarest tokens, long
 enough for that many to be common to any linked pair) cannot hold a link. For the others the number of a query's tokens in the group's union bounds its
 overlap with every member, and only groups that some query may still reach are opened and compared exactly.
@@ -32,6 +32,8 @@ from gossamer.llm.components import components
 SKETCH_BITS = 18
 BLOCK_BITS = 12
 GROUP = 256
+#: Tokens of a group's members in all, but for a single longer one.
+GROUP_TOKENS = 1 << 18
 #: Tokens that the prefixes of two linked sets share at least (or as many as the sets must share, if that is less).
 SHARED = 4
 U = np.uint64
@@ -118,12 +120,14 @@ def grouped(sets: DataFrame) -> DataFrame:
     # Two min-hashes to a key: near copies mostly share some two of four, documents with a passage in common do not.
     two = [F.xxhash64(F.lit(i * len(MINS) + j), F.col("mins")[i], F.col("mins")[j]) for i, j in itertools.combinations(range(len(MINS)), 2)]
     keys = classes.select(*one, F.explode(F.array(*two)).alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = keys.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
     # Of a class's keys the one that most classes bear.
-    best = keys.join(shared, "key").groupBy(*one).agg(F.max(F.struct("size", "key")).alias("best"))
+    best = keys.join(shared, "key").groupBy(*one).agg(F.max(F.struct("size", "key", "tokens")).alias("best"))
     size, key = F.col("best.size"), F.col("best.key")
-    salted = F.xxhash64(key, F.pmod(F.xxhash64("c1", "c2"), F.ceil(size / GROUP)))
-    gid = F.when(size.isNull(), F.xxhash64("c1", "c2", "n")).when(size <= GROUP, key).otherwise(salted)
+    salts = F.greatest(F.ceil(size / GROUP), F.ceil(F.col("best.tokens") / GROUP_TOKENS))
+    salted = F.xxhash64(key, F.pmod(F.xxhash64("c1", "c2"), salts))
+    alone = size.isNull() | (F.col("n") > GROUP_TOKENS)
+    gid = F.when(alone, F.xxhash64("c1", "c2", "n")).when(salts == 1, key).otherwise(salted)
     out = classes.join(best, one, "left").select(*one, "rep", "copies", gid.alias("gid"))
     out = _store.written(out, "groups")
     _store.forget(classes, sets.sparkSession)
