@@ -1,14 +1,15 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the mean of learned vectors of its hashed words, word pairs (a word and itself: one for all words) and
-character 3- and 4-grams; a softmax layer
-gives the two classes. Trained by numpy stochastic gradient descent, in one task, on a bounded sample of labelled rows
+A document is the mean of learned vectors of its hashed words, word pairs and character 3- and 4-grams; a softmax layer
+gives the two classes. A pair of equal words is one feature whichever word it is, for repetition marks poor text and the
+pairs of rare words are never seen twice. Trained by numpy stochastic gradient descent, in one task, on a bounded sample of labelled rows
 (`MOST_ROWS` and `MOST_BYTES`, the smallest seeded hashes of doc_id). The layer is linear in the mean, so scoring folds
 each vector and the layer into one number: a table of 2**BUCKET_BITS floats, whatever the corpus.
 
 Defined cases: a null or empty text scores by the bias alone; labels that are null or neither 0 nor 1 are ignored, and
 of several labels of one doc_id the smallest counts; without both classes in the sample every score is the smoothed
-share of label 1 (0.5 without rows); repeated rows are scored each. Only text goes into a score.
+share of label 1 (0.5 without rows); repeated rows are scored each; equal texts have equal scores, and rows at the
+threshold are kept; very long texts are scored whole; columns of docs may have any names. Only text goes into a score.
 """
 
 from __future__ import annotations
@@ -51,7 +52,6 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         grams.append((g[inside], at))
     count = np.maximum(np.diff(first) - 1, 0)
     at = np.concatenate([[0], np.cumsum(count)])
-    # A word twice in a row is one feature, whichever word it is.
     both = np.where(h[:-1] == h[1:], U(1), h[:-1] * U(3) + h[1:])
     pair = (_text.mix(both) >> shift).astype(np.int32)[np.repeat(first[:-1] - at[:-1], count) + np.arange(at[-1])]
     parts = [(word, first - first[0]), (pair, at), *grams]
@@ -161,5 +161,20 @@ def score(docs: DataFrame, model: Model, keep: list[str], threshold: float = 0.3
     return docs.select(*names, F.col("text").alias("__text")).mapInArrow(run, schema)
 
 
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score at least the threshold, with docs' own columns whatever they are called."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.margin, model.offset))
+    place = docs.columns.index("text")
+
+    def run(batches):
+        m = Model(*shared.value)
+        for batch in batches:
+            data, off = _text.buffers(batch.column(place))
+            keep = [m.scores(data[off[a] : off[b]], off[a : b + 1] - off[a]) >= threshold for a, b in _text.pieces(off)]
+            yield batch.filter(pa.array(np.concatenate(keep))) if keep else batch
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column: str = "doc_id", folds: int = 5, fold: int = 0):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -39,3 +39,30 @@ def test_without_labels(spark):
     model = quality.train(docs, spark.createDataFrame([], "doc_id long, quality int"))
     assert [r.score for r in quality.score(docs, model, ["doc_id"]).collect()] == [0.5, 0.5]
     assert quality.score(docs.limit(0), model, ["doc_id"]).collect() == []
+
+
+def test_accepted_rows_keep_their_columns(spark):
+    rows, labels = corpus()
+    docs = spark.createDataFrame([(i, t, float(i or 0), None if (i or 0) % 9 else "x") for i, t in [*rows, (None, None), (7, "")]], "doc_id long, text string, score double, predicted string")
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    want = [r for r, s in zip(docs.collect(), quality.score(docs, model, []).collect()) if s.predicted]
+    assert 0 < len(want) < len(rows)
+    assert sorted(quality.accepted(docs, model).collect(), key=repr) == sorted(want, key=repr)
+    assert quality.accepted(docs.limit(0), model).collect() == []
+
+
+def test_score_equals_a_plain_model(spark):
+    """The mean of the vectors of a document's features, a softmax layer, and the fold of both into one number a feature."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    vectors, layer, bias = rng.normal(size=(1 << quality.BUCKET_BITS, 4)), rng.normal(size=(4, 2)), rng.normal(size=2)
+    model = quality.Model.folded(vectors, layer, bias)
+    for text in ("", "one", "One two two THREE four  five\n", "Ünïcödé wörds here " * 30):
+        data = np.frombuffer(text.encode(), np.uint8)
+        found, _ = quality.features(data, np.array([0, len(data)]))
+        words, grams = text.encode().split(), sum(max(0, len(data) - n + 1) for n in (3, 4))
+        assert len(found) == len(words) + max(0, len(words) - 1) + grams
+        z = (vectors[found].mean(0) if len(found) else np.zeros(4)) @ layer + bias
+        p = np.exp(z - z.max())
+        assert abs(model.scores(data, np.array([0, len(data)]))[0] - p[1] / p.sum()) < 1e-5
