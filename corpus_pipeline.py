@@ -19,8 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier rejects go; it learns from the labels of sf_dir's documents."""
     gossamer.ship(spark)
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = quality.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, ["row"])
-    return scored.where("predicted = 1").select("row.*")
+    return quality.accepted(docs, model)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
