@@ -6,6 +6,7 @@ import functools
 import os
 import sys
 import unicodedata
+from collections.abc import Callable
 from urllib.parse import quote, urljoin
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gossamer.functions.registry import Arg, Builtin, add
-from gossamer.terms import LOG, RDF, SWAP, XSD, c_boolean, c_datatype, c_iri, c_kind, c_lang, c_lex, c_list, c_lit, c_number, c_set, c_text, c_uri, c_xsd, is_literal, xsd
+from gossamer.terms import LOG, RDF, SWAP, XSD, c_boolean, c_datatype, c_iri, c_kind, c_lang, c_lex, c_list, c_lit, c_number, c_set, c_text, c_uri, c_xsd, is_literal, let, literal, xsd
 
 FN = ("http://www.w3.org/2006/xpath-functions#", "http://www.w3.org/2005/xpath-functions#")
 WHOLE, EXACT = "decimal(38,0)", "decimal(38,18)"
@@ -228,72 +229,75 @@ def _xpath_substring(s: Arg) -> Column:
 # math: and fn: numbers
 
 
-def rank(c: Column) -> Column:
-    """0 integer, 1 decimal, 2 double, by the lexical form; null for what is no number."""
-    lex = c_lex(c)
-    return F.when(lex.try_cast("double").isNull(), F.lit(None)).when(lex.rlike("[eE]|[nN][aA][nN]|[iI][nN][fF]"), 2).when(lex.contains("."), 1).otherwise(0)
+def rank_of(x: str) -> str:
+    """SQL: 0 integer, 1 decimal, 2 double, by the lexical form x; null for what is no number."""
+    return f"CASE WHEN try_cast({x} AS DOUBLE) IS NULL THEN NULL WHEN {x} RLIKE '[eE]|[nN][aA][nN]|[iI][nN][fF]' THEN 2 WHEN contains({x}, '.') THEN 1 ELSE 0 END"
 
 
-def plain(c: Column) -> Column:
-    """A decimal without the zeros at its end."""
-    return F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1")
+def rank(c: Column) -> Column:
+    return let(c_lex(c), rank_of("x"))
 
 
-def dec_text(c: Column) -> Column:
-    t = plain(c)
-    return F.when(t.endswith("."), F.concat(t, F.lit("0"))).otherwise(t)
+def typed(value: Column, r: str, whole: str, exact: str, approx: str) -> Column:
+    """A number as an integer, a decimal or a double, by r; what is too large for the first two is a double. All are SQL
+    of x, the value, which is computed once: numbers written as text would else be parsed for each mention."""
+    tidy = "regexp_replace(regexp_replace(CAST(v.e AS STRING), r'(\\.\\d*?)0+$', '$1'), r'\\.$', '.0')"
+    whole_ok, exact_ok, approx_ok = "v.r = 0 AND v.w IS NOT NULL", "v.r = 1 AND v.e IS NOT NULL", "v.r <= 1 OR v.r = 2 AND NOT isnan(v.a)"
+    text = f"CASE WHEN {whole_ok} THEN CAST(v.w AS STRING) WHEN {exact_ok} THEN {tidy} WHEN {approx_ok} THEN CAST(v.a AS STRING) END"
+    kind = f"CASE WHEN {whole_ok} THEN 'integer' WHEN {exact_ok} THEN 'decimal' ELSE 'double' END"
+    parts = f"transform(array(named_struct('r', {r}, 'w', {whole}, 'e', {exact}, 'a', {approx})), v -> named_struct('text', {text}, 'kind', {kind}))[0]"
+    made = let(value, f"transform(array({parts}), v -> named_struct('text', v.text, 'kind', v.kind, 'term', concat('\"', v.text, '\"^^<{XSD}', v.kind, '>')))[0]")
+    return literal(made["term"], made["text"], lambda: F.when(made["text"].isNotNull(), F.concat(F.lit(XSD), made["kind"])))
 
 
-def typed(r: Column, whole: Column, exact: Column, approx: Column) -> Column:
-    return F.when(r == 0, F.coalesce(c_xsd(whole, "integer"), c_xsd(approx, "double"))).when(r == 1, F.coalesce(c_xsd(dec_text(exact), "decimal"), c_xsd(approx, "double"))).when(r == 2, F.when(~F.isnan(approx), c_xsd(approx, "double")))
+#: Functions of two numbers in SQL, by type.
+Two = Callable[[str, str, str], str]
 
 
-def folded(items: Column, zero: int, op) -> Column:
-    nums = F.transform(items, c_lex)
+def folded(items: Column, zero: int, op: Two) -> Column:
+    def run(kind: str) -> str:
+        return f"aggregate(transform(x, t -> try_cast(t AS {kind})), CAST({zero} AS {kind}), (p, t) -> {op('p', 't', kind)})"
 
-    def run(kind: str) -> Column:
-        return F.aggregate(F.transform(nums, lambda x: x.try_cast(kind)), F.lit(zero).cast(kind), lambda a, x: op(a, x, kind))
+    r = f"CASE WHEN x IS NOT NULL THEN aggregate(transform(x, t -> {rank_of('t')}), 0, (p, t) -> CASE WHEN p IS NOT NULL AND t IS NOT NULL THEN greatest(p, t) END) END"
+    return typed(F.transform(items, c_lex), r, run(WHOLE), run(EXACT), run("double"))
 
-    r = F.aggregate(F.transform(items, rank), F.lit(0), lambda a, x: F.when(x.isNotNull() & a.isNotNull(), F.greatest(a, x)))
-    return F.when(items.isNotNull(), typed(r, run(WHOLE), run(EXACT), run("double")))
 
+def _plus(a: str, b: str, kind: str) -> str:
+    return f"try_cast(try_add({a}, {b}) AS {kind})"
 
-def _plus(a: Column, x: Column, kind: str) -> Column:
-    return F.try_add(a, x).try_cast(kind)
 
+def _times(a: str, b: str, kind: str) -> str:
+    return f"try_cast(try_multiply({a}, {b}) AS {kind})"
 
-def _times(a: Column, x: Column, kind: str) -> Column:
-    return F.try_multiply(a, x).try_cast(kind)
 
+def _minus(a: str, b: str, kind: str) -> str:
+    return f"try_cast(try_subtract({a}, {b}) AS {kind})"
 
-def pair(s: Arg, op) -> Column:
-    """op over two numbers, typed like the wider of the two."""
-    a, b = s.item(0).lex, s.item(1).lex
-    r = F.greatest(rank(s.item(0).c), rank(s.item(1).c))
-    both = rank(s.item(0).c).isNotNull() & rank(s.item(1).c).isNotNull()
-    return s.sized(2, F.when(both, typed(r, *(op(a.try_cast(k), b.try_cast(k), k) for k in (WHOLE, EXACT, "double")))))
+
+def _modulo(a: str, b: str, kind: str) -> str:
+    """Remainder with the sign of the divisor."""
+    return f"transform(array(try_mod({a}, {b})), m -> try_cast(CASE WHEN m <> 0 AND (m < 0) <> ({b} < 0) THEN m + {b} ELSE m END AS {kind}))[0]"
 
 
-def _minus(a: Column, b: Column, kind: str) -> Column:
-    return F.try_subtract(a, b).try_cast(kind)
+def pair(s: Arg, op: Two) -> Column:
+    """op over two numbers, typed like the wider of the two."""
+    a, b = rank_of("x[0]"), rank_of("x[1]")
+    r = f"transform(array(named_struct('a', {a}, 'b', {b})), v -> CASE WHEN v.a IS NOT NULL AND v.b IS NOT NULL THEN greatest(v.a, v.b) END)[0]"
+    kinds = (op(f"try_cast(x[0] AS {k})", f"try_cast(x[1] AS {k})", k) for k in (WHOLE, EXACT, "double"))
+    return typed(s.sized(2, F.array(s.item(0).lex, s.item(1).lex)).cast("array<string>"), r, *kinds)
 
 
 def _floor_div(a: Column, b: Column) -> Column:
     return F.floor(F.try_divide(a, b))
 
 
-def _modulo(a: Column, b: Column, kind: str) -> Column:
-    """Remainder with the sign of the divisor."""
-    r = F.try_mod(a, b)
-    return F.when((r != 0) & ((r < 0) != (b < 0)), (r + b)).otherwise(r).try_cast(kind)
-
-
-def one(s: Arg, op) -> Column:
-    return typed(rank(s.c), *(op(s.lex.try_cast(k)) for k in (WHOLE, EXACT, "double")))
+def one(s: Arg, op: str) -> Column:
+    """op, SQL of a number {}, typed like it."""
+    return typed(s.lex, rank_of("x"), *(op.format(f"try_cast(x AS {k})") for k in (WHOLE, EXACT, "double")))
 
 
 def double(c: Column) -> Column:
-    return F.when(~F.isnan(c), c_xsd(c.cast("double"), "double"))
+    return c_xsd(F.nullif(c.cast("double"), F.lit(float("nan"))), "double")
 
 
 def half_up(c: Column) -> Column:
@@ -338,11 +342,11 @@ COMPARE = {
 }
 total = lambda a: folded(a.items, 0, _plus)
 product = lambda a: folded(a.items, 1, _times)
-negated = lambda a: one(a, lambda x: -x)
+negated = lambda a: one(a, "-{}")
 
 add(
     MATH,
-    absoluteValue=fwd(lambda s: one(s, F.abs)),
+    absoluteValue=fwd(lambda s: one(s, "abs({})")),
     rounded=fwd(lambda s: double(half_up(s.number))),
     sum=fwd(total),
     sumOf=rev(total),
@@ -363,7 +367,7 @@ add(
     **{k: numeric(op) for k, op in COMPARE.items()},
 )
 add_fn(
-    abs=fwd(lambda s: one(s, F.abs)),
+    abs=fwd(lambda s: one(s, "abs({})")),
     round=fwd(lambda s: double(half_up(s.number))),
     ceiling=fwd(lambda s: double(F.ceil(s.number))),
     floor=fwd(lambda s: double(F.floor(s.number))),
@@ -384,7 +388,7 @@ def tidied(f):
 
 add(
     MATHS,
-    absoluteValue=fwd(tidied(lambda s: one(s, F.abs))),
+    absoluteValue=fwd(tidied(lambda s: one(s, "abs({})"))),
     rounded=fwd(tidied(lambda s: double(half_up(s.number)))),
     sum=fwd(tidied(total)),
     sumOf=rev(tidied(total)),
@@ -529,8 +533,13 @@ add(
 # os:
 
 
+#: Names of environment variables that queries may read. Values go into plans, which are logged: add to it with care.
+ENVIRON = {"HOME", "LANG", "TZ", "USER"}
+
+
 def environment(s: Arg) -> Column:
-    known = F.create_map(*[F.lit(x) for kv in os.environ.items() for x in kv])
+    given = {k: os.environ[k] for k in sorted(ENVIRON) if k in os.environ}
+    known = F.create_map(*[F.lit(x) for kv in given.items() for x in kv]) if given else F.create_map().cast("map<string,string>")
     return c_lit(F.try_element_at(known, s.lex))
 
 
@@ -566,7 +575,7 @@ add(
     argv=fwd(argument),
 )
 
-# crypto: hashes. RSA needs a library that is not here; those predicates are given by crypto_rsa when it can be imported.
+# crypto: hashes. RSA needs a library that is not here.
 
 add(SWAP + "crypto#", md5=fwd(lambda s: c_lit(F.md5(s.lex))), sha=fwd(lambda s: c_lit(F.sha1(s.lex))))
 

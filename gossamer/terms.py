@@ -117,17 +117,29 @@ def is_literal(c: Column) -> Column:
     return c.startswith('"')
 
 
+def _parts_of(c: Column) -> tuple | None:
+    """Lexical form and what gives the datatype of a literal put together here, so that it is not taken apart again."""
+    return c.__dict__.get("_parts")
+
+
+def let(value: Column, body: str) -> Column:
+    """The SQL expression `body` of x, the value, which is computed once however often body names it."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(f"x -> {body}")), F.lit(0))
+
+
 def c_lex(c: Column) -> Column:
-    return F.when(is_literal(c), F.regexp_extract(c, LITERAL, 1))
+    known = _parts_of(c)
+    return known[0] if known else F.when(is_literal(c), F.regexp_extract(c, LITERAL, 1))
 
 
 def c_datatype(c: Column) -> Column:
     """IRI text of a literal's datatype; null for plain and tagged ones."""
-    return F.when(is_literal(c), F.nullif(F.regexp_extract(c, LITERAL, 2), F.lit("")))
+    known = _parts_of(c)
+    return known[1]() if known else F.when(is_literal(c), F.nullif(F.regexp_extract(c, LITERAL, 2), F.lit("")))
 
 
 def c_lang(c: Column) -> Column:
-    return F.when(is_literal(c), F.nullif(F.regexp_extract(c, LITERAL, 3), F.lit("")))
+    return F.lit(None).cast("string") if _parts_of(c) else F.when(is_literal(c), F.nullif(F.regexp_extract(c, LITERAL, 3), F.lit("")))
 
 
 def c_uri(c: Column) -> Column:
@@ -136,7 +148,7 @@ def c_uri(c: Column) -> Column:
 
 def c_text(c: Column) -> Column:
     """The lexical form of a literal, the address of an IRI."""
-    return F.coalesce(c_lex(c), c_uri(c))
+    return c_lex(c) if _parts_of(c) else F.coalesce(c_lex(c), c_uri(c))
 
 
 def c_number(c: Column) -> Column:
@@ -152,7 +164,14 @@ def c_iri(text: Column) -> Column:
 
 
 def c_lit(text: Column, dt: str | None = None) -> Column:
-    return F.concat(F.lit('"'), text.cast("string"), F.lit(f'"^^<{dt}>' if dt else '"'))
+    text = text.cast("string")
+    return literal(F.concat(F.lit('"'), text, F.lit(f'"^^<{dt}>' if dt else '"')), text, lambda: F.when(text.isNotNull(), F.lit(dt).cast("string")))
+
+
+def literal(term: Column, text: Column, dt) -> Column:
+    """term, known to be a literal of that lexical form and (dt gives it) datatype."""
+    term.__dict__["_parts"] = text, dt
+    return term
 
 
 def c_xsd(value: Column, kind: str) -> Column:
