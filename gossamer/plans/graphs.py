@@ -354,8 +354,8 @@ class Graph:
 
         def supports(df, subj, obj):
             if variables(subj):
-                done = mapped(conclusion)(df, subj, "?__closure")
-                return within(done, "?__closure", obj, "inner").drop("__closure")
+                done = mapped(conclusion)(df, subj, "?its_closure")
+                return within(done, "?its_closure", obj, "inner").drop("its_closure")
             c = conclusion(subj)
             return within(df, c, obj, "inner") if c else df.where(F.lit(False))
 
@@ -366,8 +366,8 @@ class Graph:
                 return closure(self, t, PACK)
 
             if variables(subj):
-                done = mapped(closed)(df, subj, "?__closure")
-                return within(done, "?__closure", obj, "inner").drop("__closure")
+                done = mapped(closed)(df, subj, "?its_closure")
+                return within(done, "?its_closure", obj, "inner").drop("its_closure")
             return within(df, closed(subj), obj, "inner")
 
         def justifies(df, subj, obj):
@@ -376,8 +376,8 @@ class Graph:
             def run(t: str) -> str | None:
                 return nested_run(self, [members(x) if x.startswith("L") else [x] for x in members(t)])
 
-            out = mapped(run)(df, subj, "?__run")
-            return within(out, "?__run", obj, "inner").drop("__run")
+            out = mapped(run)(df, subj, "?its_run")
+            return within(out, "?its_run", obj, "inner").drop("its_run")
 
         def n3_string(t: str) -> str | None:
             from gossamer.sources.n3_writer import formula_text
@@ -408,7 +408,8 @@ class Graph:
         def named(df, subj, obj, which):
             rows = [("F" + g, T.lit(v)) for g, f in s.formulas.items() for v in getattr(f, which)]
             table = self.spark.createDataFrame(rows, "__f string, __v string")
-            return df.join(table, (bgp.column(subj) == F.col("__f")) & (bgp.column(obj) == F.col("__v")), "left_semi")
+            joined = df.join(table, bgp.column(subj) == F.col("__f"))
+            return bgp.unify(joined, F.col("__v"), obj).drop("__f", "__v").distinct()
 
         def parsed_query(t: str) -> str | None:
             try:

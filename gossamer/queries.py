@@ -512,3 +512,12 @@ def log_functions(spark, sf_dir):
     n = spark.read.parquet(f"{sf_dir}/nation.parquet")
     node = Arg(F.concat(F.lit("<db/nation#n_nationkey."), F.col("n_nationkey").cast("string"), F.lit(">")))
     return n.select(F.col("n_nationkey").alias("k"), lex(get(f"<{T.LOG}uri>").fwd(node)).alias("uri"), T.c_uri(get(f"<{T.LOG}racine>").fwd(node)).alias("stem"))
+
+
+# Every built-in of a namespace, each way that it can be asked, and queries over documents
+
+from gossamer import builtin_queries, document_queries  # noqa: E402
+
+for more in (builtin_queries, document_queries):
+    QUERIES.update(more.QUERIES)
+    ORACLE.update(more.ORACLE)
