@@ -205,28 +205,32 @@ def test_a_conclusion_opens_a_rule_that_was_closed(session):
     assert [r.s for r in out.collect()] == [x("a")]
 
 
-def verdicts(session, facts, policy):
-    out, _ = run_policy(graph(session, facts), [session.document("u:" + str(hash(policy)), HEAD + policy)])
-    return {(r.s, r.p.rpartition("#")[2][:-1]) for r in out.collect()}
-
-
-def test_hidden_rules_and_inherited_bindings(session):
-    policy = """@forAll :V . :P a air:Policy ; air:rule :R1 .
-    :R1 a air:Hidden-rule ; air:if { :s :V :b } ; air:then [ air:rule :R2 ] .
-    :R2 a air:Belief-rule ; air:if { :s :V :c } ; air:then [ air:assert { :s air:compliant-with :P } ] ; air:else [ air:assert { :s air:non-compliant-with :P } ] ."""
-    assert verdicts(session, ":s :a :b , :c .", policy) == {(x("s"), "compliant-with")}
-    assert verdicts(session, ":s :a :b ; :z :c .", policy) == {(x("s"), "non-compliant-with")}
-
-
-def test_nested_reasoning_in_policies(session):
-    entails = """:P a air:Policy ; air:rule :R , :Q .
-    :R a air:Belief-rule ; air:if { { :d rdfs:subClassOf :e . :i a :d } air:owlEntails { :i a :e } } ; air:then [ air:assert { :sub air:compliant-with :P } ] .
-    :Q a air:Belief-rule ; air:if { { :b owl:sameAs :c . :i :a :b } air:owlEntails { :i :a :c } } ; air:then [ air:assert { :same air:compliant-with :P } ] ; air:else [ air:assert { :same air:non-compliant-with :P } ] ."""
-    assert verdicts(session, ":n :n :n .", entails) == {(x("sub"), "compliant-with"), (x("same"), "compliant-with")}
-    justifies = """:P a air:Policy ; air:rule :R .
-    :R a air:Belief-rule ; air:if { (({ :a :p :b }) ({ :N a air:Policy ; air:rule :N1 . :N1 a air:Belief-rule ; air:if { :a :p :b } ; air:then [ air:assert { :a air:compliant-with :N } ] })) air:justifies { :a air:compliant-with :N } } ;
-      air:then [ air:assert { :nested air:compliant-with :P } ] ; air:else [ air:assert { :nested air:non-compliant-with :P } ] ."""
-    assert verdicts(session, ":n :n :n .", justifies) == {(x("nested"), "compliant-with")}
+SHIPPING = """@forAll :o , :c , :n , :v . :Export a air:Policy ; air:rule :FindNation .
+:FindNation a air:Hidden-rule ; air:if { :o :placedBy :c . :c :livesIn :n } ; air:then [ air:rule :Treaty ] .
+:Treaty a air:Belief-rule ; air:if { :n :tradesWith :home } ; air:then [ air:assert { :o air:compliant-with :Export } ; air:rule :Limit ] ; air:else [ air:assert { :o air:non-compliant-with :Export } ] .
+:Limit a air:Belief-rule ; air:if { :o :total :v . :v math:greaterThan 1000 } ; air:then [ air:assert { :o :needs :Signature } ] ."""
+ORDERS = """:o1 :placedBy :c1 ; :total 1200 . :o2 :placedBy :c2 ; :total 5000 . :o3 :placedBy :c1 ; :total 30 .
+:c1 :livesIn :peru . :c2 :livesIn :chad . :peru :tradesWith :home ."""
+
+
+def test_a_hidden_rule_binds_for_the_rules_that_it_starts(session):
+    g = graph(session, ORDERS)
+    out, why = run_policy(g, [session.document("u:shipping", HEAD + SHIPPING)])
+    short = lambda t: t.rpartition("#")[2].rstrip(">")
+    assert {(short(r.s), short(r.p)) for r in out.collect()} == {("o1", "compliant-with"), ("o2", "non-compliant-with"), ("o3", "compliant-with")}
+    told = {(short(r.rule), r.branch, r.bindings["o"], r.bindings["n"]) for r in why.collect() if not r.hidden}
+    assert ("Treaty", "then", x("o1"), x("peru")) in told and ("Treaty", "else", x("o2"), x("chad")) in told
+    assert {t[2] for t in told if t[0] == "Limit"} == {x("o1")} and "FindNation" not in {t[0] for t in told}
+
+
+def test_policies_ask_what_a_graph_entails_or_another_policy_justifies(session):
+    policy = """:Supply a air:Policy ; air:rule :Entailed , :Denied , :Approved .
+    :Entailed a air:Belief-rule ; air:if { { :suppliedBy rdfs:range :Supplier . :bolt :suppliedBy :acme } air:owlEntails { :acme a :Supplier } } ; air:then [ air:assert { :range air:compliant-with :Supply } ] .
+    :Denied a air:Belief-rule ; air:if { { :suppliedBy rdfs:range :Supplier } air:owlEntails { :acme a :Supplier } } ; air:then [ air:assert { :nothing air:compliant-with :Supply } ] ; air:else [ air:assert { :nothing air:non-compliant-with :Supply } ] .
+    :Approved a air:Belief-rule ; air:if { (({ :bolt :size 7 }) ({ :Inner a air:Policy ; air:rule :Small . :Small a air:Belief-rule ; air:if { :bolt :size 7 } ; air:then [ air:assert { :bolt air:compliant-with :Inner } ] })) air:justifies { :bolt air:compliant-with :Inner } } ;
+      air:then [ air:assert { :inner air:compliant-with :Supply } ] ."""
+    out, _ = run_policy(graph(session, ":x :y :z ."), [session.document("u:supply", HEAD + policy)])
+    assert {(r.s, r.p.rpartition("#")[2]) for r in out.collect()} == {(x("range"), "compliant-with>"), (x("nothing"), "non-compliant-with>"), (x("inner"), "compliant-with>")}
 
 
 def test_incremental_closure(spark, tmp_path):
