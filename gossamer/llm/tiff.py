@@ -6,6 +6,8 @@ page is skipped: a file that cannot be read gives one row whose `error` says why
 
 Defined cases: a null or empty file gives one row with `error` "empty"; a directory that points back at an earlier one
 ends the walk with an error row after the pages before it; equal files give equal rows; an empty table gives no rows.
+Very long texts are one page of as many rows as they need, and an image whose header asks for more than the file's
+bytes can hold is an error row too.
 Extra columns of the input are carried unless they bear a name of the result, which then wins.
 """
 
@@ -27,6 +29,8 @@ FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11:
 FIELD_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_BYTES, FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+#: Bytes that one stored byte can come to at most, by scheme; LZW codes have 9 bits or more and stand for 4096 bytes or fewer.
+EXPANDS = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
 
 
 class TiffError(ValueError):
@@ -168,13 +172,11 @@ def _block(data: bytes, scheme: int, size: int) -> bytes:
         out = unpack_bits(data, size)
     elif scheme == LZW:
         out = un_lzw(data, size)
-    elif scheme in (DEFLATE, OLD_DEFLATE):
+    else:
         try:
             out = zlib.decompressobj().decompress(data, size)
         except zlib.error as x:
             raise TiffError("a deflate stream is broken") from x
-    else:
-        raise TiffError(f"compression {scheme} is not known")
     if len(out) < size:
         raise TiffError("a strip or tile is too short")
     return out[:size]
@@ -192,6 +194,10 @@ def _image(data: bytes, e: str, tags: dict[int, tuple]) -> np.ndarray:
     places, sizes = tags.get(TILE_AT if tiled else STRIP_AT), tags.get(TILE_BYTES if tiled else STRIP_BYTES)
     if not tw or not th or places is None or sizes is None or len(places) != len(sizes):
         raise TiffError("a page without strips or tiles")
+    if one(COMPRESSION, 1) not in EXPANDS:
+        raise TiffError(f"compression {one(COMPRESSION, 1)} is not known")
+    if w * h * samples * bits > 8 * len(data) * EXPANDS[one(COMPRESSION, 1)] or tiled and tw * th > w * h + (tw + th) * 4096:
+        raise TiffError("a page larger than its file can hold")
     here = 1 if planar else samples
     kind = np.dtype({1: "u1", 2: "u1", 4: "u1", 8: "u1", 16: e + "u2", 32: e + ("f4" if one(FORMAT) == 3 else "u4"), 64: e + ("f8" if one(FORMAT) == 3 else "u8")}[bits])
     out = np.zeros((h, w, samples), kind.newbyteorder("="))
@@ -298,8 +304,8 @@ def page_rows(data: bytes | None) -> Iterator[tuple]:
         for tags, a in decode(data):
             yield (n, a.shape[1], a.shape[0], a.shape[2], tags.get(BITS, (1,))[0], tags.get(COMPRESSION, (1,))[0], tags.get(PREDICTOR, (1,))[0], TILE_AT in tags, a.tobytes(), *features(a), None)
             n += 1
-    except TiffError as x:
-        yield (n, *[None] * 11, str(x))
+    except (ValueError, IndexError, OverflowError, MemoryError, struct.error) as x:  # TiffError is a ValueError
+        yield (n, *[None] * 11, str(x) or type(x).__name__)
 
 
 def pages(df: DataFrame, media: str, keep: list[str]) -> DataFrame:
@@ -349,7 +355,8 @@ DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def digests(media: DataFrame, width: int = 64) -> DataFrame:
-    """Of (doc_id, n_bytes, media): what the decoded page and the stored bytes come to."""
+    """Of (doc_id, n_bytes, media): what the decoded page and the stored bytes come to; for a page that cannot be read
+    its payload's columns are null and the feature says why."""
     page = pages(media.withColumn("stored", F.col("media")), "media", ["doc_id", "n_bytes", "stored"])
 
     def run(batches):
@@ -358,6 +365,10 @@ def digests(media: DataFrame, width: int = 64) -> DataFrame:
             rows = []
             for i in range(b.num_rows):
                 raw, stored = c["pixels"][i].as_py(), c["stored"][i].as_py()
+                if raw is None:
+                    kept = (None, None) if stored is None else (len(stored), hashlib.sha256(stored).hexdigest())
+                    rows.append((None, None, None, *kept, f"error: {c['error'][i]}"))
+                    continue
                 rows.append((len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-width:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{c['width'][i]}x{c['height'][i]} mean={c['mean'][i].as_py():.4f} sd={c['deviation'][i].as_py():.4f} entropy={c['entropy'][i].as_py():.4f}"))
             cols = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([c["doc_id"], c["n_bytes"], *(pa.array(list(x), k) for x, k in zip(cols, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]))], names=[x.split()[0] for x in DIGEST.split(", ")])

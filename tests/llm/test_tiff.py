@@ -85,3 +85,21 @@ def test_pages_of_a_table(spark):
     got = sorted(tiff.pages(df, "media", ["doc_id", "width"]).collect(), key=lambda r: (r.doc_id, r.page))
     assert [(r.doc_id, r.page, r.error) for r in got] == [(1, 0, None), (1, 1, None), (1, 2, None), (1, 3, None), (2, 0, "empty"), (3, 0, "no TIFF header")]
     assert bytes(got[0].pixels) == IMAGES[0].tobytes() and got[0].width == 50
+
+
+def test_broken_and_boasting_files_are_rows_with_an_error(spark):
+    import struct
+
+    good = tiff.encode([np.zeros((4, 64), np.uint8)])
+    at = struct.unpack_from("<I", good, 4)[0]
+    boasting = bytearray(good)
+    for k in range(struct.unpack_from("<H", good, at)[0]):
+        if struct.unpack_from("<H", good, at + 2 + 12 * k)[0] in (tiff.WIDTH, tiff.HEIGHT):
+            struct.pack_into("<I", boasting, at + 2 + 12 * k + 8, 0xFFFFFFFF)
+    files = [bytes(boasting), b"no tiff at all", good[:20], None, b"", good]
+    for f in files[:-1]:
+        [row] = tiff.page_rows(f)
+        assert row[-1] and row[8] is None
+    df = spark.createDataFrame([(i, 0, f) for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in tiff.digests(df).collect()}
+    assert len(got) == len(files) and all((got[i].payload_bytes is None) == (i < 5) and got[i].feature.startswith("error") == (i < 5) for i in got)
