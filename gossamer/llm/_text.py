@@ -136,3 +136,14 @@ def text_pieces(batch: pa.RecordBatch, column: str, most: int = PIECE):
     data, off = buffers(batch.column(column))
     for a, b in pieces(off, most):
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them (as Spark compares names, whatever their case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -7,8 +7,8 @@ documents. The result is a compressed bitmap of kept lines per document, not tex
 
 Defined cases: a null or empty text is one empty line; rows of one doc_id with equal text share one bitmap, and rows
 of one doc_id with different texts count as one document and get a bitmap each; rows with a null doc_id keep all their
-lines; a key that repeats inside its largest document keeps all of them there; an empty table gives an empty result.
-Only doc_id and text are read, so other columns may bear any name.
+lines; a key that repeats inside its largest document keeps all of them there; an empty table gives an empty result; a
+very long text is cut into lines whole. Only doc_id and text are read, so other columns may bear any name.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gossamer.llm import _store
+from gossamer.llm import _store, _text
 
 BLANK = b" \t\n\v\f\r"
 #: Rows that a stream holds at once.
@@ -160,7 +160,8 @@ def kept_digests(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def kept_texts(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with `text` reduced to the lines that stay; other columns as they are."""
-    theirs = bitmaps.select(F.col("doc_id").alias("__id"), F.col("version").alias("__version"), F.col("dropped").alias("__dropped")).hint("shuffle_hash")
+    doc, version, dropped = _text.unused(docs.columns, "__id", "__version", "__dropped")
+    theirs = bitmaps.select(F.col("doc_id").alias(doc), F.col("version").alias(version), F.col("dropped").alias(dropped)).hint("shuffle_hash")
     drop = F.pandas_udf(lambda texts, found: texts.combine(found, lambda t, b: t if b is None or t is None else "\n".join(x for x, g in zip(t.split("\n"), dropped_lines(b, t.count("\n") + 1)) if not g)), "string")
-    joined = docs.join(theirs, (F.col("doc_id") == F.col("__id")) & (_version() == F.col("__version")), "left")
-    return joined.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(drop("text", "__dropped"))).select(*docs.columns)
+    joined = docs.join(theirs, (F.col("doc_id") == F.col(doc)) & (_version() == F.col(version)), "left")
+    return joined.withColumn("text", F.when(F.col(dropped).isNull(), F.col("text")).otherwise(drop("text", dropped))).select(*docs.columns)
