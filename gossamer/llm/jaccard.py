@@ -12,7 +12,8 @@ links. Nothing is capped: two groups of a split key meet like any others.
 
 Defined cases: documents without words have no set, link with nothing and are their own component; fewer words than a
 shingle make one shingle of all; a row with a null doc_id has no component (null) and takes no part; rows of one doc_id
-count as linked; an empty table gives no rows. Only doc_id and text are read.
+count as linked; an empty table gives no rows; a very long text is compared whole and is a group of its own where its
+set is larger than `GROUP_TOKENS`. Only doc_id and text are read, and other columns may have any names.
 """
 
 from __future__ import annotations
@@ -385,6 +386,7 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs with the smallest doc_id of each component; rows with a null doc_id all stay."""
-    stay = join(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(stay, F.col("doc_id") == F.col("__id"), "left_semi")
+    [mine] = _text.unused(docs.columns, "__id")
+    stay = join(docs, k, num, den).where("doc_id = component_id").select(F.col("doc_id").alias(mine)).distinct()
+    kept = docs.join(stay, F.col("doc_id") == F.col(mine), "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -75,3 +75,23 @@ def test_one_of_each_and_empty_table(spark):
     want = sorted([r[0] for r in brute(rows, 5, 4, 5) if r[0] == r[2]], key=repr)
     assert kept == want
     assert jaccard.join(df.limit(0)).collect() == []
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    rows = [(i, " ".join(f"w{j}" for j in range(30)) if i % 2 else f"alone number {i} of many others", i) for i in range(8)] + [(None, "x", 99)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id long")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns and sorted(r["__id"] for r in got.collect()) == [0, 1, 2, 4, 6, 99]
+
+
+def test_groups_are_bounded_by_tokens(spark, monkeypatch):
+    # Copies with a word more each: one key, far more tokens than a group may have.
+    text = " ".join(f"w{j}" for j in range(200))
+    rows = [(i, f"{text} {' '.join(f'x{k}' for k in range(i % 7))} y{i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: (r.component_id, r.n_links) for r in jaccard.join(df).collect()}
+    monkeypatch.setattr(jaccard, "GROUP_TOKENS", 1000)
+    assert {r.doc_id: (r.component_id, r.n_links) for r in jaccard.join(df).collect()} == want
+    assert {v[0] for v in want.values()} == {0} and want[0][1] == 59
+    groups = jaccard.grouped(jaccard.signed(df, 5, 4, 5)).groupBy("gid").sum("n").collect()
+    assert len(groups) > 5
