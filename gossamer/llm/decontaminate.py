@@ -1,16 +1,19 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Items are parted by the number of their shingles. A part's sketch holds the k smallest shingle hashes of each item,
-with k one more than the shingles an item of that part may miss: a document that contains enough of an item holds at
-least one of the k, so no contained item is missed however long the document. Documents are streamed once against the
-sketches; what they hit is verified by exact containment of the item's shingle set in the document's.
+Items are parted by the number of their shingles, and each part is an index of its own: the `k` smallest shingle hashes of
+each of its items, with the part's `k`, and the largest of all these as the part's ceiling. A document is sketched for
+each part by its shingle hashes up to the ceiling, so a long document gets a longer sketch where a sketch of fixed size
+would lose a short item in it. An item of which a document holds enough misses at most as many hashes as its size and the
+threshold allow, so `k` is that number and `SPARE` more, and a document that shares fewer than the rest cannot contain it:
+recall is certain. What shares enough is verified by exact containment of the item's shingle set in the document's.
 
 Words are lower-cased (A-Z) runs of ASCII letters, digits and bytes of other scripts. An item of fewer words than a
 shingle is looked for as one shingle of its own length.
 
 Defined cases: null, empty or wordless texts and items match nothing; repeated items and documents match each; equal
-containments are all reported; an empty table gives no rows. Items are taken in blocks, each against all documents, so
-the size of the benchmark is not bounded by a broadcast.
+containments are all reported; rows with a null id are reported with a null; very long texts are sketched whole; an empty
+table gives no rows; columns of other names are not read by `search` and kept by `clean`, whatever they are called.
+Items are taken in blocks, each against all documents, so the size of the benchmark is not bounded by a broadcast.
 """
 
 from __future__ import annotations
@@ -24,18 +27,60 @@ from pyspark.sql import functions as F
 
 from gossamer.llm import _store, _text
 
+U = np.uint64
 SHINGLE = 5
 #: Upper bounds of the parts by number of shingles; items above the last are a part each.
 PARTS = (8, 16, 32, 64, 128, 256, 512, 1024)
+#: Hashes of an item's sketch beyond those that a match may lack.
+SPARE = 4
 MATCH = "doc_id long, item_id long, n_shingles int, n_found int, containment double"
 
 
+class Part:
+    """The index of the items of one size: their sketches as sorted hashes, and what each item needs of its own."""
+
+    def __init__(self, bound: int, share: float, members: list[tuple[int, np.ndarray]]):
+        """members: numbers and shingle sets (sorted hashes) of items with at most `bound` shingles."""
+        self.k = bound - _least(bound, share) + 1 + SPARE
+        sketches = [(i, s[: self.k]) for i, s in members]
+        keys, owner = np.concatenate([s for _, s in sketches]), np.repeat([i for i, _ in sketches], [len(s) for _, s in sketches])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
+        self.ceiling = self.keys[-1]
+        self.gate = np.zeros(1 << 16, bool)
+        self.gate[(keys >> U(48)).astype(np.int64)] = True
+        #: By item: how many hashes of its sketch a document with enough of it shares at least.
+        self.needs = {i: max(1, min(self.k, len(s)) - (len(s) - _least(len(s), share))) for i, s in members}
+
+    def candidates(self, sh: np.ndarray, at: np.ndarray) -> list[tuple[int, int]]:
+        """(row, item) of documents whose sketches share enough with an item's."""
+        # The documents' sketches: hashes up to the ceiling; most of them are not near any key.
+        near = np.flatnonzero(sh <= self.ceiling)
+        near = near[self.gate[(sh[near] >> U(48)).astype(np.int64)]]
+        left, right = (np.searchsorted(self.keys, sh[near], side) for side in ("left", "right"))
+        near, left, right = (x[right > left] for x in (near, left, right))
+        if not len(near):
+            return []
+        rows = np.searchsorted(at, near, "right") - 1
+        # A hash that a document repeats is one hash of its sketch.
+        _, once = np.unique(np.stack([rows, left]), axis=1, return_index=True)
+        rows, left, n = rows[once], left[once], (right - left)[once]
+        spot = np.repeat(left - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        pairs, shared = np.unique(np.stack([np.repeat(rows, n), self.owner[spot]]), axis=1, return_counts=True)
+        return [(r, i) for r, i, c in zip(*pairs.tolist(), shared.tolist()) if c >= self.needs[i]]
+
+
+def _least(n: int, share: float) -> int:
+    """Shingles of n that a document must hold."""
+    return math.ceil(share * n - 1e-9)
+
+
 class Sketches:
-    """The items of one block: their shingle sets, and the sketch of each with its shingle length."""
+    """The items of one block: their shingle sets, and the parts' indexes by shingle length."""
 
     def __init__(self, ids: list[int], texts: list[str | None], k: int, share: float):
         self.share, self.k, self.items = share, k, []
-        low: dict[int, list[tuple[int, int]]] = {}
+        parted: dict[tuple[int, int], list[tuple[int, np.ndarray]]] = {}
         data, off = _text.buffers(pa.array(texts, pa.string()))
         _, _, h, first = _text.words(data, off, _text.NON_WORD)
         for i, item in enumerate(ids):
@@ -45,38 +90,23 @@ class Sketches:
             length = min(k, len(mine))
             sh, _ = _text.shingles(mine, np.array([0, len(mine)]), length)
             s = np.unique(sh)
-            self.items.append((item, s, length))
             size = next((p for p in PARTS if len(s) <= p), len(s))
-            may_miss = size - math.ceil(share * size - 1e-9)
-            # The bound of this very item may be smaller; the part's k is kept, up to the whole set.
-            for x in s[: may_miss + 1].tolist():
-                low.setdefault(length, []).append((x, len(self.items) - 1))
-        self.by_length = {}
-        for length, pairs in low.items():
-            pairs.sort()
-            keys = np.array([p[0] for p in pairs], np.uint64)
-            gate = np.zeros(1 << 16, bool)
-            gate[(keys >> np.uint64(48)).astype(np.int64)] = True
-            self.by_length[length] = (keys, np.array([p[1] for p in pairs]), gate)
+            parted.setdefault((length, size), []).append((len(self.items), s))
+            self.items.append((item, s))
+        self.parts: dict[int, list[Part]] = {}
+        for (length, size), members in sorted(parted.items()):
+            self.parts.setdefault(length, []).append(Part(size, share, members))
 
     def matches(self, data: np.ndarray, off: np.ndarray):
         """(row, item, size of the item's set, shingles found) for rows of bytes."""
         _, _, h, first = _text.words(data, off, _text.NON_WORD)
-        for length, (keys, owner, gate) in self.by_length.items():
+        for length, parts in self.parts.items():
             sh, at = _text.shingles(h, first, length)
-            near = np.flatnonzero(gate[(sh >> np.uint64(48)).astype(np.int64)])
-            left = np.searchsorted(keys, sh[near], "left")
-            right = np.searchsorted(keys, sh[near], "right")
-            hit = right > left
-            if not hit.any():
-                continue
-            rows = np.searchsorted(at, near[hit], "right") - 1
-            found = {(int(r), int(owner[j])) for r, a, b in zip(rows, left[hit], right[hit]) for j in range(a, b)}
             sets: dict[int, np.ndarray] = {}
-            for r, j in sorted(found):
+            for r, j in sorted(c for part in parts for c in part.candidates(sh, at)):
                 if r not in sets:
                     sets = {r: np.unique(sh[at[r] : at[r + 1]])}
-                item, s, _ = self.items[j]
+                item, s = self.items[j]
                 n = int(np.isin(s, sets[r], assume_unique=True).sum())
                 if n >= self.share * len(s) - 1e-9:
                     yield r, item, len(s), n
@@ -124,8 +154,9 @@ def search(docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = 0
 
 
 def clean(docs: DataFrame, items: DataFrame, k: int = SHINGLE, share: float = 0.8) -> DataFrame:
-    """docs without those that contain an item; rows with a null doc_id are judged by their own text."""
-    marked = docs.withColumn("__row", F.xxhash64(F.coalesce("text", F.lit(""))))
-    keyed = marked.select(F.col("__row").alias("doc_id"), "text")
-    hit = search(keyed, items, k, share).select(F.col("doc_id").alias("__row")).distinct()
-    return marked.join(hit, "__row", "left_anti").drop("__row")
+    """docs without those that contain an item, each row judged by its own text."""
+    [row] = _text.unused(docs.columns, "__row")
+    marked = docs.withColumn(row, F.xxhash64(F.coalesce("text", F.lit(""))))
+    keyed = marked.select(F.col(row).alias("doc_id"), "text")
+    hit = search(keyed, items, k, share).select(F.col("doc_id").alias(row)).distinct()
+    return marked.join(hit, row, "left_anti").drop(row)

@@ -61,3 +61,25 @@ def test_clean_and_empty_tables(spark):
     assert decontaminate.search(df.limit(0), benchmark).collect() == []
     assert decontaminate.search(df, benchmark.limit(0)).collect() == []
     assert decontaminate.clean(df, benchmark.limit(0)).count() == len(docs)
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    docs, items = cases()
+    df = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(docs)], "doc_id long, text string, __row long").repartition(3)
+    found = {r[0] for r in brute([(i, t) for i, (_, t) in enumerate(docs)], items)}
+    got = decontaminate.clean(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert got.columns == df.columns and sorted(r["__row"] for r in got.collect()) == [i for i in range(len(docs)) if i not in found]
+
+
+def test_sketches_lose_nothing_that_is_contained():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n, bound in ((1, 8), (8, 8), (9, 16), (40, 64), (64, 64)):
+        sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for _ in range(20)]
+        part = decontaminate.Part(bound, 0.8, list(enumerate(sets)))
+        for i, s in enumerate(sets):
+            for _ in range(20):
+                kept = rng.choice(s, decontaminate._least(n, 0.8), replace=False)
+                doc = np.concatenate([kept, rng.integers(0, 1 << 63, 300).astype(np.uint64), kept[:3]])
+                assert (0, i) in part.candidates(doc, np.array([0, len(doc)]))
