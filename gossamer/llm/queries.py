@@ -181,8 +181,11 @@ b_{name}_a AS (SELECT n.*, p.budget FROM b_{name}_n n JOIN {parent} p ON {same})
 b_{name}_b AS (SELECT *, coalesce(sum(cap) OVER ({by} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c0,
   coalesce(sum(w) OVER ({by} ORDER BY cap / w, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w0, sum(w) OVER ({by}) AS w1 FROM b_{name}_a),
 b_{name}_c AS (SELECT *, cap * (w1 - w0) <= w * (budget - c0) AS is_full FROM b_{name}_b),
-b_{name} AS (SELECT {here}, CASE WHEN is_full THEN cap ELSE least(cap, floor(greatest(budget - coalesce(sum(cap) FILTER (WHERE is_full) OVER ({by}), 0), 0)
-  * w / sum(w) FILTER (WHERE NOT is_full) OVER ({by}))) END::HUGEINT AS budget FROM b_{name}_c)"""
+b_{name}_d AS (SELECT *, greatest(budget - coalesce(sum(cap) FILTER (WHERE is_full) OVER ({by}), 0), 0)::HUGEINT AS rest,
+  sum(w) FILTER (WHERE NOT is_full) OVER ({by})::HUGEINT AS w2 FROM b_{name}_c),
+b_{name}_e AS (SELECT *, CASE WHEN NOT is_full THEN rest * w // w2 END AS part, CASE WHEN NOT is_full THEN rest * w % w2 END AS over FROM b_{name}_d),
+b_{name} AS (SELECT {here}, CASE WHEN is_full THEN cap ELSE part + CASE WHEN row_number() OVER ({by} ORDER BY over DESC NULLS LAST, {name} NULLS FIRST)
+  <= rest - coalesce(sum(part) OVER ({by}), 0) THEN 1 ELSE 0 END END::HUGEINT AS budget FROM b_{name}_e)"""
 
 
 def _weights(level: str) -> str:

@@ -20,7 +20,10 @@ def shared(children, budget):
         full = [n for n, (w, c) in left.items() if c * total <= w * rest]
         if not full:
             for n, (w, c) in left.items():
-                out[n] = min(c, rest * w // total)
+                out[n] = rest * w // total
+            spare = rest - sum(out[n] for n in left)
+            for n in sorted(left, key=lambda n: (-(rest * left[n][0] % total), n is not None, n))[:spare]:
+                out[n] += 1
             break
         for n in full:
             out[n] = left[n][1]
@@ -78,3 +81,10 @@ def test_mixed_rows_and_empty_table(spark):
     got = mixing.mixed(df, F.col("dom"), WEIGHTS, share=1.0, most_epochs=2, seed=1)
     assert got.columns == df.columns and got.count() == sum(r[-1] for r in chosen)
     assert mixing.mixed(df.limit(0), F.col("dom"), WEIGHTS).collect() == []
+
+
+def test_columns_may_have_any_names(spark):
+    rows = [(i, f"w{i} a b", "a", "en", "s1", i, i, i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, dom string, lang string, source string, __id long, __same long, __copies long, __n long")
+    got = mixing.mixed(df, F.col("dom"), WEIGHTS, share=1.0)
+    assert got.columns == df.columns and sorted(got.collect()) == sorted(df.collect())
