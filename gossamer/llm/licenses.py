@@ -10,7 +10,8 @@ Words are lower-cased (A-Z) runs of ASCII letters, digits and bytes of other scr
 give the one with most matched words, the earlier at a tie; finds of different templates may overlap.
 
 Defined cases: null and empty texts and templates without K words find nothing; repeated rows are reported each; an
-empty table gives no rows. The templates are a parameter held by every task; they do not grow with the documents.
+empty table gives no rows; a null doc_id is reported as null; very long texts are scanned whole; other columns than doc_id
+and text are not read. The templates are a parameter held by every task; they do not grow with the documents.
 """
 
 from __future__ import annotations
@@ -39,30 +40,33 @@ def align(t: np.ndarray, d: np.ndarray, diagonal: int, band: int) -> tuple[int,
     """Local alignment of template words t with document words d, position j of d at most `band` off i + diagonal:
     number of matched words and the span of d (from, to). A match counts 2, anything else -1."""
     width = 2 * band + 1
+    lane, low = np.arange(width), diagonal - band
+    # Document words by place in the band: row i looks at those from i to i + width.
+    place = np.arange(len(t) + width) + low
+    there = (place >= 0) & (place < len(d))
+    words = d[np.clip(place, 0, max(len(d) - 1, 0))] if len(d) else np.zeros(len(place), d.dtype)
     # Of each cell the score, matched words and where its alignment begins.
-    before = [(0, 0, -1)] * width
+    score, matched, begin = np.zeros(width, np.int64), np.zeros(width, np.int64), np.full(width, -1)
     best = (0, 0, 0, 0)
     for i in range(len(t)):
-        row: list[tuple[int, int, int]] = []
-        for b in range(width):
-            j = i + diagonal + b - band
-            if not 0 <= j < len(d):
-                row.append((0, 0, -1))
-                continue
-            s, m, a = before[b]
-            cell = (s + 2, m + 1, j if a < 0 else a) if t[i] == d[j] else (s - 1, m, a)
-            if b + 1 < width and before[b + 1][0] - 1 > cell[0]:
-                s, m, a = before[b + 1]
-                cell = (s - 1, m, a)
-            if b and row[-1][0] - 1 > cell[0]:
-                s, m, a = row[-1]
-                cell = (s - 1, m, a)
-            if cell[0] <= 0:
-                cell = (0, 0, -1)
-            row.append(cell)
-            if cell[0] > best[0]:
-                best = (cell[0], cell[1], cell[2], j + 1)
-        before = row
+        inside, j = there[i : i + width], place[i : i + width]
+        same = inside & (words[i : i + width] == t[i])
+        s, m, a = np.where(same, score + 2, score - 1), matched + same, np.where(same & (begin < 0), j, begin)
+        # A template word left out: from the cell to the right, one row up.
+        skip = np.flatnonzero(score[1:] - 1 > s[:-1])
+        s[skip], m[skip], a[skip] = score[skip + 1] - 1, matched[skip + 1], begin[skip + 1]
+        s[~inside | (s <= 0)] = 0
+        # Document words left out: the cell to the left that is best after what each step costs, the nearest of equals.
+        ahead = s + lane
+        source = np.maximum.accumulate(np.where(ahead >= np.maximum.accumulate(ahead), lane, 0))
+        score = s[source] - (lane - source)
+        score[~inside] = 0
+        none = score <= 0
+        score[none] = 0
+        matched, begin = np.where(none, 0, m[source]), np.where(none, -1, a[source])
+        k = int(np.argmax(score))
+        if score[k] > best[0]:
+            best = (int(score[k]), int(matched[k]), int(begin[k]), int(j[k]) + 1)
     return best[1:]
 
 

@@ -71,3 +71,36 @@ def test_winnowing_keeps_one_of_every_window():
     h = np.random.default_rng(0).integers(0, 1 << 60, 200).astype(np.uint64)
     picked = set(licenses.winnow(h, 4).tolist())
     assert all(picked & set(range(i, i + 4)) for i in range(197))
+
+
+def plain_align(t, d, diagonal, band):
+    """Cell by cell."""
+    width, best = 2 * band + 1, (0, 0, 0, 0)
+    before = [(0, 0, -1)] * width
+    for i, x in enumerate(t):
+        row = []
+        for b in range(width):
+            j = i + diagonal + b - band
+            if not 0 <= j < len(d):
+                row.append((0, 0, -1))
+                continue
+            s, m, a = before[b]
+            cell = (s + 2, m + 1, j if a < 0 else a) if x == d[j] else (s - 1, m, a)
+            for s, m, a in ([before[b + 1]] if b + 1 < width else []) + ([row[-1]] if b else []):
+                if s - 1 > cell[0]:
+                    cell = (s - 1, m, a)
+            row.append(cell if cell[0] > 0 else (0, 0, -1))
+            if cell[0] > best[0]:
+                best = (*cell, j + 1)
+        before = row
+    return best[1:]
+
+
+def test_alignment_by_rows_equals_alignment_by_cells():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        t, d = (rng.integers(0, 4, rng.integers(1, n)).astype(np.uint64) for n in (15, 40))
+        diagonal, band = int(rng.integers(-10, 40)), int(rng.integers(0, 12))
+        assert licenses.align(t, d, diagonal, band) == plain_align(t, d, diagonal, band)
