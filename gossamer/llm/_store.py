@@ -19,10 +19,12 @@ _own: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of this process where the setting is unset (tests, local runs)."""
+    """The cluster's shared folder; a temporary one of this process where the setting is unset in a local session."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="gossamer-shared-"))
     return _own[0]
