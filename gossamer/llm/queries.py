@@ -87,6 +87,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def quality_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: every document scored once, in its fold, and predicted as its score says."""
+    scored = op2_quality(spark, sf_dir)
+    return scored.select("doc_id", "held_out", F.col("score").between(0, 1).alias("in_range"), ((F.col("score") >= 0.3).cast("int") == F.col("predicted")).alias("as_scored"))
+
+
+def tiff_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op8: the payloads that are read back."""
+    return op8_tiff(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9: counts and base scores, and that the model's probabilities are at most 1."""
+    return op9_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"), (F.col("score") <= 0).alias("at_most_one"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_quality": op2_quality,
@@ -99,10 +115,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": op9_lm,
     "op10_decontaminate": op10_decontaminate,
     "pipeline": pipeline,
+    "quality_folds": quality_folds,
+    "tiff_payloads": tiff_payloads,
+    "lm_base_scores": lm_base_scores,
 }
 
 ORACLE: dict[str, str] = {}
 
+#: crc32 of a doc_id's text as c, by the table of the polynomial 0xEDB88320.
+CRC = """crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
+crc AS (
+  SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT)),
+    lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS c FROM (SELECT DISTINCT doc_id FROM documents), crc_table)"""
+
+ORACLE["quality_folds"] = f"WITH {CRC} SELECT d.doc_id, coalesce(c % 5 = 0, false) AS held_out, true AS in_range, true AS as_scored FROM documents d LEFT JOIN crc ON crc.doc_id = d.doc_id"
+
+ORACLE["tiff_payloads"] = r"""
+SELECT doc_id, n AS n_bytes, n + z AS payload_bytes, sha256(encode(coalesce(text, '')) || unhex(repeat('00', z::INT))) AS payload_sha256
+FROM (SELECT *, CASE WHEN n = 0 THEN 64 ELSE (64 - n % 64) % 64 END AS z FROM (SELECT doc_id, text, strlen(coalesce(text, ''))::BIGINT AS n FROM documents))
+"""
+
+ORACLE["lm_base_scores"] = rf"""
+WITH {CRC},
+w AS (
+  SELECT row_number() OVER () AS r, d.doc_id, coalesce(c % 7 = 2, false) AS held_out,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), ' ') AS w
+  FROM documents d LEFT JOIN crc ON crc.doc_id = d.doc_id),
+t AS (SELECT r, held_out, unnest(w) AS x FROM w),
+counts AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x),
+n AS (SELECT coalesce(sum(c), 0)::BIGINT AS total, count(*) AS v FROM counts),
+sums AS (
+  SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (total + v + 1)::DOUBLE)) AS base
+  FROM t LEFT JOIN counts USING (x), n GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, total AS train_tokens, round(base, 4) AS base_score, true AS at_most_one FROM sums JOIN w USING (r), n
+"""
+
 #: Lines of a document, their keys, and which of them go.
 ORACLE["op3_line_dedup"] = r"""
 WITH lines AS (
