@@ -132,7 +132,7 @@ def delta(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     props = written(props.select(F.col("s").alias("p"), "end").distinct(), "properties")
     ends = lambda q: q.join(props, "p").select("p", "end", F.when(F.col("end") == "s", F.col("o")).otherwise(F.col("s")).alias("by"), F.when(F.col("end") == "s", F.col("s")).otherwise(F.col("o")).alias("node")).where(F.col("node").startswith("_:"))
     table = None
-    while True:
+    while not props.isEmpty():
         met = ends(own_a).join(ends(own_b).withColumnRenamed("node", "best"), ["p", "end", "by"])
         # A node that meets several is matched with the first; one matched already is not matched anew.
         met = written(met.groupBy("node").agg(F.min("best").alias("best")).where("node != best"), "matched")

@@ -108,8 +108,9 @@ def conclude(bindings: DataFrame, rule: Rule, graph: str = "") -> DataFrame:
 Builtins = Callable[[DataFrame, Rule], dict[str, GraphBuiltin]]
 
 
-def derive(rule: Rule, quads: DataFrame, delta: DataFrame | None = None, builtins: Builtins | None = None, graph: str = "") -> DataFrame:
-    """What a rule concludes from quads; with delta only what needs a row of it."""
+def derive(rule: Rule, quads: DataFrame, delta: DataFrame | None = None, builtins: Builtins | None = None, graph: str = "", made: list | None = None) -> DataFrame:
+    """What a rule concludes from quads; with delta only what needs a row of it. made: statements of rules, which all rows
+    of delta are instances of, so that patterns that none of them may match need not be tried."""
     spark = quads.sparkSession
     late = builtins(quads, rule) if builtins else {}
     stored = [i for i, p in enumerate(rule.body) if not is_builtin(p) and not (isinstance(p[1], str) and p[1] in late)]
@@ -117,9 +118,11 @@ def derive(rule: Rule, quads: DataFrame, delta: DataFrame | None = None, builtin
         return conclude(solve(spark, rule.body, lambda i: quads, graph, graph_builtins=late), rule, graph)
     out = None
     for k in stored:
+        if made is not None and not any(may_match(h, rule.body[k]) for h in made):
+            continue
         part = conclude(solve(spark, rule.body, lambda i, k=k: delta if i == k else quads, graph, graph_builtins=late), rule, graph)
         out = part if out is None else out.unionByName(part)
-    return out
+    return empty(spark) if out is None else out
 
 
 def apply_rules(quads: DataFrame, rules: Iterable[Rule], builtins: Builtins | None = None) -> DataFrame:
@@ -138,10 +141,24 @@ def filter_rules(quads: DataFrame, rules: Iterable[Rule], builtins: Builtins | N
     return out.distinct() if out is not None else empty(quads.sparkSession)
 
 
+def may_match(head: tuple, pattern: tuple) -> bool:
+    """Whether an instance of a head's statement may match a pattern."""
+    may = lambda x, y: not isinstance(x, str) or not isinstance(y, str) or is_var(x) or is_var(y) or x.startswith("_:") or x == y or x.startswith("F") and y.startswith("F")
+    return all(may(x, y) for x, y in zip(head, pattern))
+
+
 def feeds(a: Rule, b: Rule) -> bool:
     """Whether a statement of a's head may match a pattern of b's body."""
-    may = lambda x, y: not isinstance(x, str) or not isinstance(y, str) or is_var(x) or is_var(y) or x.startswith("_:") or x == y or x.startswith("F") and y.startswith("F")
-    return any(all(may(x, y) for x, y in zip(h, p)) for h in a.head for p in b.body if not is_builtin(p)) or any(p[1] in (f"<{LOG}conclusion>", f"<{LOG}supports>") for p in b.body)
+    return any(may_match(h, p) for h in a.head for p in b.body if not is_builtin(p)) or any(p[1] in (f"<{LOG}conclusion>", f"<{LOG}supports>") for p in b.body)
+
+
+def fixed_predicates(heads: list) -> list[str] | None:
+    """The predicates that instances of the heads have; None where that is open, as where they quote a graph, whose
+    statements are rows of their own."""
+    if any(not isinstance(t, str) or t.startswith("F") for h in heads for t in h):
+        return None
+    found = {p for _, p, _ in heads}
+    return sorted(found) if all(p.startswith("<") for p in found) else None
 
 
 def strata(rules: list[Rule]) -> list[list[Rule]]:
@@ -191,14 +208,17 @@ def think(quads: DataFrame, rules: list[Rule], builtins: Builtins | None = None,
     def known() -> DataFrame:
         return spark.read.schema(QUADS).parquet(*parts)
 
-    def keep(found: DataFrame) -> DataFrame | None:
-        """The rows that are not known yet, written; None if there are none."""
+    def keep(found: DataFrame, heads: list) -> DataFrame | None:
+        """The rows that are not known yet, written; None if there are none. They are instances of the heads, so only
+        known rows with predicates of those can be the same."""
         nonlocal rounds
         rounds += 1
         if rounds > most_rounds:
             raise RuntimeError(f"no fixpoint in {most_rounds} rounds")
         part = f"{path}/{rounds}"
-        found.join(known(), ["g", "s", "p", "o"], "left_anti").write.parquet(part)
+        only = fixed_predicates(heads)
+        same = known() if only is None else known().where(F.col("p").isin(only))
+        found.join(same, ["g", "s", "p", "o"], "left_anti").write.parquet(part)
         new = spark.read.schema(QUADS).parquet(part)
         if new.isEmpty():
             return None
@@ -210,18 +230,19 @@ def think(quads: DataFrame, rules: list[Rule], builtins: Builtins | None = None,
             release(spark)
         return new
 
-    def union(rs: list[Rule], delta: DataFrame | None) -> DataFrame:
+    def union(rs: list[Rule], delta: DataFrame | None, heads: list) -> DataFrame:
         out = None
         for r in rs:
-            one = derive(r, known(), delta, builtins)
+            one = derive(r, known(), delta, builtins, made=heads)
             out = one if out is None else out.unionByName(one)
         return out.distinct()
 
     for part in strata(list(rules)):
-        delta = keep(union(part, None))
+        heads = [h for r in part for h in r.head]
+        delta = keep(union(part, None, heads), heads)
         cyclic = len(part) > 1 or feeds(part[0], part[0])
         while delta is not None and cyclic:
-            delta = keep(union(part, delta))
+            delta = keep(union(part, delta, heads), heads)
     return known()
 
 
