@@ -11,13 +11,14 @@ bounds what a task holds, and a document is never split. Files go to the shared
 task writes again.
 
 Defined cases: a null or empty text has the end id alone; rows of one doc_id are kept, ordered by text; rows with a null
-doc_id come first; an empty table gives no files. Special-token strings in a text are ordinary text. Only doc_id and
-text are read.
+doc_id come first; an empty table gives no files; a very long text is a shard of its own. Special-token strings in a text are
+ordinary text. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import struct
 import zlib
@@ -50,8 +51,9 @@ _LETTER = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
 class Encoder:
     """Ids of texts by a `tokenizers` file. Byte-level BPE begins a word anew at a single space or line end
     between non-blank characters and where a letter meets a mark, so a text is cut there and each distinct piece is
-    encoded once. Pieces are
-    known by a 64-bit hash of their bytes; `MOST` bounds how many a process remembers."""
+    encoded once; other tokenizers are refused. Pieces are
+    known by a 64-bit hash of their bytes and length; `MOST` bounds how many a process remembers, so that some 10**13
+    pieces are looked up before two are likely to be taken for one another."""
 
     MOST = 2_000_000
 
@@ -60,6 +62,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        split = parts["pre_tokenizer"] or {}
+        if parts["model"]["type"] != "BPE" or parts["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+            raise ValueError(f"{path} is no byte-level BPE whose words can be encoded one by one")
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.uint16 if size <= 1 << 16 else np.uint32
