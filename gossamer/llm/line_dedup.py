@@ -28,6 +28,8 @@ from gossamer.llm import _store, _text
 BLANK = b" \t\n\v\f\r"
 #: Rows that a stream holds at once.
 HELD = 20_000
+#: Tasks that the rows of one key are dealt to where its run was too long or met an edge.
+SALTS = 64
 
 
 def line_keys(text: bytes, least: int) -> dict[bytes, list[int]]:
@@ -125,7 +127,10 @@ def keep_bitmaps(docs: DataFrame, least: int = 20, least_docs: int = 3) -> DataF
     found = _store.written(streamed, "lines")
     opened = found.where("open")
     edges = opened.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("doc_id").alias("largest")).where(F.col("docs") >= least_docs)
-    settled = opened.join(edges, ["h1", "h2"]).where("doc_id != largest").select("doc_id", "version", "positions")
+    # Few keys are left open, but one of them may have most rows: its rows are dealt to `SALTS` tasks.
+    salts = edges.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = opened.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    settled = dealt.join(salts, ["h1", "h2", "salt"]).where("doc_id != largest").select("doc_id", "version", "positions")
     drops = found.where("NOT open").select("doc_id", "version", "positions").unionByName(settled)
     return drops.repartition(n, "doc_id", "version").sortWithinPartitions("doc_id", "version").mapInArrow(_bitmaps, "doc_id long, version long, n_dropped long, dropped binary")
 
