@@ -2,6 +2,13 @@
 
 STAGES are (name, function of (spark, docs, sf_dir)); each works on all rows that the one before kept. run() writes
 each stage's result to the shared folder and reads it back.
+
+Defined cases, stage by stage: a null or empty text is scored like any other, is a duplicate of nothing, contains no
+benchmark item, has no words for the mixture and is the end id alone; a null doc_id is never a duplicate, and its rows
+are mixed and written like others (first, in the files); repeated rows are judged each, and those of one doc_id link
+with each other; ties in the mixture's order are taken together, equal documents keep the smallest doc_id; very long
+texts are taken whole; an empty table stays empty; columns beside those of documents pass through all stages but the
+last, whatever they are called.
 """
 
 from __future__ import annotations
@@ -55,7 +62,7 @@ STAGES = [
     ("token ids", token_stage),
 ]
 
-#: The classifier, the tokenizer and the components are not for SQL; tests hold each stage against a plain version.
+#: The classifier, the tokenizer and the components are not for SQL; a test holds each stage against a plain version.
 ORACLE_SQL = None
 
 
