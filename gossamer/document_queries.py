@@ -211,6 +211,22 @@ def output_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(g.output_strings(),)], "text string")
 
 
+@document_query("definitive_document", f"{NATIONS}")
+def definitive_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the graph itself says of :in is not asked: another document is definitive for it."""
+    s = session(spark, sf_dir)
+    g = s.parse(HEAD + ":in log:definitiveDocument <t:nations> . :n1 :in :nowhere . :n1 :name 'kept' .", "t:routed")
+    return told(g.routed(), "in")
+
+
+@document_query("unique_binding", "SELECT 'n' || n_nationkey AS what, n_name AS value FROM nation WHERE n_nationkey <> 1")
+def unique_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that stand for one nation, of nations that have one name."""
+    s = session(spark, sf_dir)
+    s.document("t:rules", HEAD + "{ ?n :name ?t . ?n log:enforceUniqueBinding ?t } => { ?n :is ?t } . :n1 :name 'another' .", "n3")
+    return told(s.load("t:rules", "t:nations").filter())
+
+
 @document_query("filter_lang", "SELECT doc_id::VARCHAR AS d, lang FROM documents WHERE lang = 'en'")
 def filter_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' languages as tags of literals."""

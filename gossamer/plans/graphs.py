@@ -189,6 +189,22 @@ class Graph:
     def size(self) -> int:
         return self.statements.distinct().count()
 
+    def namespaces(self) -> DataFrame:
+        """(namespace, n): how often addresses of each namespace, up to the last # or /, stand in a statement."""
+        uri = F.explode(F.array(*[T.c_uri(F.col(c)) for c in "spo"])).alias("uri")
+        space = F.regexp_extract("uri", "^(.*[#/])", 1).alias("namespace")
+        return self.statements.select(uri).where("uri IS NOT NULL").select(space).where("namespace != ''").groupBy("namespace").agg(F.count("*").alias("n"))
+
+    def routed(self) -> Graph:
+        """The graph with each predicate that has a log:definitiveDocument answered from that document alone."""
+        named = self.matching(p=f"<{LOG}definitiveDocument>").select("s", "o").distinct().collect()  # predicates, not data
+        quads = self.quads
+        for r in named:
+            at = self.session.load(T.parts(r.o)[0] if r.o.startswith('"') else r.o[1:-1]).quads
+            own = (F.col("g") == "") & (F.col("p") == r.s)
+            quads = quads.where(~own).unionByName(at.where(own))
+        return self.like(quads)
+
     def output_strings(self) -> str:
         """The log:outputString texts in order of their keys."""
         rows = self.matching(p=f"<{LOG}outputString>").select(T.c_text(F.col("s")).alias("k"), T.c_lex(F.col("o")).alias("t")).orderBy("k", "t").collect()
@@ -411,6 +427,15 @@ class Graph:
             joined = df.join(table, bgp.column(subj) == F.col("__f"))
             return bgp.unify(joined, F.col("__v"), obj).drop("__f", "__v").distinct()
 
+        def unique_binding(df, subj, obj):
+            """Rows whose object comes with one subject only, and the other way round."""
+            a, b = F.col("__a"), F.col("__b")
+            pairs = df.select(bgp.column(subj).alias("__a"), bgp.column(obj).alias("__b")).distinct()
+            for c in (a, b):
+                once = pairs.groupBy(c).agg(F.count("*").alias("__n")).where("__n = 1").select(c)
+                df = df.join(once, (bgp.column(subj) if c is a else bgp.column(obj)) == c, "left_semi")
+            return df
+
         def parsed_query(t: str) -> str | None:
             try:
                 text = s.fetch(urljoin(base(), t[1:-1]))
@@ -476,6 +501,7 @@ class Graph:
             log("supports"): supports,
             log("n3String"): mapped(n3_string),
             log("vars"): mapped(variables_of),
+            log("enforceUniqueBinding"): unique_binding,
             log("universalVariableName"): universal,
             log("existentialVariableName"): existential,
             f"<{T.AIR}owlEntails>": entails,

@@ -89,7 +89,7 @@ from gossamer.plans import rules as R  # noqa: E402
 from gossamer.plans.graphs import Graph, Session  # noqa: E402
 from gossamer.plans.policy import run_policy  # noqa: E402
 from gossamer.sources import n3, ntriples  # noqa: E402
-from gossamer.tables import new_path  # noqa: E402
+from gossamer.tables import new_path, written  # noqa: E402
 
 N3_PREFIXES = "".join(f"@prefix {p}: <db/{t}#> . " for p, t in {"r": "region", "n": "nation", "c": "customer", "s": "supplier", "p": "part", "o": "orders", "l": "lineitem"}.items()) + f"@prefix : <urn:x#> . @prefix log: <{T.LOG}> . @prefix math: <{T.SWAP}math#> . @prefix string: <{T.SWAP}string#> . @prefix list: <{T.SWAP}list#> . @prefix air: <{T.AIR}> . @prefix rdfs: <{T.RDFS}> . @prefix owl: <{T.OWL}> . @prefix diff: <{T.DIFF}> .\n"
 
@@ -358,6 +358,38 @@ def proof_check(spark, sf_dir):
     return proof.check(quads, claims.unionByName(false), rules, closed).select("s", "p", "o").distinct()
 
 
+TWO_STEPS = IN_REGION + " {?c :inRegion ?r . ?r r:r_name ?t} => {?c :regionName ?t} ."
+
+
+@query("proof_graph", f"SELECT {CUSTOMER} AS s, '\"' || r_name || '\"' AS o, {CUSTOMER} || ' <urn:x#inRegion> ' || {subject('region', 'r_regionkey')} AS first, 0 AS wrong FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def proof_graph(spark, sf_dir):
+    """The proof of every region's name, written in the reason vocabulary, read back and checked."""
+    rules = rules_in(TWO_STEPS)
+    quads = quads_of(spark, sf_dir, "customer", "nation", "region")
+    closed = R.think(quads, rules)
+    told = written(proof.graph(written(proof.reasons(closed, rules), "reasons")), "proof")
+    stated = written(proof.claims(told), "claims")
+    wrong = proof.check(quads, stated, rules, closed).select("s", "p", "o", F.lit(1).alias("wrong")).distinct()
+    named = stated.where(F.col("p") == x("regionName")).join(wrong, ["s", "p", "o"], "left")
+    return named.select("s", "o", F.col("evidence")[0].alias("first"), F.coalesce("wrong", F.lit(0)).alias("wrong"))
+
+
+@query("schema_discovery", "SELECT DISTINCT c_name AS cname, r_name AS rname FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9000")
+def schema_discovery(spark, sf_dir):
+    """The flagship query over tables whose keys and links are found in the data."""
+    from gossamer.sources import virtual
+
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "customer")}
+    g = VirtualGraph(spark, schema=virtual.discover(frames), read=frames.get, connected=True)
+    return sparql.run(g, PREFIXES + "SELECT ?cname ?rname WHERE { ?c c:c_name ?cname ; c:c_nationkey ?n ; c:c_acctbal ?bal . ?n n:n_regionkey ?r . ?r r:r_name ?rname . FILTER(?bal > 9000) }")
+
+
+@query("namespaces", "SELECT 'db/nation#' AS namespace, 7 * count(*) AS n FROM nation")
+def namespaces(spark, sf_dir):
+    """How often the nations' own namespace stands in their statements, as subject, predicate or object."""
+    return Graph(Session(spark), quads_of(spark, sf_dir, "nation")).namespaces().where("namespace = 'db/nation#'")
+
+
 @query("tms_believed", "WITH RECURSIVE t AS (SELECT min(n_nationkey) AS n FROM nation UNION SELECT n_nationkey FROM nation JOIN t ON n_nationkey = t.n + 1 WHERE n_nationkey <> 17) SELECT 'nation ' || n AS node FROM t UNION ALL SELECT 'unless ' || n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT n FROM t)")
 def tms_believed(spark, sf_dir):
     """Each nation is believed because the one before is, but 17; `unless n` holds when nation n is not believed."""

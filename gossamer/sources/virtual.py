@@ -8,6 +8,7 @@ subjects share become joins on the key columns. Only a variable predicate makes
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -127,15 +128,33 @@ def union(a: Solutions, b: Solutions) -> Solutions:
     return Solutions(a.df.select(*cast(a, b)).union(b.df.select(*cast(b, a))), sorts, maybe)
 
 
+class Disconnected(ValueError):
+    """Patterns that share no variable, where a product of their rows is not wanted."""
+
+
+def discover(frames: dict[str, DataFrame]) -> dict[str, Table]:
+    """Keys and links of tables. A key is the first column whose values are all there and all different; a column links to
+    the table whose key has its type and, after the first underscore, its name. One pass over each table."""
+    found: dict[str, Table] = {}
+    for name, df in frames.items():
+        whole = [f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "string")]
+        counts = df.agg(F.count("*").alias("rows"), *[F.count_distinct(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(whole[:1])]).first()
+        found[name] = Table(name, (whole[0],) if whole and counts["rows"] == counts["n0"] else ())
+    short = lambda c: c.partition("_")[2] or c
+    keys = {(short(t.key[0]), frames[n].schema[t.key[0]].dataType): n for n, t in found.items() if t.key}
+    return {n: Table(n, t.key, {f.name: keys[short(f.name), f.dataType] for f in frames[n].schema.fields if keys.get((short(f.name), f.dataType), n) != n}) for n, t in found.items()}
+
+
 class VirtualGraph:
-    """The graph of some Parquet tables in a folder."""
+    """The graph of some tables: Parquet in a folder, or what `read` gives for a table's name, such as a table read
+    through JDBC. connected: patterns that share no variable are refused instead of multiplied."""
 
-    def __init__(self, spark: SparkSession, folder: str, schema: dict[str, Table] | None = None):
-        self.spark, self.folder, self.schema = spark, folder, schema or SCHEMA
+    def __init__(self, spark: SparkSession, folder: str = "", schema: dict[str, Table] | None = None, read: Callable[[str], DataFrame] | None = None, connected: bool = False):
+        self.spark, self.folder, self.schema, self.read, self.connected = spark, folder, schema or SCHEMA, read, connected
 
     @functools.cache  # noqa: B019
     def frame(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        return self.read(table) if self.read else self.spark.read.parquet(f"{self.folder}/{table}.parquet")
 
     def sort_of(self, table: Table, c: str) -> tuple[str, str | None]:
         if c in table.links:
@@ -165,7 +184,7 @@ class VirtualGraph:
     def restricted(self, sources: list[str], named: list[str]) -> VirtualGraph:
         """The graph of the tables that FROM and FROM NAMED name."""
         wanted = {u.removeprefix("db/") for u in [*sources, *named]}
-        return VirtualGraph(self.spark, self.folder, {n: t for n, t in self.schema.items() if n in wanted})
+        return VirtualGraph(self.spark, self.folder, {n: t for n, t in self.schema.items() if n in wanted}, self.read, self.connected)
 
     def star(self, subject: str, patterns: list, needed: set[str], graph: str | None = None) -> Solutions | None:
         """Patterns of one subject with constant predicates; None where they are of no one table (of the graph)."""
@@ -247,7 +266,10 @@ class VirtualGraph:
         # Connected parts first, as they come.
         out = parts.pop(0)
         while parts:
-            k = next((i for i, x in enumerate(parts) if any(v in out for v in x.sorts)), 0)
+            k = next((i for i, x in enumerate(parts) if any(v in out for v in x.sorts)), None)
+            if k is None and self.connected:
+                raise Disconnected(f"nothing joins {', '.join('?' + v for v in out.sorts)} with {', '.join('?' + v for v in parts[0].sorts)}")
+            k = k or 0
             out = natural_join(out, parts.pop(k))
         return out
 
