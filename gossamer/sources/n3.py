@@ -52,7 +52,7 @@ _TOKEN = re.compile(
     r"""(?P<skip>(?:[ \t\r\n﻿]+|\#[^\n]*)+)
   | (?P<long>\"{3}(?:[^"\\]|\\.|\"(?!\"\"))*\"{3,5}|'{3}(?:[^'\\]|\\.|'(?!''))*'{3,5})
   | (?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
-  | (?P<iri><[^<>"{}|\\^`\x00-\x20]*>)
+  | (?P<iri><(?:[^<>"{}|\\^`\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)
   | (?P<op><=|=>|\^\^|:=|\{\$|\$\}|\(\$|\$\)|[\[\](){}.;,!^=])
   | (?P<number>[-+]?(?:[0-9]+\.[0-9]+(?:[eE][-+]?[0-9]+)?|\.[0-9]+(?:[eE][-+]?[0-9]+)?|[0-9]+[eE][-+]?[0-9]+|[0-9]+\.[eE][-+]?[0-9]+|[0-9]+))
   | (?P<var>\?[\w-]+)

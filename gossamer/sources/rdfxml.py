@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from urllib.parse import urljoin
 from xml.sax.saxutils import escape, quoteattr
@@ -104,9 +105,22 @@ def parse(text: str, base: str = "", tag: str = "") -> Document:
     return Document(base, {"": Formula(list(dict.fromkeys(r.out)))}, {})
 
 
-def write(statements: list[tuple[str, str, str]], prefixes: dict[str, str] | None = None) -> str:
-    """RDF/XML text. Literals as subjects and quoted graphs cannot be written."""
+def write(statements: list[tuple[str, str, str]], prefixes: dict[str, str] | None = None, flags: str = "", base: str = "") -> str:
+    """RDF/XML text. Literals as subjects and quoted graphs cannot be written. flags: b blank nodes as local addresses; c
+    no class as an element's name; d no default namespace; l lists as first and rest; r no relative addresses; z relative
+    addresses for namespaces."""
     spaces: dict[str, str] = {RDF: "rdf"} | {v: k for k, v in (prefixes or {}).items() if k}
+    if "l" in flags:
+        statements = _unlisted(statements)
+    if "d" not in flags and not any(o.endswith(f"^^<{RDF}XMLLiteral>") for _, _, o in statements):
+        # The predicates' commonest namespace needs no prefix. XML inside would come to be in it.
+        found = [p[1 : max(p.rfind("#"), p.rfind("/")) + 1] for _, p, _ in statements]
+        most = max(sorted(set(found) - {RDF, ""}), key=found.count, default=None)
+        if most:
+            spaces[most] = ""
+
+    def space(ns: str) -> str:
+        return ns[len(base) :] if "z" in flags and base and ns.startswith(base) else ns
 
     def qname(t: str) -> str:
         uri = t[1:-1]
@@ -114,11 +128,17 @@ def write(statements: list[tuple[str, str, str]], prefixes: dict[str, str] | Non
         ns = uri[:cut]
         if not uri[cut:]:
             raise ValueError(f"{t} cannot be an element")
-        return f"{spaces.setdefault(ns, f'ns{len(spaces)}')}:{uri[cut:]}"
+        prefix = spaces.setdefault(ns, f"ns{len(spaces)}")
+        return f"{prefix}:{uri[cut:]}" if prefix else uri[cut:]
 
     def ref(t: str, about: bool) -> str:
         if t.startswith("<"):
-            return f"rdf:{'about' if about else 'resource'}={quoteattr(t[1:-1])}"
+            uri = t[1:-1]
+            if base and "r" not in flags and uri.startswith(base + "#"):
+                uri = uri[len(base) :]
+            return f"rdf:{'about' if about else 'resource'}={quoteattr(uri)}"
+        if "b" in flags:
+            return f"rdf:{'about' if about else 'resource'}={quoteattr('#_' + ''.join(c if c.isalnum() else '_' for c in t[2:]))}"
         return f"rdf:nodeID={quoteattr('n' + ''.join(c if c.isalnum() else '_' for c in t[2:]))}"
 
     def item(o: str) -> str:
@@ -133,8 +153,12 @@ def write(statements: list[tuple[str, str, str]], prefixes: dict[str, str] | Non
         by.setdefault(s, []).append((p, o))
     body = ""
     for s, pos in by.items():
-        body += f"  <rdf:Description {ref(s, True)}>\n"
+        kinds = [o for p, o in pos if p == T.TYPE and o.startswith("<") and re.fullmatch(r".*[#/][A-Za-z_][\w.-]*", o[1:-1])]
+        element = "rdf:Description" if "c" in flags or not kinds else qname(kinds[0])
+        body += f"  <{element} {ref(s, True)}>\n"
         for p, o in pos:
+            if element != "rdf:Description" and (p, o) == (T.TYPE, kinds[0]):
+                continue
             q = qname(p)
             if o.startswith('"'):
                 lex, dt, lang = T.parts(o)
@@ -149,6 +173,21 @@ def write(statements: list[tuple[str, str, str]], prefixes: dict[str, str] | Non
                 body += f"    <{q} {ref(o, False)}/>\n"
             else:
                 raise ValueError(f"{o} cannot be written in RDF/XML")
-        body += "  </rdf:Description>\n"
-    head = "".join(f" xmlns:{p}={quoteattr(ns)}" for ns, p in spaces.items())
+        body += f"  </{element}>\n"
+    head = "".join(f" xmlns{':' if p else ''}{p}={quoteattr(space(ns))}" for ns, p in spaces.items())
     return f'<?xml version="1.0" encoding="utf-8"?>\n<rdf:RDF{head}>\n{body}</rdf:RDF>\n'
+
+
+def _unlisted(statements: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The statements with lists as nodes that have a first and a rest."""
+    out, n = [], 0
+    for s, p, o in statements:
+        if o.startswith("L"):
+            items, rest = T.members(o), f"<{RDF}nil>"
+            for i in reversed(items):
+                n += 1
+                out += [(f"_:list{n}", f"<{RDF}first>", i), (f"_:list{n}", f"<{RDF}rest>", rest)]
+                rest = f"_:list{n}"
+            o = rest
+        out.append((s, p, o))
+    return out

@@ -269,6 +269,13 @@ def test_command_line(spark, tmp_path):
     assert ":b :q :a" in command(spark, [str(tmp_path / "a.n3"), "--think", "--data"])
     with pytest.raises(SystemExit):
         command(spark, ["--nonsense"])
+    (tmp_path / "s.n3").write_text(HEAD + ":f :p :g . { ?x :p ?y } => { ?x :solved ?y } .")
+    assert ":f :solved :g" in command(spark, [f"--solve={tmp_path / 's.n3'}"])
+    why = command(spark, [str(tmp_path / "a.n3"), "--think", "--why", "--n3=p"])
+    assert "swap/reason#Inference>" in why and "<http://x#b> <http://x#q> <http://x#a>" in why
+    assert command(spark, [str(tmp_path / "a.n3"), "--think", "--no"]) == "" and "--think" in command(spark, ["--help"])
+    assert command(spark, ["--ntriples", "--pipe", str(tmp_path / "s.n3"), str(tmp_path / "a.n3"), "--with", "one"]).count("<http://x#p>") >= 2
+    assert "<p rdf:resource=" in command(spark, [str(tmp_path / "a.n3"), "--data", "--rdf=c"])
 
 
 def test_isomorphism_of_long_chains(session):

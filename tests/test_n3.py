@@ -87,3 +87,42 @@ def test_result_xml(spark):
     asked = results.remote(spark, "http://service/", "ASK {}", lambda url: results.to_xml(spark.createDataFrame([(True,)], "result boolean")))
     assert asked.first().result is True
     assert {tuple(r) for r in results.remote(spark, "http://s/", "SELECT", lambda url: results.to_xml(df)).collect()} == {tuple(r) for r in df.collect()}
+
+
+FLAGGED = """@prefix : <http://e.org/v#> . @prefix x: <urn:x#> .
+:a :p [ :q 1 ; :r [ :s "é" ] ] , (1 2 "c") ; a :T . _:k :p _:l . _:l :p _:k . x:a x:b _:m . x:c x:b _:m . :z = :y .
+{ :a :b [ :c :d ] } => { :e :f :g } . <http://e.org/é> :n 2.5 .
+"""
+
+
+@pytest.mark.parametrize("flags", ["", "a", "d", "e", "i", "n", "p", "q", "r", "s", "t", "u", "v", "/", "spart", "pua"])
+def test_writer_flags_keep_the_statements(flags):
+    from gossamer.sources.n3_writer import Writer
+
+    d = n3.parse(FLAGGED, "http://e.org/v", "t_")
+    text = Writer(d.formulas, d.prefixes, flags, "http://e.org/v").document(d.root)
+    again = n3.parse(text, "http://e.org/v", "u_")
+    ground = lambda doc: sorted(map(str, (st for st in doc.root.statements if not any(isinstance(t, str) and t[0] in "_F" for t in st))))
+    assert ground(again) == ground(d) and [len(f.statements) for f in again.formulas.values()] == [13, 2, 1]
+    assert ("[" in text) != bool({"a", "s"} & set(flags)) and ("@prefix" in text) != ("p" in flags)
+    assert ('"é"' in text) != ("e" in flags) and ("2.5 " in text) != ("n" in flags) and ("=>" in text) != ("t" in flags)
+
+
+def test_lists_without_their_syntax():
+    from gossamer.sources.n3_writer import Writer
+
+    d = n3.parse("@prefix : <urn:x#> . :a :b (1 (2) ()) .", "urn:d")
+    text = Writer(d.formulas, d.prefixes, "l").document(d.root)
+    assert "(" not in text and n3.collapsed(n3.parse(text, "urn:d").root.statements) == n3.collapsed(d.root.statements)
+
+
+@pytest.mark.parametrize("flags", ["", "b", "c", "d", "r", "z", "bcd"])
+def test_rdf_flags_keep_the_statements(flags):
+    from gossamer.sources import rdfxml
+
+    d = n3.parse("@prefix : <http://e.org/v#> . @prefix x: <urn:x#> . :a :p _:k , (:b :c) ; a :T , x:U . _:k :q 'v'@en .", "http://e.org/v", "t_")
+    text = rdfxml.write([tuple(st) for st in d.root.statements], d.prefixes, flags, "http://e.org/v")
+    again = rdfxml.parse(text, "http://e.org/v", "u_").root.statements
+    ground = lambda sts: sorted(st for st in sts if not any(t[0] == "_" for t in st))
+    assert len(again) == len(d.root.statements) and (set(flags) & {"b", "z"} or ground(again) == ground(map(tuple, d.root.statements)))
+    assert ("<T " in text or ":T " in text) != ("c" in flags) and ("nodeID" in text) != ("b" in flags) and ('xmlns="' in text) != ("d" in flags)
