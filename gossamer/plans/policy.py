@@ -23,6 +23,8 @@ from gossamer.tables import written
 from gossamer.terms import AIR
 
 COMPLIANCE = (f"<{AIR}compliant-with>", f"<{AIR}non-compliant-with>")
+#: Fixed value: the vocabulary that traces are written in.
+AIRJ = "http://dig.csail.mit.edu/2009/AIR/airjustification#"
 JUSTIFICATIONS = "s string, p string, o string, rule string, branch string, label string, hidden boolean, elided boolean, description string, bindings map<string,string>, antecedents array<string>"
 
 
@@ -130,15 +132,46 @@ class Policies:
     def existential(self, r: AirRule, v: str) -> bool:
         return any("_:" + v[1:] in f.existentials for f in self.session.formulas.values())
 
-
-def run_policy(graph: Graph, documents: list[n3.Document], filter_properties: tuple[str, ...] = COMPLIANCE, most_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(conclusions s, p, o with one of the filter properties; justifications of all assertions)."""
+    def towards(self, goals: list[tuple]) -> set[str]:
+        """The rules that may bear on statements that match a goal: those that assert one, those whose assertions a rule
+        that bears on it looks for, and those that start one. All of them, where a pattern looks into graphs or a rule
+        imports others."""
+        every = list(self.rules.values())
+        if any(p[1] in bgp_free(p) for r in every for p in r.body) or any(a.kind == "import" for r in every for a in (*r.then, *r.otherwise)):
+            return set(self.rules)
+        needed, kept, plain = list(goals), set(), set()
+        while True:
+            before = len(kept) + len(plain)
+            for r in every:
+                actions = [*r.then, *r.otherwise]
+                heads = [st for a in actions if a.kind == "assert" for st in self.session.formulas[a.target[1:]].statements]
+                bears = any(R.may_match(h, g) for h in R.as_variables(n3.Formula(heads)) for g in needed) or any(a.kind == "rule" and a.target in kept for a in actions)
+                if r.id not in kept and bears:
+                    kept.add(r.id)
+                    needed += r.body
+            for r in self.plain:
+                if r.id not in plain and any(R.may_match(h, g) for h in r.head for g in needed):
+                    plain.add(r.id)
+                    needed += r.body
+            if len(kept) + len(plain) == before:
+                return kept
+
+
+def bgp_free(p: tuple) -> tuple:
+    """Predicates of patterns that look into whole graphs: those that quote one."""
+    return (p[1],) if any(isinstance(t, str) and t.startswith("F") for t in (p[0], p[2])) else ()
+
+
+def run_policy(graph: Graph, documents: list[n3.Document], filter_properties: tuple[str, ...] = COMPLIANCE, most_rounds: int = 200, goals: list[tuple] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(conclusions s, p, o with one of the filter properties; justifications of all assertions). With goals, patterns of
+    statements, only rules that may bear on one of them run, and goals without variables end the run when all hold."""
     session, spark = graph.session, graph.spark
     policies = Policies(session, documents)
     for uri in [o[1:-1] for d in graph.documents for _, p, o in d.root.statements if p == air("please-import")]:
         policies.add(session.document(urljoin(policies.base, uri)))
     facts = written(graph.quads.where("g = ''").distinct(), "facts")
-    active: dict[str, DataFrame] = {r: bgp.one_row(spark) for r in policies.top}
+    relevant = None if goals is None else policies.towards(goals)
+    active: dict[str, DataFrame] = {r: bgp.one_row(spark) for r in policies.top if relevant is None or r in relevant}
     inherited: dict[str, set[str]] = {r: set() for r in policies.top}
     fired: dict[str, DataFrame] = {}
     done_then: dict[str, DataFrame] = {}
@@ -160,7 +193,8 @@ def run_policy(graph: Graph, documents: list[n3.Document], filter_properties: tu
                 part = R.conclude(rows, rule)
                 found = part if found is None else found.unionByName(part)
             elif a.kind == "rule":
-                moved |= activate(a.target, rows)
+                if relevant is None or a.target in relevant:
+                    moved |= activate(a.target, rows)
             elif a.kind == "import":
                 addresses = [a.target] if not T.is_var(a.target) else [x[0] for x in rows.select(F.col(f"`{name(a.target)}`")).distinct().collect()]
                 for x in addresses:
@@ -231,9 +265,17 @@ def run_policy(graph: Graph, documents: list[n3.Document], filter_properties: tu
         table[key] = rows if key not in table else (written(table[key].unionByName(rows), "done") if cols else (rows if not rows.isEmpty() else table[key]))
         return rows
 
+    def reached() -> bool:
+        if not goals or any(T.variables(t) for g in goals for t in g):
+            return False
+        rows = spark.createDataFrame([tuple(g) for g in goals], "s string, p string, o string")
+        return rows.join(facts, ["s", "p", "o"], "left_anti").isEmpty()
+
     for r in policies.top:
         policies.check(policies.rules[r], set())
     for _ in range(most_rounds):
+        if reached():
+            break
         moved = False
         found: list[DataFrame] = []
         if policies.plain:
@@ -276,6 +318,34 @@ def run_policy(graph: Graph, documents: list[n3.Document], filter_properties: tu
     return facts.where(F.col("p").isin(*wanted)).select("s", "p", "o").distinct(), trace.dropDuplicates([c for c in trace.columns if c != "bindings"])
 
 
+def trace_graph(justifications: DataFrame) -> DataFrame:
+    """The justifications as quads: for each a rule application, with the rule, its branch, the statement that it gives (a
+    graph of its own), the statements that it depends on or that the world was closed, and its description; hidden ones
+    are left out, and of elided ones only what they assert and describe stays."""
+    shown = justifications.where("NOT hidden")
+    me = F.md5(F.concat_ws("\u0001", "s", "p", "o", "rule", "branch", F.concat_ws("\u0002", "antecedents")))
+    rows = shown.select("*", me.alias("me")).dropDuplicates(["me"])
+    node, given = F.concat(F.lit("_:applied"), "me"), F.concat(F.lit("asserted"), "me")
+    term = lambda local: F.lit(f"<{AIRJ}{local}>")
+    quad = lambda s, p, o, g=F.lit(""): F.struct(g.alias("g"), s.alias("s"), p.alias("p"), o.alias("o"))
+    open_ = ~F.col("elided")
+    closed, otherwise = F.lit("_:closedWorld"), F.col("branch") != "then"
+    quads = F.array(
+        quad(node, F.lit(T.TYPE), term("RuleApplication")),
+        quad(node, F.when(open_, F.lit(air("rule"))), F.col("rule")),
+        quad(node, F.when(open_, term("branch")), F.when(otherwise, air("else")).otherwise(air("then"))),
+        quad(node, term("asserts"), F.concat(F.lit("F"), given)),
+        quad(F.col("s"), F.col("p"), F.col("o"), given),
+        quad(node, F.when(otherwise & open_, term("flowDependency")), closed),
+        quad(closed, F.when(otherwise & open_, F.lit(T.TYPE)), term("ClosingTheWorld")),
+        quad(node, F.lit(air("description")), T.c_lit(F.col("description"))),
+    )
+    flat = rows.select(F.inline(quads))
+    evidence = rows.where("NOT elided AND branch = 'then'").select("me", F.explode("antecedents").alias("used"))
+    flat = flat.unionByName(evidence.select(F.lit("").alias("g"), node.alias("s"), term("dataDependency").alias("p"), T.c_lit(F.col("used")).alias("o")))
+    return flat.where("p IS NOT NULL AND o IS NOT NULL").distinct()
+
+
 def nested_run(graph: Graph, parts: list[list[str]]) -> str:
     """air:justifies: (logs, rules[, properties]) run as a policy of their own; the formula of its conclusions."""
     s = graph.session

@@ -407,10 +407,10 @@ def tms_believed(spark, sf_dir):
 ORDERS = subject("orders", "o_orderkey")
 
 
-def policy(spark, sf_dir, tables: tuple[str, ...], text: str):
+def policy(spark, sf_dir, tables: tuple[str, ...], text: str, goals: list | None = None):
     s = Session(spark)
     d = s.document("urn:policy", N3_PREFIXES + text)
-    return run_policy(Graph(s, quads_of(spark, sf_dir, *tables), [d]), [d])
+    return run_policy(Graph(s, quads_of(spark, sf_dir, *tables), [d]), [d], goals=goals)
 
 
 IF_THEN_ELSE = """@forAll :O . :P a air:Policy ; air:rule :Each .
@@ -431,6 +431,30 @@ def policy_justifications(spark, sf_dir):
     return why.select("s", "branch", F.col("antecedents")[0].alias("evidence"))
 
 
+@query("policy_trace", f"SELECT {ORDERS} AS s, CASE o_orderstatus WHEN 'F' THEN 'then' ELSE 'else' END AS branch, CASE o_orderstatus WHEN 'F' THEN {ORDERS} || ' <db/orders#o_orderstatus> \"F\"' ELSE '_:closedWorld' END AS because FROM orders")
+def policy_trace(spark, sf_dir):
+    """The same justifications from the trace that is written as a graph."""
+    from gossamer.plans import policy as P
+
+    _, why = policy(spark, sf_dir, ("orders",), IF_THEN_ELSE)
+    trace = written(P.trace_graph(why), "trace")
+    value = lambda p, v: trace.where((F.col("g") == "") & F.col("p").isin(p)).select(F.col("s").alias("step"), F.col("o").alias(v))
+    airj = lambda n: f"<{P.AIRJ}{n}>"
+    gives = value([airj("asserts")], "graph").join(trace.where("g != ''").select(F.concat(F.lit("F"), "g").alias("graph"), "s"), "graph")
+    out = gives.join(value([airj("branch")], "branch"), "step").join(value([airj("dataDependency"), airj("flowDependency")], "because"), "step")
+    return out.select("s", F.substring_index(T.c_uri(F.col("branch")), "#", -1).alias("branch"), F.coalesce(T.c_lex(F.col("because")), F.col("because")).alias("because"))
+
+
+@query("policy_goal", f"SELECT {ORDERS} AS s FROM orders WHERE o_orderstatus = 'F'")
+def policy_goal(spark, sf_dir):
+    """With compliance as the goal the rule that only denies is not run."""
+    text = """@forAll :O . :P a air:Policy ; air:rule :Yes , :No .
+:Yes a air:Belief-rule ; air:if { :O o:o_orderstatus "F" } ; air:then [ air:assert { :O air:compliant-with :P } ] .
+:No a air:Belief-rule ; air:if { :O o:o_orderstatus "O" } ; air:then [ air:assert { :O air:non-compliant-with :P } ] ."""
+    out, _ = policy(spark, sf_dir, ("orders",), text, goals=[("?who", f"<{T.AIR}compliant-with>", "?what")])
+    return out.select("s")
+
+
 @query("policy_nested", f"SELECT {CUSTOMER} AS s, CASE WHEN c_mktsegment = 'BUILDING' THEN 'compliant-with' ELSE 'non-compliant-with' END AS verdict FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 def policy_nested(spark, sf_dir):
     out, _ = policy(spark, sf_dir, ("customer", "nation", "region"), """@forAll :C, :N, :R . :P a air:Policy ; air:rule :Region .
