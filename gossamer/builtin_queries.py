@@ -7,13 +7,14 @@ columns, which Spark and DuckDB read alike; the form says which side of the pred
 from __future__ import annotations
 
 import os
+import random
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gossamer import terms as T
-from gossamer.functions import library
+from gossamer.functions import library, rsa
 from gossamer.functions.registry import Arg, get
 
 FN = "http://www.w3.org/2006/xpath-functions#"
@@ -331,8 +332,22 @@ SYSTEM = Family("os_builtins", "nation", "n_nationkey", NATION, [
     ("relative", "os:baseRelative", "fwd text", lambda: (V(f"'{HERE}x/' || r"),), "'x/' || r"),
     ("relative_rev", "os:baseRelative", "rev text", lambda: (V("r"),), f"{q(HERE)} || r"),
     ("argument", "os:argv", "fwd text", lambda: (N("99"),), "NULL"),
+])
+
+#: A key pair for the queries, from seeded numbers: of no use but here.
+KEY = rsa.generated(256, random.Random(5).getrandbits)
+SIGNED = lambda: Arg(predicate("crypto:sign").fwd(L(V("md5(a)"), K(KEY.text()))))
+KEYS = Family("crypto_builtins", "nation", "n_nationkey", NATION, [
     ("md5", "crypto:md5", "fwd text", lambda: (V("a"),), "md5(a)"),
     ("sha", "crypto:sha", "fwd text", lambda: (V("a"),), "sha1(a)"),
+    ("bits", "crypto:keyLength", "fwd text", lambda: (K(KEY.text()),), "'256'"),
+    ("no_key", "crypto:keyLength", "fwd text", lambda: (V("a"),), "NULL"),
+    ("public", "crypto:publicKey", "fwd text", lambda: (K(KEY.text()),), q(KEY.public.text())),
+    ("verify", "crypto:verify", "test", lambda: (K(KEY.public.text()), L(V("md5(a)"), SIGNED())), "true"),
+    ("verify_other", "crypto:verify", "test", lambda: (K(KEY.public.text()), L(V("md5(r)"), SIGNED())), "false"),
+    ("verified", "crypto:verifyBoolean", "fwd text", lambda: (L(K(KEY.public.text()), V("md5(a)"), SIGNED()),), "'True'"),
+    ("no_signature", "crypto:verifyBoolean", "fwd text", lambda: (L(K(KEY.public.text()), V("md5(a)"), V("a")),), "NULL"),
+    ("public_does_not_sign", "crypto:sign", "fwd text", lambda: (L(V("md5(a)"), K(KEY.public.text())),), "NULL"),
 ])
 
 DOCUMENT = "'<p:r xmlns:p=\"urn:p\" k=\"' || b || '\"><x>' || a || '</x><y/></p:r>'"
@@ -359,6 +374,6 @@ DOM = Family("xml_builtins", "part", "p_partkey", {"a": "p_name", "b": "p_brand"
     ("no_document", "xml:nodeName", "fwd text", lambda: (V("a"),), "NULL"),
 ])
 
-FAMILIES = [STRING, XPATH, NUMBERS, STRING_NUMBERS, ANGLES, TIME, TIMES, COLLECTIONS, VALUES, SYSTEM, DOM]
+FAMILIES = [STRING, XPATH, NUMBERS, STRING_NUMBERS, ANGLES, TIME, TIMES, COLLECTIONS, VALUES, SYSTEM, KEYS, DOM]
 QUERIES = {f.name: f.run for f in FAMILIES}
 ORACLE = {f.name: f.sql for f in FAMILIES}

@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gossamer.functions import rsa
 from gossamer.functions.registry import Arg, Builtin, add
 from gossamer.terms import LOG, RDF, SWAP, XSD, c_boolean, c_datatype, c_iri, c_kind, c_lang, c_lex, c_list, c_lit, c_number, c_set, c_text, c_uri, c_xsd, is_literal, let, literal, xsd
 
@@ -575,9 +576,18 @@ add(
     argv=fwd(argument),
 )
 
-# crypto: hashes. RSA needs a library that is not here.
+# crypto:
 
-add(SWAP + "crypto#", md5=fwd(lambda s: c_lit(F.md5(s.lex))), sha=fwd(lambda s: c_lit(F.sha1(s.lex))))
+add(
+    SWAP + "crypto#",
+    md5=fwd(lambda s: c_lit(F.md5(s.lex))),
+    sha=fwd(lambda s: c_lit(F.sha1(s.lex))),
+    keyLength=fwd(lambda s: c_lit(rsa.key_length(s.lex)), lambda o: c_lit(rsa.new_key(o.lex))),
+    sign=fwd(lambda s: s.sized(2, c_lit(rsa.sign(s.item(0).lex, s.item(1).lex)))),
+    verify=test(lambda s, o: o.sized(2, rsa.verify(s.lex, o.item(0).lex, o.item(1).lex))),
+    verifyBoolean=fwd(lambda s: s.sized(3, c_lit(F.initcap(rsa.verify(s.item(0).lex, s.item(1).lex, s.item(2).lex).cast("string"))))),
+    publicKey=fwd(lambda s: c_lit(rsa.public_key(s.lex))),
+)
 
 # sparql:
 

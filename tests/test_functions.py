@@ -148,3 +148,18 @@ def test_tests(spark):
 def test_families_are_there(ns, n):
     get("<>")
     assert sum(k.startswith(f"<{SWAP}{ns}") for k in BUILTINS) >= n
+
+
+def test_rsa_keys_and_signatures(spark):
+    import random
+
+    from gossamer.functions import rsa
+
+    key = rsa.generated(256, random.Random(1).getrandbits)
+    assert key.n.bit_length() == 256 and rsa.Key.read(key.text()) == key and rsa.Key.read(key.public.text()) == key.public
+    signature = rsa.signed("0" * 20, key)
+    assert rsa.verified(key.public, "0" * 20, signature) and not rsa.verified(key.public, "1" * 20, signature)
+    [row] = spark.range(1).select(get(f"<{SWAP}crypto#keyLength>").rev(Arg(F.lit(i(256)))).alias("made")).select("made", get(f"<{SWAP}crypto#keyLength>").fwd(Arg(F.col("made"))).alias("bits")).collect()
+    assert rsa.Key.read(T.parts(row.made)[0]).d and row.bits == lit("256")
+    with pytest.raises(ValueError):
+        rsa.signed("0", key.public)
