@@ -135,6 +135,20 @@ asked(
 )
 
 
+asked(
+    "list_patterns",
+    """{ <t:nations> log:semantics ?f . ?f log:includes { ?n :in :r1 ; :name ?t } } => { ?n :pair (?t "in r1") } .
+    :a :list (1 (2 3)) , (4 5) . { :a :list (1 (?x ?y)) } => { :inner :is ?x , ?y } . { :a :list (?x 5) } => { :first :is ?x } . { :a :list (?x ?x) } => { :same :is ?x } .""",
+    "SELECT 'inner' AS what, '2' AS value UNION ALL SELECT 'inner', '3' UNION ALL SELECT 'first', '4'",
+)
+
+asked(
+    "rules_implied_by_truth",
+    """log:Truth => { { ?x :p ?y } => { ?x :is ?y } } . :a :p :b . { :c :p :d } => { :never :is :d } .""",
+    "SELECT 'a' AS what, 'b' AS value",
+)
+
+
 def document_query(name: str, sql: str):
     def keep(f):
         QUERIES[name], ORACLE[name] = f, sql
@@ -211,6 +225,77 @@ def output_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(g.output_strings(),)], "text string")
 
 
+FLAGS = ("", "a", "d", "e", "i", "n", "p", "q", "r", "s", "t", "u", "v", "/", "spart")
+RDF_FLAGS = ("", "b", "c", "d", "l", "r")
+
+
+def written_again(spark: SparkSession, sf_dir: str, flags: tuple[str, ...], write: Callable[[Graph, str], str], end: str) -> DataFrame:
+    """For every choice of flags, how many nations are read back and the regions that they are in."""
+    s, out = session(spark, sf_dir), None
+    g = s.load("t:nations")
+    for k, f in enumerate(flags):
+        uri = f"t:again{k}.{end}"
+        s.document(uri, write(g, f))
+        one = told(s.load(uri), "in").groupBy(F.lit(f).alias("flags")).agg(F.count("*").alias("nations"), F.count_distinct("value").alias("regions"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def again_sql(flags: tuple[str, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT '{f}' AS flags, count(*) AS nations, count(DISTINCT n_regionkey) AS regions FROM nation" for f in flags)
+
+
+@document_query("n3_flags", again_sql(FLAGS))
+def n3_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_again(spark, sf_dir, FLAGS, n3_writer.graph_text, "n3")
+
+
+@document_query("rdfxml_flags", again_sql(RDF_FLAGS))
+def rdfxml_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_again(spark, sf_dir, RDF_FLAGS, lambda g, f: rdfxml.write([(r.s, r.p, r.o) for r in g.statements.collect()], {}, f), "rdf")
+
+
+@document_query("xml_c14n", "SELECT p_partkey AS k, '<r a=\"1\" b=\"' || p_brand || '\"><x>' || p_name || '</x><y></y></r>' AS xml FROM part")
+def xml_c14n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.functions.library import canonical_xml
+
+    text = F.concat(F.lit("<r   b='"), "p_brand", F.lit("' a=\"1\"><x >"), "p_name", F.lit("</x><!-- gone --><y/></r>"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"), canonical_xml(text).alias("xml"))
+
+
+@document_query("closure_of_imports", NATIONS)
+def closure_of_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told(session(spark, sf_dir).load("t:all").closure("i"), "in")
+
+
+@document_query("isomorphic_graphs", "SELECT true AS renamed, false AS changed")
+def isomorphic_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ring of blank nodes for the regions, the same with other names and in another order, and one link less."""
+    from gossamer.operators import transforms
+
+    n = spark.read.parquet(f"{sf_dir}/region.parquet").count()
+    ring = lambda name, size: " ".join(f"_:{name(i)} :next _:{name((i + 1) % n)} ." for i in range(size))
+    s = session(spark, sf_dir)
+    one, two, less = (s.parse(HEAD + ring(name, size), f"t:ring{k}").quads for k, (name, size) in enumerate((("a{}".format, n), (lambda i: f"b{(2 * i + 3) % n:02}", n), ("c{}".format, n - 1))))
+    return spark.createDataFrame([(transforms.isomorphic(one, two), transforms.isomorphic(one, less))], "renamed boolean, changed boolean")
+
+
+@document_query("patches_consolidated", "SELECT 'r' || n_regionkey AS lhs, 'insertion' AS change, string_agg(n_name, ',' ORDER BY n_name) AS rhs FROM nation GROUP BY n_regionkey")
+def patches_consolidated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gossamer.operators import transforms
+
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.concat(F.lit("r"), "n_regionkey").alias("lhs"), F.lit("insertion").alias("change"), F.col("n_name").alias("rhs"))
+    return transforms.consolidated(n.unionByName(n)).select("lhs", "change", F.array_join("rhs", ",").alias("rhs"))
+
+
+@document_query("filter_type_errors", "SELECT 'd1' AS s UNION ALL SELECT 'd2'")
+def filter_type_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One side of an OR that cannot be evaluated does not spoil the other; alone it is neither true nor false."""
+    g = session(spark, sf_dir).parse(HEAD + ':d1 :v 5 . :d2 :v "x" . :d3 :v "y" . :d4 :v 7 .')
+    got = g.sparql(PREFIX + 'SELECT ?s WHERE { ?s :v ?v FILTER(?v < 6 || ?v = "x") }')
+    return got.select(F.regexp_extract("s", "#(.*)>$", 1).alias("s"))
+
+
 @document_query("definitive_document", f"{NATIONS}")
 def definitive_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the graph itself says of :in is not asked: another document is definitive for it."""

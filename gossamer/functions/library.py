@@ -684,6 +684,20 @@ def _xpath(text: Column, path: Column) -> Column:
     return run(text, path)
 
 
+@F.pandas_udf(T.StringType())
+def canonical_xml(text: pd.Series) -> pd.Series:
+    """XML in canonical form; null for what is no document."""
+    import xml.etree.ElementTree as ET
+
+    def one(t):
+        try:
+            return None if t is None else ET.canonicalize(t)
+        except ET.ParseError:
+            return None
+
+    return text.map(one)
+
+
 def xml_literal(c: Column) -> Column:
     return c_lit(c, RDF + "XMLLiteral")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 
@@ -94,20 +95,79 @@ def bnode_signatures(quads: DataFrame, rounds: int | None = None, keep: list[str
     return sig
 
 
-def canonical(quads: DataFrame) -> DataFrame:
-    """quads with blank nodes named by their signatures; equal signatures get a number each."""
-    from pyspark.sql import Window
+#: Statements between blank nodes that signatures cannot tell apart; more are refused.
+MOST_TIED = 200_000
+
+
+def _refined(colour: dict[str, str], edges: dict[str, list[tuple[str, str, str]]]) -> dict[str, str]:
+    """Colours of nodes told apart by those of their neighbours, until no more are."""
+    while True:
+        seen = {n: hashlib.md5("\u0001".join([c, *sorted(f"{way}{p}\u0002{colour[m]}" for way, p, m in edges[n])]).encode()).hexdigest() for n, c in colour.items()}
+        if len(set(seen.values())) == len(set(colour.values())):
+            return colour
+        colour = seen
+
+
+def _settled(colour: dict[str, str], edges: dict[str, list[tuple[str, str, str]]]) -> tuple[list, dict[str, str]]:
+    """The least form of a connected part that any choice among its equal nodes gives, and the nodes' colours in it."""
+    colour = _refined(colour, edges)
+    groups: dict[str, list[str]] = {}
+    for n, c in colour.items():
+        groups.setdefault(c, []).append(n)
+    tied = min((len(g), c) for c, g in groups.items() if len(g) > 1) if len(groups) < len(colour) else None
+    if tied is None:
+        return sorted((colour[n], way, p, colour[m]) for n in edges for way, p, m in edges[n]), colour
+    return min((_settled(colour | {n: colour[n] + "!"}, edges) for n in groups[tied[1]]), key=lambda x: x[0])
+
+
+def _told_apart(sig: list[tuple[str, str]], links: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
+    """(node, name) for blank nodes with signatures that others have too, by the statements between them. Parts that do
+    not hang together are settled one by one; equal ones may be numbered in any order."""
+    colour = dict(sig)
+    edges: dict[str, list[tuple[str, str, str]]] = {n: [] for n in colour}
+    for s, p, o in links:
+        edges[s].append((">", p, o))
+        edges[o].append(("<", p, s))
+    out, copies, seen = [], {}, set()
+    for start in colour:
+        if start in seen:
+            continue
+        part, todo = [], [start]
+        seen.add(start)
+        while todo:
+            n = todo.pop()
+            part.append(n)
+            todo += [m for _, _, m in edges[n] if m not in seen and not seen.add(m)]
+        form, final = _settled({n: colour[n] for n in part}, {n: edges[n] for n in part})
+        key = hashlib.md5(repr((form, sorted(final.values()))).encode()).hexdigest()
+        copies[key] = copies.get(key, 0) + 1
+        out += [(n, f"{hashlib.md5((key + c).encode()).hexdigest()}_{copies[key]}") for n, c in final.items()]
+    return out
 
-    sig = bnode_signatures(quads)
-    numbered = sig.withColumn("n", F.row_number().over(Window.partitionBy("signature").orderBy("node")))
-    table = numbered.select("node", F.concat(F.lit("_:"), "signature", F.lit("_"), F.col("n").cast("string")).alias("best"))
+
+def canonical(quads: DataFrame) -> DataFrame:
+    """quads with blank nodes named by their signatures. Those that share one, as in rings and in equal parts, are told
+    apart on the driver by choosing among equals; what is left equal then may bear any number."""
     from gossamer.plans.entail import rewritten
 
-    return rewritten(quads, table)
+    spark = quads.sparkSession
+    sig = bnode_signatures(quads)
+    shared = sig.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
+    tied = written(sig.join(shared, "signature").select("node", "signature"), "tied")
+    names = sig.join(shared, "signature", "left_anti").select("node", F.concat(F.lit("_:"), "signature").alias("best"))
+    if not tied.isEmpty():
+        node = lambda c: tied.select(F.col("node").alias(c))
+        links = quads.where("g = ''").select("s", "p", "o").distinct().join(node("s"), "s", "left_semi").join(node("o"), "o", "left_semi")
+        found = links.select("s", "p", "o").limit(MOST_TIED + 1).collect()
+        if len(found) > MOST_TIED or tied.count() > MOST_TIED:
+            raise ValueError(f"more than {MOST_TIED} statements or nodes whose blank nodes look the same")
+        rows = _told_apart(sorted(map(tuple, tied.collect())), [tuple(r) for r in found])
+        names = names.unionByName(spark.createDataFrame([(n, f"_:{x}") for n, x in rows], "node string, best string"))
+    return rewritten(quads, names)
 
 
 def isomorphic(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two graphs are the same but for the names of blank nodes (as far as signatures tell them apart)."""
+    """Whether two graphs are the same but for the names of blank nodes."""
     x, y = (canonical(q).where("g = ''").select("s", "p", "o") for q in (a, b))
     return x.exceptAll(y).isEmpty() and y.exceptAll(x).isEmpty()
 

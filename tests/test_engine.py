@@ -336,3 +336,21 @@ def test_n3ql_and_own_built_ins(session):
     add("http://x#", twice=Builtin(fwd=lambda s: T.c_xsd((s.number * 2).cast("int"), "integer")))
     rules = R.rules_of(n3.parse(HEAD + "{ ?x :p ?v . ?v :twice ?w } => { ?x :q ?w } .", "u:own"))
     assert {r.o for r in R.filter_rules(g.quads, rules).collect()} == {T.xsd(2, "integer"), T.xsd(4, "integer")}
+
+
+def test_isomorphism_of_symmetric_graphs():
+    def named(parts, order):
+        """Rings of some sizes as told apart, their nodes named in an order."""
+        names, edges = iter(order), []
+        for size in parts:
+            ring = [f"_:n{next(names)}" for _ in range(size)]
+            edges += [(ring[i], "<u:p>", ring[(i + 1) % size]) for i in range(size)]
+        found = dict(transforms._told_apart([(n, "same") for n in sorted({s for s, _, _ in edges})], edges))
+        assert len(set(found.values())) == len(found)
+        return sorted((found[s], p, found[o]) for s, p, o in edges)
+
+    rng = random.Random(9)
+    for one, two in (([3, 3, 4], [4, 3, 3]), ([6], [6]), ([1, 1, 2], [2, 1, 1])):
+        n = sum(one)
+        assert named(one, range(n)) == named(two, rng.sample(range(n), n))
+    assert named([3, 3], range(6)) != named([6], range(6))
