@@ -87,6 +87,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: the finds that hold a whole template, word for word."""
+    found = op1_licenses(spark, sf_dir).where("n_matched = n_words")
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    span = F.substring("text", F.col("start") + 1, F.col("stop") - F.col("start"))
+    whole = F.regexp_count(span, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")) == F.col("n_words")
+    return found.join(texts, F.col("doc_id") == F.col("id")).where(whole).select("doc_id", "license").distinct()
+
+
 def quality_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can say of op2: every document scored once, in its fold, and predicted as its score says."""
     scored = op2_quality(spark, sf_dir)
@@ -115,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lm": op9_lm,
     "op10_decontaminate": op10_decontaminate,
     "pipeline": pipeline,
+    "license_notices": license_notices,
     "quality_folds": quality_folds,
     "tiff_payloads": tiff_payloads,
     "lm_base_scores": lm_base_scores,
@@ -122,6 +132,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {}
 
+#: Words of a text as they are compared, between single spaces.
+_PLAIN = r"' ' || array_to_string(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9A-Za-z\x{{80}}-\x{{10FFFF}}]+'), ' ') || ' '"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLE["license_notices"] = f"""
+WITH t AS ({" UNION ALL ".join(f"SELECT {_quoted(n)} AS license, {_PLAIN.format(_quoted(x))} AS w" for n, x in TEMPLATES.items())}),
+d AS (SELECT doc_id, {_PLAIN.format("text")} AS w FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id, license FROM d JOIN t ON contains(d.w, t.w)
+"""
+
 #: crc32 of a doc_id's text as c, by the table of the polynomial 0xEDB88320.
 CRC = """crc_table AS (
   SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t),
@@ -140,7 +164,8 @@ ORACLE["lm_base_scores"] = rf"""
 WITH {CRC},
 w AS (
   SELECT row_number() OVER () AS r, d.doc_id, coalesce(c % 7 = 2, false) AS held_out,
-    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), ' ') AS w
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), ' ') AS w
   FROM documents d LEFT JOIN crc ON crc.doc_id = d.doc_id),
 t AS (SELECT r, held_out, unnest(w) AS x FROM w),
 counts AS (SELECT x, count(*) AS c FROM t WHERE NOT held_out GROUP BY x),
