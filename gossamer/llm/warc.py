@@ -8,7 +8,8 @@ archives at the places the index gives.
 
 Defined cases: a null payload is empty; of equal payloads every row with the smallest page_id is a response (repeated
 rows too), a payload whose rows all have null ids is a response each time; a null url has the empty key; equal keys
-and times are ordered by page_id, archive and offset; an empty table gives no records and an empty index.
+and times are ordered by page_id, archive and offset; an empty table gives no records and an empty index; a very long
+payload is one record. Only page_id, url and html are read, so other columns may have any names.
 """
 
 from __future__ import annotations
