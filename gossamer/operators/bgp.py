@@ -8,6 +8,7 @@ Rows of the result are bindings: one column of terms for each variable.
 from __future__ import annotations
 
 import functools
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -94,6 +95,8 @@ def join(a: DataFrame | None, b: DataFrame, how: str = "inner") -> DataFrame:
         return b
     shared = [c for c in a.columns if c in b.columns]
     if not shared:
+        if how == "inner" and a.columns and b.columns:
+            warnings.warn(f"nothing joins {', '.join(a.columns)} with {', '.join(b.columns)}: their rows are multiplied", stacklevel=2)
         return a.crossJoin(b) if how == "inner" else a.join(b, F.lit(True), how)
     return a.join(b, shared, how)
 

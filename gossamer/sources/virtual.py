@@ -8,6 +8,7 @@ subjects share become joins on the key columns. Only a variable predicate makes
 from __future__ import annotations
 
 import functools
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -89,6 +90,8 @@ def natural_join(a: Solutions, b: Solutions, how: str = "inner", condition=None)
         return a if a.none else Solutions(a.df.where(F.lit(False)), dict(a.sorts), set(a.maybe), True)
     if how in ("left_semi", "left_anti"):
         return Solutions(a.df.join(right, on or [F.lit(True)], how), dict(a.sorts), set(a.maybe))
+    if not on and how == "inner" and a.sorts and b.sorts:
+        warnings.warn(f"nothing joins {', '.join(a.sorts)} with {', '.join(b.sorts)}: their rows are multiplied", stacklevel=2)
     df = a.df.join(right, on, how) if on else a.df.crossJoin(right) if how == "inner" else a.df.join(right, F.lit(True), how)
     cols, sorts = [], {}
     for v in a.sorts:
