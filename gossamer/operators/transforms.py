@@ -232,28 +232,32 @@ def _described(c) -> list:
 def reify(quads: DataFrame) -> DataFrame:
     """Each statement as a node of type rei:Statement with context, subject, predicate and object, described by terms."""
     rei = lambda x: F.lit(T.iri(REI + x))
+    # Equal quads and terms go before they are described; a property is a branch, which a filter on properties can leave out.
+    each = quads.select(*KEYS).distinct()
     st = F.concat(F.lit("_:st"), F.md5(F.concat_ws("\u0001", *KEYS)))
     node = lambda c: F.concat(F.lit("_:t"), F.md5(F.col(c)))
-    rows = [F.struct(st.alias("s"), F.lit(T.TYPE).alias("p"), rei("Statement").alias("o")), F.struct(st.alias("s"), rei("context").alias("p"), T.c_lit(F.col("g")).alias("o"))]
+    row = lambda of, s, p, o: of.select(F.lit("").alias("g"), s.alias("s"), p.alias("p"), o.alias("o"))
+    out = row(each, st, F.lit(T.TYPE), rei("Statement")).unionByName(row(each, st, rei("context"), T.c_lit(F.col("g"))))
     for c, role in zip("spo", ("subject", "predicate", "object")):
-        rows.append(F.struct(st.alias("s"), rei(role).alias("p"), node(c).alias("o")))
-        d = _described(F.col(c))
-        rows.append(F.struct(node(c).alias("s"), d["p"].alias("p"), d["o"].alias("o")))
-    return quads.select(F.explode(F.array(*rows)).alias("x")).select(F.lit("").alias("g"), "x.s", "x.p", "x.o").distinct()
+        out = out.unionByName(row(each, st, rei(role), node(c)))
+    terms = each.select(F.explode(F.array("s", "p", "o")).alias("t")).distinct()
+    d = _described(F.col("t"))
+    return out.unionByName(row(terms, node("t"), d["p"], d["o"]))
 
 
 def dereify(quads: DataFrame) -> DataFrame:
-    """The statements that a reified graph describes."""
+    """The statements that a reified graph describes. Its joins are of parts as large as the graph, whatever Spark makes
+    of their sizes (rows out of an explode count as none), so none of them is broadcast."""
     rei = lambda x: T.iri(REI + x)
     own = quads.where("g = ''")
-    uri = own.where(F.col("p") == rei("uri")).select(F.col("s").alias("n"), T.c_iri(T.c_lex(F.col("o"))).alias("t"))
-    raw = own.where(F.col("p").isin(rei("nodeId"), rei("items"), rei("formula"))).select(F.col("s").alias("n"), T.c_lex(F.col("o")).alias("t"))
-    value = own.where(F.col("p") == rei("value")).select(F.col("s").alias("n"), F.col("o").alias("t"))
-    terms = uri.unionByName(raw).unionByName(value)
-    out = own.where((F.col("p") == T.TYPE) & (F.col("o") == rei("Statement"))).select(F.col("s").alias("st"))
-    out = out.join(own.where(F.col("p") == rei("context")).select(F.col("s").alias("st"), T.c_lex(F.col("o")).alias("g")), "st")
-    for c, role in zip("spo", ("subject", "predicate", "object")):
-        out = out.join(own.where(F.col("p") == rei(role)).select(F.col("s").alias("st"), F.col("o").alias("n")), "st").join(terms, "n").withColumnRenamed("t", c).drop("n")
+    p, o = F.col("p"), F.col("o")
+    term = F.when(p == rei("uri"), T.c_iri(T.c_lex(o))).when(p == rei("value"), o).otherwise(T.c_lex(o))
+    terms = own.where(p.isin(*map(rei, ("uri", "value", "nodeId", "items", "formula")))).select(F.col("s").alias("n"), term.alias("t"))
+    out = own.where((p == T.TYPE) & (o == rei("Statement"))).select(F.col("s").alias("st"))
+    for c, role in zip("gspo", ("context", "subject", "predicate", "object")):
+        out = out.join(own.where(p == rei(role)).select(F.col("s").alias("st"), (T.c_lex(o) if c == "g" else o).alias(c)).hint("merge"), "st")
+    for c in "spo":
+        out = out.join(terms.select(F.col("n").alias(c), F.col("t").alias("t")).hint("merge"), c).drop(c).withColumnRenamed("t", c)
     return out.select(*KEYS).distinct()
 
 
