@@ -21,7 +21,7 @@ def _least(pairs: DataFrame) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges(a, b); self-loops give a component of one. No edges, no rows."""
     spark = edges.sparkSession
-    edges = _store.written(edges.select("a", "b").distinct(), "edges")
+    edges = _store.mapped_table(edges.select("a", "b").distinct(), "edges")
     alone = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("component"))
     now = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     before, path = None, None
@@ -29,10 +29,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # large now holds v > its new neighbour; the small star ties each node's smaller neighbours to their least.
-        large = _store.written(large.where("u != v").distinct(), "large-star")
+        large = _store.mapped_table(large.where("u != v").distinct(), "large-star")
         small = _least(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        following = _store.written(small.where("u != v").distinct(), "small-star")
+        following = _store.mapped_table(small.where("u != v").distinct(), "small-star")
         for old in (large, *([now] if path else [])):
             _store.forget(old, spark)
         now, path = following, True

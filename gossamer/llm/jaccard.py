@@ -111,13 +111,13 @@ def signed(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     prefix.append(s[order].tobytes())
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * len(MINS), pa.int32()), pa.array(mins.reshape(-1))), pa.array(prefix, pa.binary())], names=[x.split()[0] for x in SIGNED.split(", ")])
 
-    return _store.written(docs.select("doc_id", "text").mapInArrow(run, SIGNED), "signed")
+    return _store.mapped_table(docs.select("doc_id", "text"), "signed", run, SIGNED)
 
 
 def grouped(sets: DataFrame) -> DataFrame:
     """Classes of equal sets: (c1, c2, n, rep, copies, gid)."""
     one = ["c1", "c2", "n"]
-    classes = _store.written(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*one).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins")), "classes")
+    classes = _store.mapped_table(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*one).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("mins").alias("mins")), "classes")
     # Two min-hashes to a key: near copies mostly share some two of four, documents with a passage in common do not.
     two = [F.xxhash64(F.lit(i * len(MINS) + j), F.col("mins")[i], F.col("mins")[j]) for i, j in itertools.combinations(range(len(MINS)), 2)]
     keys = classes.select(*one, F.explode(F.array(*two)).alias("key"))
@@ -130,7 +130,7 @@ def grouped(sets: DataFrame) -> DataFrame:
     alone = size.isNull() | (F.col("n") > GROUP_TOKENS)
     gid = F.when(alone, F.xxhash64("c1", "c2", "n")).when(salts == 1, key).otherwise(salted)
     out = classes.join(best, one, "left").select(*one, "rep", "copies", gid.alias("gid"))
-    out = _store.written(out, "groups")
+    out = _store.mapped_table(out, "groups")
     _store.forget(classes, sets.sparkSession)
     return out
 
@@ -341,9 +341,9 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     needs = F.least(F.lit(SHARED), F.ceil(F.max("low") * num / den))
     met = met.groupBy("g1", "g2").agg(F.sum("common").alias("common"), needs.alias("needs")).where("common >= needs").select("g1", "g2")
     inner = groups.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1").select(F.col("gid").alias("g1"), F.col("gid").alias("g2"))
-    pairs = _store.written(met.where("g1 != g2").unionByName(inner), "pairs")
+    pairs = _store.mapped_table(met.where("g1 != g2").unionByName(inner), "pairs")
     needed = pairs.select(F.col("g1").alias("gid")).unionByName(pairs.select(F.col("g2").alias("gid"))).distinct()
-    members = _store.written(groups.join(needed, "gid", "left_semi"), "members")
+    members = _store.mapped_table(groups.join(needed, "gid", "left_semi"), "members")
 
     def tokenised(batches):
         for batch in batches:
@@ -368,12 +368,12 @@ def join(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(members.hint("shuffle_hash"), "rep")
     rows = texts.select("gid", "rep", "copies", "c1", "c2", "text").mapInArrow(tokenised, "gid long, rep long, copies long, tokens binary")
-    table = _store.written(rows.repartition(n, "gid").sortWithinPartitions("gid").mapInArrow(matrix, "gid long, blob binary"), "token-group-matrix")
+    table = _store.mapped_table(rows.repartition(n, "gid").sortWithinPartitions("gid"), "token-group-matrix", matrix, "gid long, blob binary")
     left = table.select(F.col("gid").alias("g1"), F.col("blob").alias("a"))
     right = table.select(F.col("gid").alias("g2"), F.col("blob").alias("b"))
     outer = pairs.where("g1 != g2").join(left, "g1").join(right, "g2").select("g1", "g2", "a", "b")
     within = pairs.where("g1 = g2").join(left, "g1").select("g1", "g2", "a", F.lit(None).cast("binary").alias("b"))
-    found = _store.written(outer.unionByName(within).mapInArrow(_opened(num, den), "a long, b long, add long"), "links")
+    found = _store.mapped_table(outer.unionByName(within), "links", _opened(num, den), "a long, b long, add long")
     for t in (pairs, members, table):
         _store.forget(t, spark)
     reached = components(found.where("b IS NOT NULL").select("a", "b")).select(F.col("node").alias("rep"), "component")
